@@ -25,12 +25,12 @@ _MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\.?"
 _WEEKDAY = "(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,?\\s+)?"
 _TAIL = r"(?:[t,\s]+(.*))?$"
 YEAR_FIRST = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}"
-DAY_FIRST = rf"^(1[3-9]|2\d|3[01])[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}"
+OVER_TWELVE = r"^(?:1[3-9]|[2-9]\d)"
 MONTH_FIRST = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}"
 DAY_NAME_YEAR = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[-/\s]*{_MONTH}[-/,\s]*(\d{{4}}){_TAIL}"
 NAME_DAY_YEAR = rf"^{_WEEKDAY}{_MONTH}[-/\s]*(\d{{1,2}})(?:st|nd|rd|th)?[,\s]+(\d{{4}}){_TAIL}"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})(.*)$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{6}.*))?$"
+COMPACT_CLOCK = r"^(\d{2})(\d{2})(\d{2})(\D.*)?$"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 HALF_DAY = r"^(\d{1,2})(?::(\d{2})(?::(\d{2}))?)?\s*([ap])\.?m\.?$"
 FULL_DAY = rf"^{_CLOCK}\s*(z|utc|gmt|[+-]\d{{1,2}}(?::?\d{{2}})?)?$"
@@ -38,10 +38,14 @@ FULL_DAY = rf"^{_CLOCK}\s*(z|utc|gmt|[+-]\d{{1,2}}(?::?\d{{2}})?)?$"
 
 def date_recipe(raw: Column, out: str) -> Recipe:
     """Columns ``out`` and ``{out}_overflow`` (epoch beyond the year 9999)."""
-    s, epoch, iso, day, clock, stamp = (
-        f"_{out}_{step}" for step in ("s", "epoch", "iso", "day", "clock", "stamp")
+    whole, s, epoch, shape, iso, day, clock, stamp = (
+        f"_{out}_{step}"
+        for step in ("whole", "s", "epoch", "shape", "iso", "day", "clock", "stamp")
     )
-    S, ISO, DAY, CLOCK = F.col(s), F.col(iso), F.col(day), F.col(clock)
+    S, SHAPE, ISO, DAY, CLOCK = (F.col(c) for c in (s, shape, iso, day, clock))
+
+    def separated(place: int) -> Column:
+        return F.substring(S, place, 1).isin("-", "/", ".")
 
     def arranged(pattern: str, order: str) -> Column:
         return F.regexp_replace(S, pattern, order)
@@ -73,33 +77,51 @@ def date_recipe(raw: Column, out: str) -> Recipe:
         ),
     )
     full_day = F.upper(F.replace(F.regexp_replace(CLOCK, r"\s*(?:utc|gmt)$", "z"), F.lit(","), F.lit(".")))
-    return [
-        {s: F.lower(text.strip(raw))},
-        {
-            epoch: F.when(S.rlike(EPOCH), S.cast("bigint")),
-            iso: F.when((F.char_length(S) > MAX_INPUT) | S.rlike(EPOCH), F.lit(None))
-            .when(S.rlike(YEAR_FIRST), arranged(YEAR_FIRST, "$1-$2-$3|$4"))
-            .when(S.rlike(DAY_FIRST), arranged(DAY_FIRST, "$3-$2-$1|$4"))
-            .when(S.rlike(MONTH_FIRST), arranged(MONTH_FIRST, "$3-$1-$2|$4"))
-            .when(S.rlike(DAY_NAME_YEAR), by_month_name(DAY_NAME_YEAR, 3, 2, 1, 4))
-            .when(S.rlike(NAME_DAY_YEAR), by_month_name(NAME_DAY_YEAR, 3, 1, 2, 4))
-            .when(S.rlike(COMPACT), arranged(COMPACT, "$1-$2-$3|"))
-            .when(S.rlike(COMPACT_TIME), arranged(COMPACT_TIME, "$1-$2-$3|$4:$5:$6$7")),
-        },
-        {
-            day: F.substring_index(ISO, "|", 1),
-            clock: F.substring_index(ISO, "|", -1),
-        },
-        {
-            stamp: F.when(CLOCK == "", DAY)
-            .when(CLOCK.rlike(FULL_DAY), F.concat(DAY, F.lit(" "), full_day))
-            .when(CLOCK.rlike(HALF_DAY), F.concat(DAY, F.lit(" "), half_day))
-        },
-        {
-            out: F.when(
-                F.col(epoch).isNotNull(),
-                F.when(seconds <= LAST_SECOND, F.timestamp_seconds(seconds)),
-            ).otherwise(F.col(stamp).try_cast("timestamp")),
-            f"{out}_overflow": F.coalesce(seconds > LAST_SECOND, F.lit(False)),
-        },
-    ]
+    return Recipe(
+        # full-width digits and separators become ASCII ones
+        compose={whole: text.compose(raw, compat=True)},
+        layers=[
+            {s: F.lower(text.strip(F.col(whole)))},
+            {
+                epoch: F.when(F.char_length(S).between(9, 13) & S.rlike(EPOCH), S.cast("bigint")),
+                shape: F.when(F.char_length(S) > MAX_INPUT, F.lit(None))
+                .when(separated(5) & S.rlike(YEAR_FIRST), F.lit("year_first"))
+                .when((separated(3) | separated(2)) & S.rlike(MONTH_FIRST), F.lit("month_first"))
+                .when(S.rlike(DAY_NAME_YEAR), F.lit("day_name_year"))
+                .when(S.rlike(NAME_DAY_YEAR), F.lit("name_day_year"))
+                .when(S.rlike(COMPACT), F.lit("compact")),
+            },
+            {
+                iso: F.when(F.col(epoch).isNotNull(), F.lit(None))
+                .when(SHAPE == "year_first", arranged(YEAR_FIRST, "$1-$2-$3|$4"))
+                .when(
+                    SHAPE == "month_first",
+                    F.when(S.rlike(OVER_TWELVE), arranged(MONTH_FIRST, "$3-$2-$1|$4")).otherwise(
+                        arranged(MONTH_FIRST, "$3-$1-$2|$4")
+                    ),
+                )
+                .when(SHAPE == "day_name_year", by_month_name(DAY_NAME_YEAR, 3, 2, 1, 4))
+                .when(SHAPE == "name_day_year", by_month_name(NAME_DAY_YEAR, 3, 1, 2, 4))
+                .when(SHAPE == "compact", arranged(COMPACT, "$1-$2-$3|$4"))
+            },
+            {
+                day: F.substring_index(ISO, "|", 1),
+                clock: F.when(
+                    SHAPE == "compact",
+                    F.regexp_replace(F.substring_index(ISO, "|", -1), COMPACT_CLOCK, "$1:$2:$3$4"),
+                ).otherwise(F.substring_index(ISO, "|", -1)),
+            },
+            {
+                stamp: F.when(CLOCK == "", DAY)
+                .when(CLOCK.rlike(FULL_DAY), F.concat(DAY, F.lit(" "), full_day))
+                .when(CLOCK.rlike(HALF_DAY), F.concat(DAY, F.lit(" "), half_day))
+            },
+            {
+                out: F.when(
+                    F.col(epoch).isNotNull(),
+                    F.when(seconds <= LAST_SECOND, F.timestamp_seconds(seconds)),
+                ).otherwise(F.col(stamp).try_cast("timestamp")),
+                f"{out}_overflow": F.coalesce(seconds > LAST_SECOND, F.lit(False)),
+            },
+        ]
+    )

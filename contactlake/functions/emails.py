@@ -15,13 +15,12 @@ TYPO_PREFIX = "email_typo_domain:"
 # characters per label whose last label ends in a letter. Characters beyond
 # ASCII are allowed on both sides (internationalised mail).
 _ATOM = r"[a-z0-9!#$%&'*+/=?^_`{|}~\x{A1}-\x{10FFFF}-]+"
-_EDGE = r"[a-z0-9\x{A1}-\x{10FFFF}]"
-_LABEL = rf"{_EDGE}(?:[a-z0-9\x{{A1}}-\x{{10FFFF}}-]{{0,61}}{_EDGE})?"
-ADDRESS = rf"^{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_LABEL}$"
-LAST_CHARACTER = r"[a-z\x{A1}-\x{10FFFF}]$"
+_WORD = r"a-z0-9\x{A1}-\x{10FFFF}"
+_LABEL = rf"[{_WORD}](?:[{_WORD}-]{{0,61}}[{_WORD}])?"
+_LAST_LABEL = rf"(?:[{_WORD}][{_WORD}-]{{0,61}})?[a-z\x{{A1}}-\x{{10FFFF}}]"
+ADDRESS = rf"^{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_LAST_LABEL}$"
 #: a label may not have hyphens in third and fourth place, punycode excepted
 RESERVED_LABEL = r"[@.](?!xn)..--"
-SPECIAL_TLD = r"[@.](?:" + "|".join(vocab.SPECIAL_USE_TLDS) + r")$"
 
 
 def domain_of(address: Column) -> Column:
@@ -34,45 +33,40 @@ def is_address(c: Column) -> Column:
     return (
         F.when(F.char_length(c) > 254, F.lit(False))
         .when(local_length > 64, F.lit(False))
-        .otherwise(
-            c.rlike(ADDRESS)
-            & c.rlike(LAST_CHARACTER)
-            & ~c.rlike(RESERVED_LABEL)
-            & ~c.rlike(SPECIAL_TLD)
-        )
+        .when(F.substring_index(c, ".", -1).isin(*vocab.SPECIAL_USE_TLDS), F.lit(False))
+        .when(F.contains(c, F.lit("--")) & c.rlike(RESERVED_LABEL), F.lit(False))
+        .otherwise(c.rlike(ADDRESS))
     )
 
 
 def email_recipe(raw: Column, out: str) -> Recipe:
     """Columns ``out``, ``{out}_typo`` (soft flag) and ``{out}_flag`` (hard flag)."""
-    low, dom, fix, addr, ok, norm = (
-        f"_{out}_{step}" for step in ("low", "dom", "fix", "addr", "ok", "norm")
+    whole, low, dom, fix, addr, ok = (
+        f"_{out}_{step}" for step in ("whole", "low", "dom", "fix", "addr", "ok")
     )
-    lowered, domain, fixed = F.col(low), F.col(dom), F.col(fix)
-    address = F.col(addr)
-    final_domain = F.coalesce(fixed, domain)
-    junk = final_domain.isin(*vocab.JUNK_EMAIL_DOMAINS) | F.substring_index(
-        F.col(norm), "@", 1
+    LOW, DOM, FIX, ADDRESS_, OK = (F.col(c) for c in (low, dom, fix, addr, ok))
+    junk = F.coalesce(FIX, DOM).isin(*vocab.JUNK_EMAIL_DOMAINS) | F.substring_index(
+        ADDRESS_, "@", 1
     ).isin(*vocab.JUNK_EMAIL_LOCALS)
-    return [
-        {low: F.lower(text.strip(raw))},
-        {dom: F.when(F.contains(lowered, F.lit("@")), domain_of(lowered)).otherwise(F.lit(""))},
-        {fix: text.lookup(vocab.TYPO_DOMAINS, domain)},
-        {
-            addr: F.when(
-                fixed.isNotNull(),
-                F.concat(F.left(lowered, F.char_length(lowered) - F.char_length(domain)), fixed),
-            ).otherwise(lowered)
-        },
-        {ok: F.when(address != "", is_address(address))},
-        {norm: F.when(F.col(ok), text.compose(address, compat=False))},
-        {
-            out: F.col(norm),
-            f"{out}_typo": F.when(
-                F.col(ok) & fixed.isNotNull(), F.concat(F.lit(TYPO_PREFIX), domain)
-            ),
-            f"{out}_flag": F.when(F.col(ok).isNull(), F.lit(MISSING))
-            .when(~F.col(ok), F.lit(INVALID))
-            .when(junk, F.lit(JUNK)),
-        },
-    ]
+    return Recipe(
+        compose={whole: text.compose(raw, compat=False)},
+        layers=[
+            {low: F.lower(text.strip(F.col(whole)))},
+            {dom: F.when(F.contains(LOW, F.lit("@")), domain_of(LOW)).otherwise(F.lit(""))},
+            {fix: text.lookup(vocab.TYPO_DOMAINS, DOM)},
+            {
+                addr: F.when(
+                    FIX.isNotNull(),
+                    F.concat(F.left(LOW, F.char_length(LOW) - F.char_length(DOM)), FIX),
+                ).otherwise(LOW)
+            },
+            {ok: F.when(ADDRESS_ != "", is_address(ADDRESS_))},
+            {
+                out: F.when(OK, ADDRESS_),
+                f"{out}_typo": F.when(OK & FIX.isNotNull(), F.concat(F.lit(TYPO_PREFIX), DOM)),
+                f"{out}_flag": F.when(OK.isNull(), F.lit(MISSING))
+                .when(~OK, F.lit(INVALID))
+                .when(junk, F.lit(JUNK)),
+            },
+        ],
+    )

@@ -11,34 +11,33 @@ from contactlake.functions.layers import Recipe
 
 def name_recipe(raw: Column, out: str) -> Recipe:
     """Clean a name into column ``out`` (NULL for blank and junk names)."""
-    plain, tidy, kept = (f"_{out}_{step}" for step in ("plain", "tidy", "kept"))
-    return [
-        {
+    plain, whole, tidy, kept = (f"_{out}_{step}" for step in ("plain", "whole", "tidy", "kept"))
+    KEPT, TIDY = F.col(kept), F.col(tidy)
+    return Recipe(
+        prepare={
             plain: F.when(text.is_ascii(raw), raw).otherwise(
                 F.regexp_replace(raw, text.EMOJI_RUN, "")
             )
         },
-        {tidy: text.strip(text.compose(F.col(plain), compat=True))},
-        {
-            kept: F.when(
-                (F.col(tidy) != "") & ~F.lower(F.col(tidy)).isin(*vocab.JUNK_NAMES),
-                F.col(tidy),
-            )
-        },
-        {
-            out: F.when(
-                text.one_case(F.col(kept)), text.title_case(F.col(kept))
-            ).otherwise(F.col(kept))
-        },
-    ]
+        compose={whole: text.compose(F.col(plain), compat=True)},
+        layers=[
+            {tidy: text.strip(F.col(whole))},
+            {kept: F.when((TIDY != "") & ~F.lower(TIDY).isin(*vocab.JUNK_NAMES), TIDY)},
+            {out: F.when(text.one_case(KEPT), text.title_case(KEPT)).otherwise(KEPT)},
+        ],
+    )
+
+
+def spaced(name: Column) -> Column:
+    """The name with every white space run as one blank."""
+    return F.regexp_replace(name, text.WHITE_SPACE_RUN, " ")
 
 
-def first_word(name: Column) -> Column:
-    return F.get(text.words(name), F.lit(0))
+def first_word(spaced_name: Column) -> Column:
+    return F.substring_index(spaced_name, " ", 1)
 
 
-def other_words(name: Column) -> Column:
-    """Everything after the first word joined by one blank; NULL when nothing."""
-    parts = text.words(name)
-    rest = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")
-    return F.when(F.size(parts) > 1, rest)
+def other_words(spaced_name: Column) -> Column:
+    """Everything after the first word; NULL when there is nothing."""
+    blank = F.position(F.lit(" "), spaced_name)
+    return F.when(blank > 0, F.substring(spaced_name, blank + F.lit(1), F.char_length(spaced_name)))

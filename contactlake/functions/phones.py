@@ -20,6 +20,8 @@ REGION_CODES = {"US": "1"}
 
 EXTENSION = r"(?i)[\s,;]*(?:ext(?:ension|n)?|x|#|int)\s*[.:=]?\s*\d{1,7}#?$"
 MAX_INPUT = 250
+#: characters between digits that need no interpretation
+PUNCTUATION = "+-(). /"
 # The letters of a telephone keypad.
 KEYPAD_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEYPAD_DIGITS = "22233344455566677778889999"
@@ -28,62 +30,75 @@ KEYPAD_DIGITS = "22233344455566677778889999"
 def phone_recipe(raw: Column, out: str, region: str = "US") -> Recipe:
     """Columns ``out`` and ``{out}_flag``."""
     code = REGION_CODES[region]
-    s, digits, body, number, intl, nat, found = (
-        f"_{out}_{step}" for step in ("s", "digits", "body", "number", "intl", "nat", "found")
+    whole, s, digits, body, number, intl, nat, found = (
+        f"_{out}_{step}"
+        for step in ("whole", "s", "digits", "body", "number", "intl", "nat", "found")
     )
     S, DIGITS, BODY = F.col(s), F.col(digits), F.col(body)
     NUMBER, INTL, NAT, FOUND = F.col(number), F.col(intl), F.col(nat), F.col(found)
 
-    only_digits = F.regexp_replace(BODY, "[^0-9]+", "")
-    keyed = F.regexp_replace(
-        F.translate(F.upper(BODY), KEYPAD_LETTERS, KEYPAD_DIGITS), "[^0-9]+", ""
-    )
+    def digits_of(c: Column) -> Column:
+        return F.regexp_replace(c, "[^0-9]+", "")
+
+    # Plain punctuation is deleted without a pattern; ``body`` is only set
+    # where letters or other characters need a closer look.
+    plain = F.translate(S, "0123456789" + PUNCTUATION, "") == ""
+    keyed = digits_of(F.translate(F.upper(BODY), KEYPAD_LETTERS, KEYPAD_DIGITS))
     single_digit = F.replace(DIGITS, F.substring(DIGITS, 1, 1), F.lit("")) == ""
     size = F.char_length
     # After a +1: an 11-digit rest repeats the trunk prefix.
     home = F.when(
         (size(NAT) == 11) & F.startswith(NAT, F.lit(code)), F.substring(NAT, 2, 10)
     ).otherwise(NAT)
-    return [
-        {s: text.strip(raw)},
-        {
-            digits: F.regexp_replace(S, "[^0-9]+", ""),
-            body: F.when(
-                S.rlike("[A-Za-z#]"),
-                F.regexp_extract(
-                    F.when(size(S) <= MAX_INPUT, F.regexp_replace(S, EXTENSION, "")),
-                    r"(?s)([+0-9].*)$",
-                    1,
+    written = F.coalesce(BODY, S)
+    has_plus = F.contains(written, F.lit("+")) & written.rlike(r"^[^0-9]*\+")
+    return Recipe(
+        # full-width digits and signs become ASCII ones
+        compose={whole: text.compose(raw, compat=True)},
+        layers=[
+            {s: text.strip(F.col(whole))},
+            {
+                digits: F.when(plain, F.translate(S, PUNCTUATION, "")).otherwise(digits_of(S)),
+                body: F.when(
+                    ~plain,
+                    F.regexp_extract(
+                        F.regexp_replace(F.left(S, F.lit(MAX_INPUT)), EXTENSION, ""), r"(?s)([+0-9].*)$", 1
+                    ),
                 ),
-            ).otherwise(S),
-        },
-        {number: F.when(BODY.rlike("(?:[A-Za-z][^A-Za-z]*){3}"), keyed).otherwise(only_digits)},
-        {
-            # With a plus sign or the international dialling prefix the
-            # country code follows; otherwise the number is national.
-            intl: F.when(BODY.rlike(r"^[^0-9]*\+"), NUMBER).when(
-                NUMBER.rlike("^011[1-9]"), F.substring(NUMBER, 4, 1000)
-            )
-        },
-        {
-            nat: F.when(INTL.isNull(), NUMBER).when(
-                F.startswith(INTL, F.lit(code)), F.substring(INTL, 2, 1000)
-            )
-        },
-        {
-            found: F.when(size(S) > MAX_INPUT, F.lit(None))
-            .when(NAT.isNotNull(), F.when(size(home).isin(7, 10), F.concat(F.lit("+" + code), home)))
-            .when(INTL.rlike("^[1-9][0-9]{6,14}$"), F.concat(F.lit("+"), INTL))
-        },
-        {
-            out: F.when(
-                (S != "") & ~DIGITS.isin(*vocab.JUNK_PHONES) & ~single_digit,
-                F.coalesce(FOUND, F.when(size(DIGITS) == 10, F.concat(F.lit("+" + code), DIGITS))),
-            ),
-            f"{out}_flag": F.when(S.isNull() | (S == ""), F.lit(MISSING))
-            .when(DIGITS.isin(*vocab.JUNK_PHONES) | single_digit, F.lit(JUNK))
-            .when(FOUND.isNotNull(), F.lit(None))
-            .when(size(DIGITS) == 10, F.lit(UNVERIFIED))
-            .otherwise(F.lit(UNPARSEABLE)),
-        },
-    ]
+            },
+            {
+                number: F.when(BODY.isNull(), DIGITS)
+                .when(BODY.rlike("(?:[A-Za-z][^A-Za-z]*){3}"), keyed)
+                .otherwise(digits_of(BODY))
+            },
+            {
+                # With a plus sign or the international dialling prefix the
+                # country code follows; otherwise the number is national.
+                intl: F.when(has_plus, NUMBER).when(
+                    F.startswith(NUMBER, F.lit("011")) & (F.substring(NUMBER, 4, 1) != "0"),
+                    F.substring(NUMBER, 4, MAX_INPUT),
+                )
+            },
+            {
+                nat: F.when(INTL.isNull(), NUMBER).when(
+                    F.startswith(INTL, F.lit(code)), F.substring(INTL, 2, MAX_INPUT)
+                )
+            },
+            {
+                found: F.when(size(S) > MAX_INPUT, F.lit(None))
+                .when(NAT.isNotNull(), F.when(size(home).isin(7, 10), F.concat(F.lit("+" + code), home)))
+                .when(INTL.rlike("^[1-9][0-9]{6,14}$"), F.concat(F.lit("+"), INTL))
+            },
+            {
+                out: F.when(
+                    (S != "") & ~DIGITS.isin(*vocab.JUNK_PHONES) & ~single_digit,
+                    F.coalesce(FOUND, F.when(size(DIGITS) == 10, F.concat(F.lit("+" + code), DIGITS))),
+                ),
+                f"{out}_flag": F.when(S.isNull() | (S == ""), F.lit(MISSING))
+                .when(DIGITS.isin(*vocab.JUNK_PHONES) | single_digit, F.lit(JUNK))
+                .when(FOUND.isNotNull(), F.lit(None))
+                .when(size(DIGITS) == 10, F.lit(UNVERIFIED))
+                .otherwise(F.lit(UNPARSEABLE)),
+            },
+        ]
+    )

@@ -21,14 +21,9 @@ from contactlake.operators.records import parse_object, payload_of
 
 FieldMapping = Mapping[str, str]
 
-#: separates list items while they are assembled as text
-_ITEM = "\x1f"
-
-
 def _items(*columns: Column) -> Column:
-    """Non-NULL texts as an array; assembled as text to stay in codegen."""
-    joined = F.concat_ws(_ITEM, *columns)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, _ITEM))
+    """Non-NULL texts as an array."""
+    return F.array_compact(F.array(*columns))
 
 
 @dataclass(frozen=True)
@@ -170,8 +165,10 @@ def canonicalize(
         *[c.alias(name) for name, c in raw.items()],
     )
     recipes = [
-        names.name_recipe(F.col("_first_raw"), "_first"),
-        names.name_recipe(F.col("_last_raw"), "_last"),
+        (
+            names.name_recipe(F.col("_first_raw"), "_first"),
+            names.name_recipe(F.col("_last_raw"), "_last"),
+        ),
         dates.date_recipe(F.col("_created_raw"), "_created"),
     ]
     recipes += [emails.email_recipe(F.col(f"_email_raw{i}"), f"_email{i}") for i in range(n_emails)]
@@ -207,10 +204,21 @@ def canonicalize(
 
     email_hard = [flag("email", i, "flag") for i in range(n_emails)]
     phone_flags = [flag("phone", i, "flag") for i in range(n_phones)]
-    first = F.when(F.col("_first_split"), names.first_word(F.col("_first"))).otherwise(F.col("_first"))
-    last_source = F.when(F.col("_shared"), F.col("_first")).otherwise(F.col("_last"))
-    last = F.when(F.col("_last_split"), names.other_words(last_source)).otherwise(F.col("_last"))
-    valued = cleaned.withColumns(
+    first = F.when(F.col("_first_split"), names.first_word(F.col("_first_words"))).otherwise(
+        F.col("_first")
+    )
+    last = F.when(F.col("_last_split"), names.other_words(F.col("_last_words"))).otherwise(
+        F.col("_last")
+    )
+    worded = cleaned.withColumn(
+        "_first_words", F.when(F.col("_first_split"), names.spaced(F.col("_first")))
+    ).withColumn(
+        "_last_words",
+        F.when(F.col("_shared"), F.col("_first_words")).when(
+            F.col("_last_split"), names.spaced(F.col("_last"))
+        ),
+    )
+    valued = worded.withColumns(
         {
             "first_name": first,
             "last_name": last,
