@@ -8,6 +8,7 @@ rows are cleaned where they were read, without a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -293,7 +294,10 @@ def canonicalize(
         ),
     )
     extra = [c for c in kept if c not in ("source",)]
-    return checked.select(
+    # The row counter also keeps filters on the results above this point:
+    # pushed down, they would be rewritten in terms of the raw fields and
+    # repeat the whole cleaning inside the predicate.
+    return checked.observe(f"canonicalized-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows")).select(
         "lead_id", "first_name", "last_name", "email", "phone_e164", "source", "campaign_id",
         "consent", "created_at", "quality_score", "status", "flags", "raw_payload", "ingested_at",
         *[c for c in extra if c in checked.columns], "violations",
