@@ -79,14 +79,14 @@ def _cells(table: str) -> str:
     return "," + _CELLS.format(lines=table) + ",\npresent AS (SELECT seq, source, c.place AS place, c.field AS field, c.value AS value FROM cells WHERE c.present)"
 
 
-def _known(active_only: bool) -> str:
+def _known(active_only: bool, alias: str = "known") -> str:
     rows = [
         "('" + source + "', '" + field.replace("'", "''") + "', '" + transform + "')"
         for source, mapping in vocab.KNOWN_MAPPINGS.items()
         for field, transform in mapping.items()
         if not (active_only and transform == "ignore")
     ]
-    return "(VALUES " + ", ".join(rows) + ") AS known(source, field, transform)"
+    return "(VALUES " + ", ".join(rows) + f") AS {alias}(source, field, transform)"
 
 
 def _profile(cells: str, samples: int = vocab.PROFILE_SAMPLES) -> str:
@@ -115,7 +115,7 @@ hits AS (
 ),
 missing AS (
   SELECT t.source, t.batch_id, t.n, k.field, t.n - coalesce(h.hits, 0) AS missing
-  FROM totals t JOIN """ + _known(True) + """ USING (source)
+  FROM totals t JOIN """ + _known(True, "k") + """ USING (source)
   LEFT JOIN hits h ON h.source = t.source AND h.batch_id = t.batch_id AND h.field = k.field
 ),
 decision AS (
@@ -123,7 +123,7 @@ decision AS (
          coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE missing / n > 0.8), '') AS dead_fields,
          count(*) FILTER (WHERE missing / n > 0.8) > 0 AS drifted
   FROM missing GROUP BY source, batch_id, n
-)""".replace(" AS known(source", " AS k(source")
+)"""
 
 _UNMAPPED = """,
 unmapped AS (
@@ -340,7 +340,7 @@ ORACLES: dict[str, str] = {
     ),
     "p2_raw_payload": _raw(
         "SELECT seq, CASE WHEN source IN ('instagram', 'google_form') THEN nullif(email_raw, '') ELSE email_raw END AS email, "
-        "CASE WHEN source = 'landing_page' THEN first_raw ELSE name_raw END AS name, CAST(1 AS BIGINT) AS objects, "
+        "CASE WHEN source = 'landing_page' THEN first_raw WHEN source = 'facebook' THEN name_raw ELSE nullif(name_raw, '') END AS name, "
         "CAST(CASE source WHEN 'facebook' THEN 2 + (name_raw IS NOT NULL)::INT + (email_raw IS NOT NULL)::INT + (phone_raw IS NOT NULL)::INT "
         "WHEN 'landing_page' THEN 8 + (phone_raw IS NOT NULL)::INT ELSE 6 END AS BIGINT) AS keys FROM raw"
     ),

@@ -273,11 +273,11 @@ def mapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = F.array(
         F.struct(F.lit(1).alias("ordinal"), F.lit("name").alias("field"), F.lit("split_full_name").alias("transform")),
         F.struct(
-            F.lit(2),
-            F.concat(F.lit("contact"), (F.col("version") % 5).cast("string")),
-            F.when(F.col("version") % 2 == 0, F.lit("email")).otherwise(F.lit("phone")),
+            F.lit(2).alias("ordinal"),
+            F.concat(F.lit("contact"), (F.col("version") % 5).cast("string")).alias("field"),
+            F.when(F.col("version") % 2 == 0, F.lit("email")).otherwise(F.lit("phone")).alias("transform"),
         ),
-        F.struct(F.lit(3), F.lit("note"), F.lit("ignore")),
+        F.struct(F.lit(3).alias("ordinal"), F.lit("note").alias("field"), F.lit("ignore").alias("transform")),
     )
     nothing = F.array(
         F.struct(
@@ -361,15 +361,17 @@ def p1_last_field_wins(spark, sf_dir):
 
 @query
 def p2_raw_payload(spark, sf_dir):
+    rec = records.parse_object(F.col("raw_payload"))
+    rows = checked(spark, sf_dir).select("seq", rec.alias("rec"))
+
     def item(key: str) -> Column:
-        return F.get_json_object("raw_payload", f"$['{key}']")
+        return F.col("rec")[key]
 
-    return checked(spark, sf_dir).select(
+    return rows.select(
         "seq",
         F.coalesce(item("email"), item("E-mail"), item("Your email address"), item("email_addr")).alias("email"),
         F.coalesce(item("full_name"), item("Full Name"), item("What's your name?"), item("fname")).alias("name"),
-        F.json_array_length(F.concat(F.lit("["), "raw_payload", F.lit("]"))).cast("bigint").alias("objects"),
-        F.size(F.json_object_keys("raw_payload")).cast("bigint").alias("keys"),
+        F.size("rec").cast("bigint").alias("keys"),
     )
 
 
@@ -614,8 +616,14 @@ def _proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
             F.when(k % 5 == 1, F.lit("nom")).otherwise(F.lit("name")).alias("field"),
             F.when(k % 7 == 2, F.lit("ignore")).otherwise(F.lit("split_full_name")).alias("transform"),
         ),
-        F.struct(F.lit("mail"), F.when(k % 3 == 0, F.lit("mailbox")).otherwise(F.lit("email"))),
-        F.struct(F.lit("tel"), F.when(k % 4 == 0, F.lit("fax")).otherwise(F.lit("phone"))),
+        F.struct(
+            F.lit("mail").alias("field"),
+            F.when(k % 3 == 0, F.lit("mailbox")).otherwise(F.lit("email")).alias("transform"),
+        ),
+        F.struct(
+            F.lit("tel").alias("field"),
+            F.when(k % 4 == 0, F.lit("fax")).otherwise(F.lit("phone")).alias("transform"),
+        ),
     )
     proposal = (
         customers.filter(k % 11 != 0)
