@@ -3,8 +3,8 @@
 Tokens are sorted and joined, and the two texts compared by the length of
 their longest common subsequence: ``200 * LCS / (len + len)``. A substitution
 therefore costs two edits, which ``levenshtein`` does not offer. The LCS runs
-bit-parallel on one BIGINT per pair, or on several machine words' worth of
-rows as a dynamic programme for texts beyond 62 characters.
+bit-parallel on one BIGINT, or as a dynamic programme where both texts are
+longer than 62 characters.
 """
 
 from __future__ import annotations
@@ -19,64 +19,80 @@ WORD_BITS = 62
 
 def sorted_tokens(name: Column) -> Column:
     """Words in order, joined by one blank."""
-    return F.array_join(F.array_sort(F.filter(text.words(name), lambda w: w != "")), " ")
+    return F.array_join(F.sort_array(text.words(text.strip(name))), " ")
 
 
 def _characters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda ch: ch != "")
+    return F.split(c, "(?!^)")
+
+
+def _bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; an expression named in a
+    lambda would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
 def _lcs_bits(a: Column, b: Column) -> Column:
     """LCS length for ``len(a) <= 62``: zero bits mark matched places of a."""
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.char_length(a)) - F.lit(1)
-    places = _characters(a)
+    parts = F.struct(
+        _characters(a).alias("a"),
+        _characters(b).alias("b"),
+        (_bit(F.char_length(a)) - F.lit(1)).alias("full"),
+    )
+
+    def scan(p: Column) -> Column:
+        def hits(ch: Column) -> Column:
+            marked = F.transform(
+                p["a"], lambda x, i: F.when(x == ch, _bit(i)).otherwise(F.lit(0).cast("bigint"))
+            )
+            return F.aggregate(marked, F.lit(0).cast("bigint"), lambda acc, bit: acc.bitwiseOR(bit))
 
-    def hits(ch: Column) -> Column:
-        bits = F.transform(
-            places,
-            lambda x, i: F.when(
-                x == ch, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
-            ).otherwise(F.lit(0).cast("bigint")),
-        )
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: acc.bitwiseOR(bit))
+        def step(state: Column, ch: Column) -> Column:
+            return _bound(
+                state.bitwiseAND(hits(ch)),
+                lambda u: (state + u).bitwiseOR(state - u).bitwiseAND(p["full"]),
+            )
 
-    def step(state: Column, ch: Column) -> Column:
-        # state + (state & hits), kept to the width of a
-        both = F.transform(F.array(hits(ch)), lambda h: state.bitwiseAND(h))[0]
-        return (state + both).bitwiseOR(state - both).bitwiseAND(full)
+        state = F.aggregate(p["b"], p["full"], step)
+        return F.size(p["a"]) - F.bit_count(state)
 
-    state = F.aggregate(_characters(b), full, step)
-    return F.char_length(a) - F.bit_count(state)
+    return _bound(parts, scan)
 
 
 def _lcs_rows(a: Column, b: Column) -> Column:
     """LCS length for texts of any size, one row of the table at a time."""
     zero = F.lit(0)
-    columns = _characters(a)
 
-    def next_row(row: Column, ch: Column) -> Column:
-        # row[i] is the LCS of b so far with the first i characters of a
-        def cell(done: Column, i: Column) -> Column:
-            diagonal, above = F.get(row, i), F.get(row, i + F.lit(1))
-            left = F.get(done, i)
-            same = F.get(columns, i) == ch
-            return F.array_append(done, F.when(same, diagonal + 1).otherwise(F.greatest(above, left)))
+    def scan(p: Column) -> Column:
+        def next_row(row: Column, ch: Column) -> Column:
+            # row[i] is the LCS of b so far with the first i characters of a
+            def cell(done: Column, i: Column) -> Column:
+                diagonal, above = F.get(row, i), F.get(row, i + F.lit(1))
+                same = F.get(p["a"], i) == ch
+                return F.array_append(
+                    done,
+                    F.when(same, diagonal + 1).otherwise(F.greatest(above, F.get(done, i))),
+                )
 
-        return F.aggregate(
-            F.sequence(zero, F.char_length(a) - F.lit(1)), F.array(zero), cell
-        )
+            return F.aggregate(F.sequence(zero, F.size(p["a"]) - F.lit(1)), F.array(zero), cell)
 
-    start = F.array_repeat(zero, F.char_length(a) + F.lit(1))
-    return F.element_at(F.aggregate(_characters(b), start, next_row), -1)
+        start = F.array_repeat(zero, F.size(p["a"]) + F.lit(1))
+        return F.element_at(F.aggregate(p["b"], start, next_row), -1)
+
+    return _bound(F.struct(_characters(a).alias("a"), _characters(b).alias("b")), scan)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    short = F.when(F.char_length(a) <= F.char_length(b), a).otherwise(b)
-    long = F.when(F.char_length(a) <= F.char_length(b), b).otherwise(a)
+    la, lb = F.char_length(a), F.char_length(b)
     return (
-        F.when(F.char_length(short) == 0, F.lit(0))
-        .when(F.char_length(short) <= WORD_BITS, _lcs_bits(short, long))
-        .otherwise(_lcs_rows(short, long))
+        F.when(F.least(la, lb) == 0, F.lit(0))
+        .when(la <= WORD_BITS, _lcs_bits(a, b))
+        .when(lb <= WORD_BITS, _lcs_bits(b, a))
+        .otherwise(_lcs_rows(a, b))
     )
 
 

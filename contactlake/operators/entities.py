@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from contactlake import vocab
 from contactlake.functions.similarity import names_match, sorted_tokens
-from contactlake.operators.skew import attach_facts
+from contactlake.operators.skew import HEAVY_FLOOR, attach_facts
 from contactlake.session import Scratch
 
 KEYS = ("phone_e164", "email")
@@ -30,84 +30,92 @@ def candidates(leads: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(cands: DataFrame, key: str, total_rows: int) -> DataFrame:
-    """Each lead of a block paired with the first one (by ``lead_id``)."""
-    keyed = cands.filter(F.col(key).isNotNull() & (F.col(key) != "")).select(key, "lead_id", "name")
-    first = F.min(F.struct("lead_id", "name"))
+def block_pairs(
+    cands: DataFrame, total_rows: int, keys: Sequence[str] = KEYS, heavy_floor: int = HEAVY_FLOOR
+) -> DataFrame:
+    """Each lead of a block paired with the first one (by ``lead_id``).
+
+    All keys are blocked in one pass. The names travel with their tokens
+    sorted, so that this is done once per lead.
+    """
+    entries = F.array(*[F.struct(F.lit(k).alias("block"), F.col(k).alias("value")) for k in keys])
+    keyed = (
+        cands.select("lead_id", sorted_tokens(F.col("name")).alias("name"), F.explode(entries).alias("_e"))
+        .select("_e.block", "_e.value", "lead_id", "name")
+        .filter(F.col("value").isNotNull() & (F.col("value") != ""))
+    )
     blocks = (
-        keyed.groupBy(key)
-        .agg(first.alias("_first"), F.count(F.lit(1)).alias("_size"))
+        keyed.groupBy("block", "value")
+        .agg(F.min(F.struct("lead_id", "name")).alias("_first"), F.count(F.lit(1)).alias("_size"))
         .filter(F.col("_size") > 1)
         .select(
-            key, "_size", F.col("_first.lead_id").alias("first_id"), F.col("_first.name").alias("first_name")
+            "block", "value", "_size",
+            F.col("_first.lead_id").alias("first_id"), F.col("_first.name").alias("first_name"),
         )
     )
     return (
-        attach_facts(keyed, blocks, key, "_size", total_rows)
+        attach_facts(keyed, blocks, ["block", "value"], "_size", len(keys) * total_rows, heavy_floor)
         .filter(F.col("lead_id") != F.col("first_id"))
-        .select(F.lit(key).alias("block"), "first_id", "first_name", "lead_id", "name")
+        .select("block", "first_id", "first_name", "lead_id", "name")
     )
 
 
 def match_pairs(pairs: DataFrame, minimum: float = vocab.NAME_SIMILARITY_MIN) -> DataFrame:
     """Pairs whose names are similar enough, or one of them blank."""
-    return pairs.filter(
-        names_match(sorted_tokens(F.col("first_name")), sorted_tokens(F.col("name")), minimum)
-    )
+    return pairs.filter(names_match(F.col("first_name"), F.col("name"), minimum))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets; one small aggregate over a written table."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-        F.bit_xor(F.xxhash64("b", "a")).alias("y"),
-    ).first()
-    return row.n, row.x, row.y
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent is a child."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    parents = edges.select(F.col("b").alias("a")).distinct()
+    inner = parents.join(edges.select("a"), "a", "left_semi")
+    return several.unionByName(inner).isEmpty()
 
 
-def _attach_minimum(edges: DataFrame, total: int) -> DataFrame:
+def _attach_minimum(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
     """Edges (u, v) with the least neighbour ``m`` of u, u itself included."""
     facts = edges.groupBy("u").agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("_size"))
     least = facts.select("u", "_size", F.least("u", "_v").alias("m"))
-    return attach_facts(edges, least, "u", "_size", total)
+    return attach_facts(edges, least, ["u"], "_size", total, heavy_floor)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    linked = _attach_minimum(both, 2 * total).filter(F.col("v") > F.col("u"))
-    return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    linked = _attach_minimum(both, 2 * total, heavy_floor).filter(F.col("v") > F.col("u"))
+    return linked.select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    linked = _attach_minimum(down, total)
+    linked = _attach_minimum(down, total, heavy_floor)
     moved = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = linked.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(own).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(
+    edges: DataFrame, scratch: Scratch, max_rounds: int = 60, heavy_floor: int = HEAVY_FLOOR
+) -> DataFrame:
     """``(node, component)`` for every node of the edges ``(a, b)``.
 
     Alternating large-star and small-star steps: every edge is moved to the
     least neighbour until all components are stars around their least node.
     Each round is written to the shared scratch folder, which cuts the lineage
-    and survives lost executors; the loop ends when a round changes nothing.
+    and survives lost executors; the loop ends when only stars are left.
     """
     current = scratch.put("edges-0", edges.filter("a <> b").select("a", "b").distinct())
-    mark = _fingerprint(current)
     for i in range(1, max_rounds + 1):
-        if mark[0] == 0:
+        total = current.count()
+        if total == 0:
             break
-        step = _small_star(_large_star(current, mark[0]), mark[0])
-        following = scratch.put(f"edges-{i}", step)
-        following_mark = _fingerprint(following)
+        moved = _large_star(current, total, heavy_floor)
+        following = scratch.put(f"edges-{i}", _small_star(moved, total, heavy_floor))
         scratch.drop(f"edges-{i - 1}")
-        stable, current, mark = following_mark == mark, following, following_mark
-        if stable:
+        current = following
+        if _is_star_forest(current):
             break
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
@@ -170,16 +178,13 @@ class Resolution:
 
 
 def matched_edges(
-    cands: DataFrame, total_rows: int, keys: Sequence[str] = KEYS, minimum: float = vocab.NAME_SIMILARITY_MIN
+    cands: DataFrame, total_rows: int, keys: Sequence[str] = KEYS,
+    minimum: float = vocab.NAME_SIMILARITY_MIN, heavy_floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
     """D2-D4 over all keys: the edges of the duplicate graph."""
-    edges = None
-    for key in keys:
-        found = match_pairs(block_pairs(cands, key, total_rows), minimum).select(
-            F.col("first_id").alias("a"), F.col("lead_id").alias("b")
-        )
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+    return match_pairs(block_pairs(cands, total_rows, keys, heavy_floor), minimum).select(
+        F.col("first_id").alias("a"), F.col("lead_id").alias("b")
+    )
 
 
 def resolve_entities(

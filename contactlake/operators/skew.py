@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 #: a key is heavy when it holds more than 1/HEAVY_KEYS of all rows, hence at
-#: most HEAVY_KEYS keys are heavy: the broadcast side is bounded by this.
+#: most HEAVY_KEYS keys are heavy: the broadcast side is bounded by this
 HEAVY_KEYS = 10_000
-#: keys with fewer rows are never worth a separate branch
-HEAVY_FLOOR = 10_000
+#: so many narrow rows of one key are no burden for one task
+HEAVY_FLOOR = 1_000_000
 
 
-def attach_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total_rows: int) -> DataFrame:
-    """Inner-join ``rows`` with ``facts`` (unique per ``key``) without a hot task.
+def attach_facts(
+    rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total_rows: int,
+    floor: int = HEAVY_FLOOR,
+) -> DataFrame:
+    """Inner-join ``rows`` with ``facts`` (unique per key) without a hot task.
 
     ``size`` is the facts column with the number of rows of that key. Rows of
     heavy keys never go through the shuffle: they meet a broadcast of the
     heavy facts, of which there are at most ``HEAVY_KEYS``. The others are
     shuffled by key, and the largest of them is a small share of the total.
     """
-    cut = max(HEAVY_FLOOR, total_rows // HEAVY_KEYS)
+    cut = max(floor, total_rows // HEAVY_KEYS)
+    if total_rows <= cut:
+        return rows.join(facts, keys)
     heavy = facts.filter(F.col(size) > cut)
     light = facts.filter(F.col(size) <= cut)
-    if total_rows <= cut:
-        return rows.join(light, key)
-    heavy_keys = F.broadcast(heavy.select(key))
-    hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(heavy_keys, key, "left_anti").join(light, key)
+    hot = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return hot.unionByName(rest)

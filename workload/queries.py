@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from contactlake import model, vocab
 from contactlake.functions import dates, emails, names, phones, values
 from contactlake.functions.layers import apply_layers
-from contactlake.functions.similarity import similarity, sorted_tokens
+from contactlake.functions.similarity import similarity
 from contactlake.operators import drift, entities, inference, mappings as M, memory, records
 from contactlake.operators.positions import form_batches, slice_records
 from contactlake.operators.profiling import profile_source
@@ -783,9 +783,7 @@ def d1_candidates(spark, sf_dir):
 
 def _pairs(spark, sf_dir) -> DataFrame:
     cands = entities.candidates(leads(spark, sf_dir))
-    total = cands.count()
-    by_phone, by_email = (entities.block_pairs(cands, key, total) for key in entities.KEYS)
-    return by_phone.unionByName(by_email)
+    return entities.block_pairs(cands, cands.count())
 
 
 @query
@@ -795,10 +793,8 @@ def d2_block_pairs(spark, sf_dir):
 
 @query
 def d3_name_similarity(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).filter("trim(first_name) <> '' and trim(name) <> ''")
-    distinct = pairs.select(
-        sorted_tokens(F.col("first_name")).alias("a"), sorted_tokens(F.col("name")).alias("b")
-    ).distinct()
+    pairs = _pairs(spark, sf_dir).filter("first_name <> '' and name <> ''")
+    distinct = pairs.select(F.col("first_name").alias("a"), F.col("name").alias("b")).distinct()
     return distinct.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
 
 
