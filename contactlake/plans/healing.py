@@ -83,6 +83,12 @@ def _of_batches(df: DataFrame, places: Mapping[str, int]) -> DataFrame:
     return df.filter(wanted)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows of a small control frame (a few per field of a source) as they
+    are now, so the plans built on it do not go back to the batches."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 class _Healing:
     def __init__(
         self, df: DataFrame, mapper: Mapper, memory: DataFrame | None, max_attempts: int,
@@ -96,8 +102,8 @@ class _Healing:
         self.learned: list[tuple[str, FieldMapping, DataFrame]] = []
 
     def profile(self, places: Mapping[str, int]) -> DataFrame:
-        return profile_source(
-            _of_batches(self.df, places), ("source",), self.order, self.profile_rows
+        return _settled(
+            profile_source(_of_batches(self.df, places), ("source",), self.order, self.profile_rows)
         )
 
     def infer(
@@ -114,7 +120,7 @@ class _Healing:
         todo = profile
         for turn in range(vocab.INFERENCE_ATTEMPTS):
             told = spark.createDataFrame(reports, "source string, report string") if reports else None
-            proposal = self.mapper(todo, self.memory, attempt + turn, told)
+            proposal = _settled(self.mapper(todo, self.memory, attempt + turn, told))
             verdicts, table = M.validate_mappings(proposal, todo)
             accepted.update(M.from_table(table))
             # one row per source
@@ -135,8 +141,7 @@ class _Healing:
 
     def cold_start(self, states: Iterable[_State]) -> None:
         places = {s.source: s.at for s in states}
-        # small: at most a few hundred rows per source, read several times
-        profile = self.profile(places).persist()
+        profile = self.profile(places)
         found, rejected = self.infer(profile, 1, {})
         for state in states:
             if state.source in found:
@@ -174,7 +179,7 @@ class _Healing:
         for s in states:
             self.events.append(Event(s.source, s.at, "drift_detected", 0, feedback.get(s.source, "")))
             s.mapping = None
-        profile = self.profile(places).persist()
+        profile = self.profile(places)
         open_ = {s.source: s for s in states}
         for attempt in range(1, self.max_attempts + 1):
             if not open_:
