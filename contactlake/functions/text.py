@@ -62,7 +62,10 @@ def title_case(c: Column) -> Column:
 def one_case(c: Column) -> Column:
     """True when the cased letters are all upper or all lower, and there is one."""
     upper, lower = F.upper(c), F.lower(c)
-    return ((upper == c) | (lower == c)) & (upper != lower)
+    plain = ((upper == c) | (lower == c)) & (upper != lower)
+    # beyond ASCII there are cased letters without a counterpart
+    by_property = (c.rlike(r"\p{IsUppercase}") != c.rlike(r"\p{IsLowercase}")) & ~c.rlike(r"\p{Lt}")
+    return F.when(is_ascii(c), plain).otherwise(by_property)
 
 
 def words(c: Column) -> Column:
