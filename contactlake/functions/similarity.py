@@ -23,7 +23,7 @@ def sorted_tokens(name: Column) -> Column:
 
 
 def _characters(c: Column) -> Column:
-    return F.split(c, "(?!^)")
+    return F.array_remove(F.split(c, ""), "")
 
 
 def _bound(value: Column, body) -> Column:
