@@ -19,7 +19,7 @@ LEADS = T.StructType(
         T.StructField("created_at", T.TimestampType()),
         T.StructField("quality_score", T.IntegerType()),
         T.StructField("status", T.StringType()),
-        T.StructField("flags", T.ArrayType(T.StringType(), False)),
+        T.StructField("flags", T.ArrayType(T.StringType())),
         T.StructField("raw_payload", T.StringType()),
         T.StructField("ingested_at", T.TimestampType()),
     ]

@@ -484,13 +484,14 @@ firstdrift AS (
         # before the drift is caught, renamed rows lack name and phone; in the
         # healed batches old rows would lack them
         """SELECT source, batch_id,
-  CASE WHEN renamed AND batch_id < (SELECT b FROM firstdrift) THEN 'flagged' ELSE status END AS status, count(*) AS n
+  CASE WHEN renamed AND batch_id < coalesce((SELECT b FROM firstdrift), batch_id + 1) THEN 'flagged' ELSE status END AS status, count(*) AS n
 FROM ranked GROUP BY ALL""",
     ),
     "m11_heal_events": _with(
         _DRIFT + ",\nfirstdrift AS (SELECT min(batch_id) AS b FROM decision WHERE drifted)",
         """SELECT CAST(step AS BIGINT) AS step, 'facebook' AS source, b AS batch_id, event, CAST(attempt AS BIGINT) AS attempt
-FROM firstdrift, (VALUES (0, 'drift_detected', 0), (1, 'retry', 1), (2, 'healed', 1)) AS t(step, event, attempt)""",
+FROM firstdrift, (VALUES (0, 'drift_detected', 0), (1, 'retry', 1), (2, 'healed', 1)) AS t(step, event, attempt)
+WHERE b IS NOT NULL""",
     ),
     "m12_give_up": _with(
         _DRIFT,
