@@ -54,18 +54,21 @@ def value_evidence(profile: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     keys_ = list(keys)
     samples = profile.select(*keys_, "field", F.explode_outer("samples").alias("_value"))
     v = F.col("_value")
+    # a few samples per field: side by side keeps the plan short
     cleaned = apply_layers(
         samples,
-        emails.email_recipe(v, "_email"),
-        phones.phone_recipe(v, "_phone"),
-        dates.date_recipe(v, "_date"),
-        names.name_recipe(v, "_name"),
+        (
+            emails.email_recipe(v, "_email"),
+            phones.phone_recipe(v, "_phone"),
+            dates.date_recipe(v, "_date"),
+            names.name_recipe(v, "_name"),
+        ),
     )
     consent = F.lower(text.strip(v)).isin(*vocab.CONSENT_TRUE, *CONSENT_FALSE)
     tests = {
         "email": F.col("_email").isNotNull() | F.contains(v, F.lit("@")),
-        "phone": (F.col("_phone").isNotNull() | (F.col("_phone_flag") == phones.JUNK))
-        & (F.col("_phone_flag").isNull() | (F.col("_phone_flag") != phones.UNPARSEABLE)),
+        "phone": F.col("_phone").isNotNull()
+        | ((F.col("_phone_flag") == phones.JUNK) & v.rlike("[0-9]")),
         "created_at": F.col("_date").isNotNull(),
         "consent": consent,
         "name_like": (F.col("_name").rlike(r"^[\p{L}][\p{L}.'’ -]*$") | F.col("_name").isNull()) & ~consent,

@@ -183,21 +183,18 @@ def s6_form_batches(spark, sf_dir):
 def s7_stream_replay(spark, sf_dir):
     scratch = Scratch(spark, "stream")
     lines = f.feed_lines(spark, sf_dir, drift=True).filter(F.col("source") == "facebook")
-    # four folders of files arriving one after the other
     total = f.table(spark, sf_dir, "orders").count()
     quarter = F.floor(F.col("seq") * 4 / total).cast("int")
-    inbox = scratch.path("inbox")
-    arrived = scratch.put("arrived", lines.withColumn("quarter", quarter))
-    for q in range(4):
-        part = arrived.filter(F.col("quarter") == q).select("raw_line")
-        part.coalesce(1).write.mode("append").text(inbox)
-    root = scratch.path("lake")
+    inbox, root = scratch.path("inbox"), scratch.path("lake")
+    arrived = scratch.put("arrived", lines.withColumn("quarter", quarter), ("quarter",))
     handler = replay.heal_handler(
         spark, root, f.ingest_ts(), known=vocab.KNOWN_MAPPINGS, batch_size=10**9
     )
-    replay.run_stream(
-        replay.line_stream(spark, inbox, "facebook"), scratch.path("checkpoint"), handler
-    )
+    # four deliveries; after each the stream takes up what is new
+    for q in range(4):
+        arrived.filter(F.col("quarter") == q).select("raw_line").write.mode("append").text(inbox)
+        stream = replay.line_stream(spark, inbox, "facebook", files_per_batch=1000)
+        replay.run_stream(stream, scratch.path("checkpoint"), handler)
     table = RunTable(spark, f"{root}/leads", model.LEADS).read()
     return table.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
 
