@@ -168,13 +168,17 @@ class Resolution:
 
     def summary(self) -> DataFrame:
         """Leads scanned, duplicates marked, groups that span sources."""
+        none = F.lit(0).cast("bigint")
         groups = self.groups.agg(
-            F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("duplicates"),
+            F.coalesce(F.sum(F.col("members") - 1), none).alias("duplicates"),
             F.count_if("cross_source").alias("cross_source_groups"),
+        ).select(none.alias("scanned"), "duplicates", "cross_source_groups")
+        scanned = self.candidates.agg(F.count(F.lit(1)).alias("scanned")).select(
+            "scanned", none.alias("duplicates"), none.alias("cross_source_groups")
+        )
+        return scanned.unionByName(groups).agg(
+            *[F.sum(c).alias(c) for c in ("scanned", "duplicates", "cross_source_groups")]
         )
-        scanned = self.candidates.agg(F.count(F.lit(1)).alias("scanned"))
-        # two one-row aggregates side by side
-        return scanned.join(groups, F.lit(True)).select("scanned", "duplicates", "cross_source_groups")
 
 
 def matched_edges(

@@ -102,13 +102,18 @@ def run_report(checked: DataFrame) -> DataFrame:
 
 def run_totals(checked: DataFrame, leads: DataFrame, seconds: float) -> DataFrame:
     """Rows and rows per second of the run, and what the table holds."""
-    rows = checked.agg(F.count(F.lit(1)).alias("rows"))
+    none = F.lit(0).cast("bigint")
+    rows = checked.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", none.alias("table_rows"), none.alias("table_clean")
+    )
     held = leads.agg(
         F.count(F.lit(1)).alias("table_rows"), _status_count("clean").alias("table_clean")
+    ).select(none.alias("rows"), "table_rows", "table_clean")
+    both = rows.unionByName(held).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "table_rows", "table_clean")]
     )
     spent = F.greatest(F.lit(float(seconds)), F.lit(0.01))
-    # two one-row aggregates side by side
-    return rows.join(held, F.lit(True)).select(
+    return both.select(
         "rows",
         F.lit(float(seconds)).alias("seconds"),
         (F.col("rows") / spent).alias("rows_per_second"),

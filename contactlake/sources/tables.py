@@ -7,7 +7,7 @@ log are appended by run, and a repeated run replaces its own part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from contactlake import model
 from contactlake.operators import mappings as M
@@ -38,7 +38,12 @@ class RunTable:
 
 
 class LeadsTable:
-    """The leads table with INSERT OR REPLACE by ``lead_id`` (K1)."""
+    """The leads table with INSERT OR REPLACE by ``lead_id`` (K1).
+
+    An insert writes the table anew, which suits a daily load. Frequent small
+    loads (micro-batches) append to a ``RunTable`` instead and resolve the
+    latest row per id when reading (``latest_by_key``).
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -98,9 +103,3 @@ class MappingLog:
 
     def current(self, before_run: str | None = None) -> dict[str, dict[str, str]]:
         return M.from_table(M.current_mappings(self.read(before_run)))
-
-
-def log_rows(spark: SparkSession, entries: list[tuple], ts: Column) -> DataFrame:
-    """Heal events (source, event, attempt, detail) as table rows (K2)."""
-    df = spark.createDataFrame(entries, "source string, event string, attempt int, detail string")
-    return model.heal_events(df, ts)
