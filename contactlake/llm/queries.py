@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import simhash
+from contactlake.llm import bpe, simhash
 from contactlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), codec).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op4_bytebpe": op4_bytebpe,
     "op6_simhash": op6_simhash,
 }
 
