@@ -7,12 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, simhash
+from contactlake.llm import bpe, simhash, tokens
 from contactlake.llm.common import table
+from contactlake.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = Scratch(spark, "tokens").path("store")
+    tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op4_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec).select(
@@ -25,6 +35,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_tokens": op1_tokens,
     "op4_bytebpe": op4_bytebpe,
     "op6_simhash": op6_simhash,
 }
