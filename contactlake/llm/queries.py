@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, simhash, tokens
+from contactlake.llm import bpe, sharding, simhash, tokens
 from contactlake.llm.common import table
 from contactlake.session import Scratch
 
@@ -23,6 +23,13 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec).select(
@@ -36,6 +43,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
+    "op3_sharding": op3_sharding,
     "op4_bytebpe": op4_bytebpe,
     "op6_simhash": op6_simhash,
 }
