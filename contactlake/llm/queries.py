@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, sharding, simhash, tokens
+from contactlake.llm import bpe, chat, linefreq, sharding, simhash, tokens
 from contactlake.llm.common import table
+from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,12 +42,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_linefreq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rotated = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat(m["start"], F.lit(":"), m["end"]))
+    return rotated.select(
+        "conv_id", "speaker", "block", "part", "n_turns", "text", F.array_join(spans, ",").alias("masks")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
     "op3_sharding": op3_sharding,
     "op4_bytebpe": op4_bytebpe,
     "op6_simhash": op6_simhash,
+    "op7_linefreq": op7_linefreq,
+    "op8_chat": op8_chat,
 }
-
-#: DuckDB SQL for the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
