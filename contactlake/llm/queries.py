@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, chat, linefreq, sharding, simhash, tokens
+from contactlake.llm import bpe, chat, linefreq, sharding, simhash, tokens, toxicity
 from contactlake.llm.common import table
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
@@ -24,6 +24,10 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -56,6 +60,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_bytebpe": op4_bytebpe,
     "op6_simhash": op6_simhash,

@@ -18,6 +18,8 @@ and one small frame.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -40,8 +42,10 @@ LEVEL = 3
 PART_ROWS = 16_384
 MAX_PARTS = 100_000
 BLOCK_BYTES = 1 << 20
-#: words that a worker remembers
-REMEMBERED = 400_000
+#: words that a worker remembers in one of two generations
+REMEMBERED = 250_000
+#: words of letters that are encoded in one call
+TOGETHER = 50
 
 _BLOCKS = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
@@ -60,32 +64,64 @@ class WordEncoder:
     """Whole texts to serialised ids; words that come again are looked up.
 
     White space ends a word for this kind of tokenizer and is dropped, so a
-    text's ids are those of the parts between spaces and line breaks.
+    text's ids are those of the parts between spaces and line breaks. Words are
+    remembered in two generations: when the younger is full it becomes the
+    older one, and words still in use move on.
     """
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.width = 2 if max(self.tokenizer.get_vocab_size(True) - 1, END_ID) < 1 << 16 else 4
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max([END_ID, *vocabulary.values()]) < 1 << 16 else 4
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [self._bytes(e.ids) for e in found]
+
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters only are one run of ids each, whose last one ends a word: many are encoded at once."""
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(stops) == len(some) and stops[-1] == len(ids) * self.width:
+                content, cuts = self._bytes(ids), [0, *stops.tolist()]
+                yield from (content[a:b] for a, b in zip(cuts, cuts[1:]))
+            else:
+                yield from self._encode(some)
 
     def _learn(self, wanted: Iterable[str]) -> None:
         new = [w for w in set(wanted) if w not in self.known]
-        dtype = f"<u{self.width}"
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(new, encoded))
+        letters = [w for w in new if w.isalpha() and w.lower().isalpha()]
+        self.known.update(zip(letters, self._encode_letters(letters)))
+        others = [w for w in new if w not in self.known]
+        self.known.update(zip(others, self._encode(others)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*cut) if w not in self.known]
-        # a mark behind letters is a token of its own
-        marked = [w for w in new if w[-1] in ",." and w[:-1].isalpha() and w[:-1].lower().isalpha()]
-        self._learn({w[:-1] for w in marked} | {w[-1] for w in marked} | (set(new) - set(marked)))
-        known = self.known
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
+        unknown = [w for w in set().union(*cut) if w not in known]
+        known.update((w, older[w]) for w in unknown if w in older)
+        new = [w for w in unknown if w not in older]
+        # a mark behind letters is a token of its own, and so is a capital's small letter
+        marked = {w: w[:-1] for w in new if w[-1:] in {",", "."} and w[:-1].isalpha() and w[:-1].lower().isalpha()}
+        plain = {w: marked.get(w, w) for w in new}
+        plain = {w: p.lower() if p.isascii() else p for w, p in plain.items()}
+        self._learn({*plain.values(), *(w[-1] for w in marked)})
+        known.update((w, known[p] + known[w[-1]] if w in marked else known[p]) for w, p in plain.items())
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
