@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS = 1 << 18
 #: buckets with an embedding: those whose presence differs between the classes
 #: by so many standard errors, and the first so many of them; others stay at zero
-TELLING = 8.0
+TELLING = 6.0
 EMBEDDED = 1 << 12
 DIMENSIONS = 4
 NGRAMS = (3, 4, 5)
