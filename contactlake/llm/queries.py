@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, chat, linefreq, sharding, simhash, tokens, toxicity
+from contactlake.llm import bpe, chat, decontam, linefreq, sharding, simhash, tokens, toxicity
 from contactlake.llm.common import table
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
@@ -42,6 +42,11 @@ def op4_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_bytebpe": op4_bytebpe,
+    "op5_decontam": op5_decontam,
     "op6_simhash": op6_simhash,
     "op7_linefreq": op7_linefreq,
     "op8_chat": op8_chat,
