@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, chat, decontam, linefreq, sharding, simhash, tokens, toxicity
+from contactlake.llm import bpe, chat, decontam, linefreq, repeats, sharding, simhash, tokens, toxicity
 from contactlake.llm.common import table
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
@@ -63,6 +63,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
     "op2_toxicity": op2_toxicity,
@@ -72,4 +79,5 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_linefreq": op7_linefreq,
     "op8_chat": op8_chat,
+    "op10_repeats": op10_repeats,
 }
