@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, chat, decontam, linefreq, repeats, sharding, simhash, tokens, toxicity
+from contactlake.llm import bpe, chat, decontam, linefreq, pii, repeats, sharding, simhash, tokens, toxicity
 from contactlake.llm.common import table
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
@@ -63,6 +63,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
+    kinds = F.transform("strict", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}")
+        for k in ("email", "ip", "card", "phone")
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.described(F.col("strict")).cast("binary"), 256).alias("base_sha256"),
+        pii.described(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")).alias("n_removed"),
@@ -79,5 +92,6 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_linefreq": op7_linefreq,
     "op8_chat": op8_chat,
+    "op9_pii": op9_pii,
     "op10_repeats": op10_repeats,
 }

@@ -30,7 +30,7 @@ DIMENSIONS = 4
 NGRAMS = (3, 4, 5)
 #: the classifier is fitted on so many labelled documents of each class at
 #: most, chosen by their ids' hash, of at most so many characters each
-TRAIN_PER_CLASS = 1_500
+TRAIN_PER_CLASS = 1_000
 TRAIN_CHARS = 10_000
 EPOCHS = 150
 RATE = 0.03
@@ -71,21 +71,21 @@ def _segments(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _pooled(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The mean of all texts' bags as sparse (text, bucket, share): a word's buckets share its part of the text."""
-    known: dict[str, list[int]] = {}
-    rows, columns, shares = [], [], []
-    for i, text in enumerate(texts):
+    known: dict[str, np.ndarray] = {}
+    found, shares = [], []
+    for text in texts:
         bag = Counter(tokens(text))
-        length = sum(bag.values())
-        for word, n in bag.items():
-            own = known.get(word)
-            if own is None:
-                own = known[word] = buckets(word)
-            columns += own
-            shares += [n / length / max(1, len(own))] * len(own)
-        rows.append(len(columns))
-    at = np.repeat(np.arange(len(texts)), np.diff([0, *rows]))
-    cells, where = np.unique(at * BUCKETS + np.asarray(columns, np.int64), return_inverse=True)
-    return cells // BUCKETS, cells % BUCKETS, np.bincount(where, shares, len(cells))
+        if len(known) > REMEMBERED // 8:
+            known.clear()
+        known.update((w, np.array(buckets(w), np.int32)) for w in bag if w not in known)
+        own = [known[w] for w in bag]
+        part = np.array([n / max(1, len(b)) for n, b in zip(bag.values(), own)]) / max(1, sum(bag.values()))
+        flat = np.concatenate([*own, np.zeros(0, np.int32)])
+        bucket, where = np.unique(flat, return_inverse=True)
+        found.append(bucket)
+        shares.append(np.bincount(where, np.repeat(part, [len(b) for b in own]), len(bucket)).astype(np.float32))
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    return row, np.concatenate([*found, np.zeros(0, np.int32)]), np.concatenate([*shares, np.zeros(0, np.float32)])
 
 
 def train(texts: Sequence[str], labels: Sequence[int], weights: Sequence[float], seed: int = 1) -> Model:
@@ -104,7 +104,7 @@ def train(texts: Sequence[str], labels: Sequence[int], weights: Sequence[float],
     own = place[bucket] >= 0
     pooled = np.zeros((n, len(chosen)), np.float32)
     pooled[row[own], place[bucket[own]]] = share[own]
-    spread = np.sqrt((pooled.astype(np.float32) ** 2).mean(0)) + 1e-6
+    spread = np.sqrt((pooled * pooled).mean(0)) + 1e-6
     pooled /= spread
 
     rng = np.random.default_rng(seed)
