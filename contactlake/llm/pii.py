@@ -47,6 +47,7 @@ LABELERS = ("v_regex", "v_words", "v_around", "v_shape")
 FEATURES = ("kind", "size", *LABELERS)
 #: spans placed in one step; the steps are summed up behind each other
 BLOCK = 64
+BLOT = "\ufffd"
 ROUNDS = 50
 STEPS = 400
 
@@ -287,36 +288,44 @@ def fit(found: DataFrame, column: str) -> Classifier | None:
 
 
 def all_spans(strict: Column, proposed: Column, model: Classifier | None) -> Column:
-    """The strict spans and the accepted candidates that touch none of them, in order."""
+    """The strict spans and the accepted candidates, in order; candidates touch no strict span."""
     if model is None:
         return strict
-    free = lambda x: ~F.exists(strict, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
     rank = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int") - 1
     added = F.transform(
-        F.filter(proposed, lambda x: model.keeps(x) & free(x)),
+        F.filter(proposed, model.keeps),
         lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")),
     )
     return F.sort_array(F.array_distinct(F.concat(strict, added.cast(_SPANS))))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind; overlapping spans become one, of the first's kind."""
-    step = lambda a, s: F.when(
-        s["start"] >= a["at"],
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.array(F.concat(
-                F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
-            ))).alias("out"),
-        ),
-    ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    none = F.array().cast("array<string>")
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(
-            spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step,
-            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
+def _replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """The text with spans replaced by ``fill(span, code points not yet replaced)``."""
+
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(a["at"], s["start"])
+        size = F.greatest(s["end"] - start, F.lit(0))
+        kept = F.substring(text, a["at"] + 1, start - a["at"])
+        return F.struct(
+            (start + size).alias("at"), F.concat(a["out"], F.array(F.concat(kept, fill(s, size)))).alias("out")
         )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(
+        spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
     )
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with spans blotted out in place: what the wider patterns look at."""
+    return _replaced(text, spans, lambda s, size: F.repeat(F.lit(BLOT), size))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind; an overlapping span adds its kind behind."""
+    name = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+    return _replaced(text, spans, lambda s, size: F.when(size > 0, name(s)).otherwise(""))
 
 
 def described(spans: Column) -> Column:
@@ -331,20 +340,20 @@ def find(docs: DataFrame, scratch, key: str = "doc_id", text: str = "text") -> D
     an empty table gives an empty result.
     """
     given = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = scratch.put(
-        "found", given.select("key", strict_spans(F.col("text")).alias("strict"), candidates(F.col("text")).alias("proposed"))
-    )
+    strict = given.withColumn("strict", strict_spans(F.col("text")))
+    rest = strict.select("key", "strict", masked(F.col("text"), F.col("strict")).alias("rest"))
+    found = scratch.put("found", rest.select("key", "strict", candidates(F.col("rest")).alias("proposed")))
     model = fit(found, "proposed")
     return found.select(F.col("key").alias(key), "strict", all_spans(F.col("strict"), F.col("proposed"), model).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced by its kind; a null text stays null."""
-    content, strict, proposed = (fresh(docs, n) for n in ("pii_text", "pii_strict", "pii_proposed"))
+    content, strict, rest, proposed, spans = (fresh(docs, f"pii_{n}") for n in ("text", "strict", "rest", "proposed", "spans"))
     given = docs.withColumn(content, F.coalesce(F.col(text), F.lit("")))
-    model = fit(given.select(candidates(F.col(content)).alias("proposed")), "proposed")
-    found = given.withColumns({strict: strict_spans(F.col(content)), proposed: candidates(F.col(content))})
-    spans = fresh(docs, "pii_spans")
-    placed = found.withColumn(spans, all_spans(F.col(strict), F.col(proposed), model))
+    strictly = given.withColumn(strict, strict_spans(F.col(content)))
+    looked = strictly.withColumn(rest, masked(F.col(content), F.col(strict))).withColumn(proposed, candidates(F.col(rest)))
+    model = fit(looked.select(proposed), proposed)
+    placed = looked.withColumn(spans, all_spans(F.col(strict), F.col(proposed), model))
     changed = F.when(F.col(text).isNotNull(), redacted(F.col(content), F.col(spans)))
     return placed.withColumn(text, changed).select(*docs.columns)

@@ -140,6 +140,30 @@ def links(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> Data
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _components(
+    docs: DataFrame, key: str, text: str, width: int, max_bits: int
+) -> tuple[DataFrame, DataFrame]:
+    """Stored rows ``(key, text_hash, fp)``, and per fingerprint its copies, least key and component."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.put(
+        "prints",
+        docs.select(
+            F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"),
+            fingerprint_column(F.col(text), width).alias("fp"),
+        ),
+    )
+    prints = scratch.put(
+        "distinct", rows.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
+    )
+    pairs = scratch.put("links", links(prints, scratch, max_bits))
+    parts = connected_components(pairs, scratch)
+    grouped = prints.join(parts, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", "copies", F.coalesce("component", "fp").alias("root")
+    )
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows, scratch.put("facts", grouped.join(least, "root").select("fp", "copies", "root", "component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
@@ -153,34 +177,31 @@ def near_duplicates(
     rows stay repeated; an empty table gives an empty result; other columns
     are not looked at.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.put(
-        "prints", docs.select(F.col(key).alias("key"), fingerprint_column(F.col(text), width).alias("fp"))
-    )
-    prints = scratch.put(
-        "distinct", rows.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
-    )
-    pairs = scratch.put("links", links(prints, scratch, max_bits))
-    parts = connected_components(pairs, scratch)
-    grouped = prints.join(parts, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", "copies", F.coalesce("component", "fp").alias("root")
-    )
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    facts = scratch.put("facts", grouped.join(least, "root").select("fp", "copies", "component_id"))
+    rows, facts = _components(docs, key, text, width, max_bits)
     joined = attach_facts(rows, facts, ["fp"], "copies", rows.count())
     return joined.select(
         F.col("key").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with its id.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """The documents without near-duplicates: of each component the row with the smallest key.
 
-    Of repeated rows with that id all stay equal, so one of them is kept; a
-    component whose keys are all null keeps one row.
+    Of rows that share that key the one with the least hash of its text stays,
+    a null key stays only where no other is in its component, and of repeated
+    rows one stays. All columns are kept.
     """
-    found = near_duplicates(docs, key, text, **options)
-    lead = fresh(docs, "lead")
-    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(lead)).distinct()
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col(lead)), "left_semi")
-    return kept.dropDuplicates([key])
+    rows, facts = _components(docs, key, text, width, max_bits)
+    placed = attach_facts(rows, facts, ["fp"], "copies", rows.count())
+    best = F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "text_hash")).alias("best")
+    own_key, own_hash, text_hash = (fresh(docs, n) for n in ("own_key", "own_hash", "text_hash"))
+    chosen = placed.groupBy("root").agg(best).select(
+        F.col("best.key").alias(own_key), F.col("best.text_hash").alias(own_hash)
+    )
+    hashed = docs.withColumn(text_hash, F.xxhash64(text))
+    # joined by the hash alone, so that the same shuffle serves the repeated rows
+    same_key = F.coalesce(F.col(key) == F.col(own_key), F.col(key).isNull() & F.col(own_key).isNull())
+    kept = hashed.join(chosen, (F.col(text_hash) == F.col(own_hash)) & same_key, "left_semi")
+    return kept.dropDuplicates([text_hash, key]).drop(text_hash)

@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from contactlake.llm.common import fresh
+
 BUCKETS = 1 << 18
 #: buckets with an embedding: those whose presence differs between the classes
 #: by so many standard errors, and the first so many of them; others stay at zero
@@ -229,3 +231,11 @@ def score_documents(
         key, F.coalesce(fold(F.col(key)) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def reject_toxic(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> DataFrame:
+    """The documents that score below 0.5; all columns are kept."""
+    model, scored = fit(docs, labels, key, text, label), fresh(docs, "score")
+    return docs.withColumn(scored, score(docs, model, F.col(text))).filter(F.col(scored) < 0.5).drop(scored)
