@@ -207,7 +207,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
         def flush() -> pa.RecordBatch:
             keys, counts, frames = zip(*held)
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
-            row = (part, block, keys[0], keys[-1], before, sum(counts), digest, keys, counts, offsets, b"".join(frames))
+            real = [k for k in keys if k is not None] or [None]
+            row = (part, block, real[0], real[-1], before, sum(counts), digest, keys, counts, offsets, b"".join(frames))
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS
             )
