@@ -13,16 +13,23 @@ from contactlake import vocab
 from contactlake.operators import records
 from contactlake.session import configure
 
-FIRST = ("Angela", "Brian", "Carla", "Derek", "Elena", "Frank", "Grace", "Henry")
-LAST = ("Smith", "Jones", "Brown", "Wolfe", "Reyes", "Hayes", "Moran", "Davis")
-EMOJI = ("😀", "🔥", "❤️", "✨", "🙏")
-DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "acme-corp.com", "bigco.io")
-CONSENT = ("Yes", "yes", "Y", "TRUE", "I agree", "true", "No", "no", "FALSE", "", "false")
+FIRST = (
+    "Ilse", "Marlo", "Quentin", "Priya", "Tomas", "Wren", "Adaeze", "Bjorn", "Chiara", "Dmitri", "Esme", "Farid",
+    "Greta", "Hakon", "Imani", "Jorge", "Keiko", "Leif", "Mirela", "Nadia", "Osei", "Petra", "Rafael", "Sanna",
+)
+LAST = (
+    "Abara", "Bergstrom", "Castellanos", "Dufour", "Eriksen", "Fontaine", "Gallagher", "Hoffmann", "Ishikawa",
+    "Jankowski", "Kowalczyk", "Lindqvist", "Mbeki", "Novak", "Okonkwo", "Pereira", "Quintana", "Rosenthal", "Silva",
+    "Takahashi",
+)
+SYMBOLS = ("🌱", "🚀", "☀️", "🎈")
+DOMAINS = ("gmail.com", "harborline.org", "icloud.com", "vexcorp.net", "studio-nine.co", "tidewater.io", "aol.com")
+CONSENT = ("YES", "decline", "opted in", "0", "Agree", "", "1", "nope", "ok", "No thanks", "later")
 CAMPAIGNS = {
-    "facebook": ("23851234567890789", "23851234567890111", "23851234567890222"),
-    "instagram": ("StoryAds_Q3", "Summer_Promo_IG", "Reels_July_Blast"),
-    "google_form": ("Google", "Friend", "Radio"),
-    "landing_page": ("lp_july_sale", "lp_summer_promo", "lp_worldcup_special"),
+    "facebook": ("44100770001", "44100770002", "44100770003", "44100770004"),
+    "instagram": ("reel-autumn", "story-launch", "carousel-b", "bio-link"),
+    "google_form": ("Newspaper", "Neighbour", "Podcast", "Trade fair"),
+    "landing_page": ("spring-open-day", "trial-30", "webinar-07", "whitepaper"),
 }
 CSV_HEADERS = {
     "instagram": ["Full Name", "E-mail", "Phone #", "Campaign", "Date Submitted", "Consent?"],
@@ -54,69 +61,73 @@ def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw field values of every row, before rendering."""
     seq = F.col("seq")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), "o_orderdate")
+    # persons come alone, in twos and in threes: the last rows of every nine repeat an earlier one
+    place = seq % 9
     base = orders.select(
         "seq",
         _pick(vocab.SOURCES, seq % 4).alias("source"),
-        (seq - F.when(seq % 5 == 4, 1).otherwise(0)).alias("p"),
-        F.expr("o_orderdate + make_dt_interval(0, 0, 0, seq % 86400)").cast("timestamp").alias("at"),
+        (seq - F.when(place >= 7, place - 6).when(place == 4, 1).otherwise(0)).alias("p"),
+        F.expr("o_orderdate + make_dt_interval(0, 0, 0, seq * 7 % 86400)").cast("timestamp").alias("at"),
     )
     p = F.col("p")
     people = base.withColumns(
         {
-            "first": _pick(FIRST, p % 8),
-            "last": _pick(LAST, (p % 64 - p % 8) / 8),
-            "d1": (F.lit(201) + p % 789).cast("string"),
-            "d2": (F.lit(200) + (p * 7) % 800).cast("string"),
-            "d3": F.lpad(((p * 37) % 10000).cast("string"), 4, "0"),
+            "first": _pick(FIRST, p % 24),
+            "last": _pick(LAST, ((p - p % 24) / 24) % 20),
+            "d1": (F.lit(212) + (p * 3) % 700).cast("string"),
+            "d2": (F.lit(201) + (p * 11) % 780).cast("string"),
+            "d3": F.lpad(((p * 53) % 10000).cast("string"), 4, "0"),
         }
     )
     full = F.concat_ws(" ", "first", "last")
-    n, e, ph = (seq * 19) % 199, (seq * 17) % 101, (seq * 13) % 53
+    n, e, ph = (seq * 29) % 151, (seq * 41) % 113, (seq * 17) % 59
     name = (
-        F.when(n < 16, F.upper(full))
-        .when(n < 22, F.concat(full, _pick(EMOJI, seq % 5)))
-        .when(n < 25, F.lower(full))
-        .when(n < 27, F.lit("test"))
-        .when(n < 28, F.lit(""))
+        F.when(n < 4, F.lit("N/A"))
+        .when(n < 7, F.lit("none"))
+        .when(n < 9, F.lit(" "))
+        .when(n < 21, F.lower(full))
+        .when(n < 31, F.upper(full))
+        .when(n < 38, F.concat(_pick(SYMBOLS, seq % 4), F.lit(" "), full))
+        .when(n < 42, F.concat(full, F.lit("  ")))
         .otherwise(full)
     )
-    local = F.concat(F.lower("first"), F.lit("."), F.lower("last"), p.cast("string"))
+    local = F.concat(F.lower("last"), F.lit("."), F.lower(F.substring("first", 1, 1)), p.cast("string"))
+    whole = F.concat(local, F.lit("@"), _pick(DOMAINS, p % 7))
     email = (
-        F.when(e == 0, F.lit("test@test.com"))
-        .when(e == 1, F.lit("asdf@asdf"))
-        .when(e == 2, F.lit("aaa@aaa.aaa"))
-        .when(e <= 5, F.concat(local, F.lit("@gmial.com")))
-        .when(e == 6, F.lit(""))
-        .otherwise(F.concat(local, F.lit("@"), _pick(DOMAINS, p % 5)))
+        F.when(e == 0, F.lit("info@example.net"))
+        .when(e == 1, F.lit("test@harborline.org"))
+        .when(e == 2, F.lit("not an address"))
+        .when(e <= 6, F.concat(local, F.lit("@yaho.com")))
+        .when(e <= 8, F.concat(local, F.lit("@outlok.com")))
+        .when(e == 9, F.lit(" "))
+        .when(e <= 16, F.upper(whole))
+        .otherwise(whole)
     )
-    style = seq % 7
     d1, d2, d3 = F.col("d1"), F.col("d2"), F.col("d3")
-    phone = (
-        F.when(ph == 0, F.lit("12345"))
-        .when(ph == 1, F.lit("N/A"))
-        .when(ph == 2, F.lit(""))
-        .when(style == 1, F.concat_ws("-", d1, d2, d3))
-        .when(style == 2, F.concat(d1, d2, d3))
-        .when(style == 3, F.concat(F.lit("1-"), F.concat_ws("-", d1, d2, d3)))
-        .when(style == 4, F.concat(F.lit("("), d1, F.lit(") "), d2, F.lit(" "), d3))
-        .when(style == 5, F.concat_ws(".", d1, d2, d3))
-        .otherwise(F.concat(F.lit("+1 ("), d1, F.lit(") "), d2, F.lit("-"), d3))
+    styles = (
+        F.concat_ws(" ", d1, d2, d3),
+        F.concat(F.lit("+1 "), F.concat_ws(".", d1, d2, d3)),
+        F.concat_ws("/", d1, d2, d3),
+        F.concat(F.lit("1"), d1, d2, d3),
+        F.concat(F.lit("("), d1, F.lit(")"), d2, F.lit("."), d3),
     )
-    early = seq % 8 < 4
-    at = F.col("at")
-    date = (
-        F.when((F.col("source") == "facebook") & early, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+0000'"))
-        .when(F.col("source") == "facebook", F.unix_timestamp(at).cast("string"))
-        .when((F.col("source") == "instagram") & early, F.date_format(at, "yyyy/MM/dd"))
-        .when(F.col("source") == "instagram", F.date_format(at, "MM/dd/yyyy hh:mm a"))
-        .when((F.col("source") == "google_form") & early, F.date_format(at, "dd-MMM-yyyy"))
-        .when(F.col("source") == "google_form", F.date_format(at, "MM/dd/yyyy HH:mm:ss"))
-        .otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    phone = F.when(ph == 0, F.lit("555-555-5555")).when(ph == 1, F.lit("unknown")).when(ph == 2, F.lit("   "))
+    for i, style in enumerate(styles):
+        phone = phone.when(seq % 5 == i, style)
+    # two shapes of date for each source
+    shapes = {
+        "facebook": (F.unix_timestamp("at").cast("string"), F.date_format("at", "yyyy-MM-dd HH:mm:ss")),
+        "instagram": (F.date_format("at", "yyyy.MM.dd HH:mm"), F.date_format("at", "MMMM d yyyy")),
+        "google_form": (F.date_format("at", "MM-dd-yyyy HH:mm:ss"), F.date_format("at", "dd MMM yyyy hh:mm a")),
+        "landing_page": (F.date_format("at", "yyyyMMdd'T'HHmmss'Z'"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+    }
+    date = F.coalesce(
+        *[F.when(F.col("source") == s, F.when(seq % 6 < 3, a).otherwise(b)) for s, (a, b) in shapes.items()]
     )
     campaign = F.coalesce(
-        *[F.when(F.col("source") == s, _pick(c, seq % 3)) for s, c in CAMPAIGNS.items()]
+        *[F.when(F.col("source") == s, _pick(c, (seq * 3) % 4)) for s, c in CAMPAIGNS.items()]
     )
-    k = (seq * 23) % 61
+    k = (seq * 31) % 67
     on_facebook, on_landing = F.col("source") == "facebook", F.col("source") == "landing_page"
 
     def dropped(which: int) -> Column:
@@ -129,9 +140,9 @@ def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last",
         F.when(~dropped(0), name).alias("name_raw"),
         F.when(~dropped(1), email).alias("email_raw"),
-        F.when(~dropped(2) & ~(on_landing & ((seq * 29) % 17 == 0)), phone).alias("phone_raw"),
+        F.when(~dropped(2) & ~(on_landing & ((seq * 37) % 19 == 0)), phone).alias("phone_raw"),
         date.alias("date_raw"),
-        F.when(on_landing, F.when(seq % 11 < 6, "true").otherwise("false"))
+        F.when(on_landing, F.when(seq % 9 < 5, "true").otherwise("false"))
         .when(~on_facebook, _pick(CONSENT, seq % 11))
         .alias("consent_raw"),
         campaign.alias("campaign_raw"),

@@ -90,7 +90,8 @@ def _in_file(spark: SparkSession, sf_dir: str, source: str, suffix: str, header:
         columns = f.CSV_HEADERS[source]
         parsed = lines.select(records.csv_record(F.col("raw_line"), columns).alias("rec"))
         named = parsed.select(*[F.col("rec")[c].alias(c) for c in columns])
-        named.write.option("header", True).option("escape", '"').csv(path)
+        as_it_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        named.write.options(header=True, escape='"', **as_it_is).csv(path)
     return path
 
 
