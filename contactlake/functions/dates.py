@@ -2,7 +2,8 @@
 
 The text is recognised by shape, rearranged to ISO order and cast once; no
 row runs through a list of failing format parsers. Incomplete dates ("July",
-"10") and two-digit years give NULL, because filling them needs today's date.
+"10") give NULL, because filling them needs today's date; two-digit years are
+placed by a pivot.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ EPOCH = r"^[0-9]{9,13}$"
 MILLIS_ABOVE = 10**12
 #: first second of the year 10000: such a row fails its contract
 LAST_SECOND = 253402300799
-MAX_INPUT = 64
+#: two-digit years below this are of this century, the others of the last one
+PIVOT = 70
 
 # Month names are recognised by their first three letters.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -26,17 +28,23 @@ _WEEKDAY = "(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,?\\s+)?"
 _TAIL = r"(?:[t,\s]+(.*))?$"
 YEAR_FIRST = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}"
 OVER_TWELVE = r"^(?:1[3-9]|[2-9]\d)"
-MONTH_FIRST = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}"
-DAY_NAME_YEAR = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[-/\s]*{_MONTH}[-/,\s]*(\d{{4}}){_TAIL}"
-NAME_DAY_YEAR = rf"^{_WEEKDAY}{_MONTH}[-/\s]*(\d{{1,2}})(?:st|nd|rd|th)?[,\s]+(\d{{4}}){_TAIL}"
+MONTH_FIRST = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TAIL}"
+DAY_NAME_YEAR = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[-/\s]*{_MONTH}[-/,\s]*(\d{{4}}|\d{{2}}){_TAIL}"
+NAME_DAY_YEAR = rf"^{_WEEKDAY}{_MONTH}[-/\s]*(\d{{1,2}})(?:st|nd|rd|th)?[,\s]+(\d{{4}}|\d{{2}}){_TAIL}"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{6}.*))?$"
 COMPACT_CLOCK = r"^(\d{2})(\d{2})(\d{2})(\D.*)?$"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-HALF_DAY = r"^(\d{1,2})(?::(\d{2})(?::(\d{2}))?)?\s*([ap])\.?m\.?$"
+HALF_DAY = r"^(\d{1,2})(?::(\d{2})(?::(\d{2}))?)?\s*([ap])\.?m\.?\s*(z|[+-]\d{1,2}(?::?\d{2})?)?$"
+#: a clock before the date, or between month and year, is moved behind it
+CLOCK_FIRST = r"^(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:\s*[ap]\.?m\.?)?)[,\s]+(.*\d.*)$"
+CLOCK_INSIDE = rf"^{_WEEKDAY}{_MONTH}\s+(\d{{1,2}})\s+(\d{{1,2}}:\d{{2}}(?::\d{{2}})?)(\s+[a-z]{{1,5}})?\s+(\d{{4}})$"
+#: a zone name after the clock: those of UTC count, others say nothing a parser without a table of them could use
+UTC_NAME = r"\s*\b(?:utc|gmt)$"
+OTHER_NAME = r"([0-9m.])\s+(?![ap]\.?m)[a-z]{3,5}$"
 FULL_DAY = rf"^{_CLOCK}\s*(z|utc|gmt|[+-]\d{{1,2}}(?::?\d{{2}})?)?$"
 
 
-def date_recipe(raw: Column, out: str) -> Recipe:
+def date_recipe(raw: Column, out: str, pivot: int = PIVOT) -> Recipe:
     """Columns ``out`` and ``{out}_overflow`` (epoch beyond the year 9999)."""
     whole, s, epoch, shape, iso, day, clock, stamp = (
         f"_{out}_{step}"
@@ -73,7 +81,9 @@ def date_recipe(raw: Column, out: str) -> Recipe:
             hour24.cast("string"),
             F.lit(":"),
             F.when(minute != "", minute).otherwise(F.lit("00")),
-            F.when(second != "", F.concat(F.lit(":"), second)).otherwise(F.lit("")),
+            F.lit(":"),
+            F.when(second != "", second).otherwise(F.lit("00")),
+            F.upper(F.regexp_extract(CLOCK, HALF_DAY, 5)),
         ),
     )
     full_day = F.upper(F.replace(F.regexp_replace(CLOCK, r"\s*(?:utc|gmt)$", "z"), F.lit(","), F.lit(".")))
@@ -82,10 +92,15 @@ def date_recipe(raw: Column, out: str) -> Recipe:
         compose={whole: text.compose(raw, compat=True)},
         layers=[
             {s: F.lower(text.strip(F.col(whole)))},
+            {
+                s: F.when(S.rlike(CLOCK_FIRST), F.regexp_replace(S, CLOCK_FIRST, "$2 $1"))
+                .when(S.rlike(CLOCK_INSIDE), F.regexp_replace(S, CLOCK_INSIDE, "$1 $2 $5 $3$4"))
+                .when(S.rlike(r"\d,?\s+at\s+\d"), F.regexp_replace(S, r",?\s+at\s+", " "))
+                .otherwise(S)
+            },
             {
                 epoch: F.when(F.char_length(S).between(9, 13) & S.rlike(EPOCH), S.cast("bigint")),
-                shape: F.when(F.char_length(S) > MAX_INPUT, F.lit(None))
-                .when(separated(5) & S.rlike(YEAR_FIRST), F.lit("year_first"))
+                shape: F.when(separated(5) & S.rlike(YEAR_FIRST), F.lit("year_first"))
                 .when((separated(3) | separated(2)) & S.rlike(MONTH_FIRST), F.lit("month_first"))
                 .when(S.rlike(DAY_NAME_YEAR), F.lit("day_name_year"))
                 .when(S.rlike(NAME_DAY_YEAR), F.lit("name_day_year"))
@@ -105,12 +120,16 @@ def date_recipe(raw: Column, out: str) -> Recipe:
                 .when(SHAPE == "compact", arranged(COMPACT, "$1-$2-$3|$4"))
             },
             {
-                day: F.substring_index(ISO, "|", 1),
+                day: F.when(
+                    ISO.rlike("^[0-9]{2}-"),
+                    F.concat(F.when(F.substring(ISO, 1, 2).cast("int") < pivot, "20").otherwise("19"), F.substring_index(ISO, "|", 1)),
+                ).otherwise(F.substring_index(ISO, "|", 1)),
                 clock: F.when(
                     SHAPE == "compact",
                     F.regexp_replace(F.substring_index(ISO, "|", -1), COMPACT_CLOCK, "$1:$2:$3$4"),
                 ).otherwise(F.substring_index(ISO, "|", -1)),
             },
+            {clock: F.regexp_replace(F.regexp_replace(CLOCK, UTC_NAME, "z"), OTHER_NAME, "$1")},
             {
                 stamp: F.when(CLOCK == "", DAY)
                 .when(CLOCK.rlike(FULL_DAY), F.concat(DAY, F.lit(" "), full_day))

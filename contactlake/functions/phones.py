@@ -1,7 +1,7 @@
 """Phone numbers to E.164, by number length.
 
-Known deviations: the length tables of countries outside +1 are replaced by
-the general bound of 7 to 15 digits, and country codes are not looked up.
+Known deviation: the length tables of countries outside +1 are replaced by
+the general bound of 7 to 15 digits.
 """
 
 from __future__ import annotations
@@ -18,6 +18,12 @@ UNPARSEABLE, UNVERIFIED = "phone_unparseable", "phone_unverified"
 #: country calling code of the supported default region
 REGION_CODES = {"US": "1"}
 
+# The calling codes of countries and services, as one pattern.
+CALLING_CODE = (
+    "^(?:1|7|2(?:0|7|1[1-368]|[2-4]|5[0-8]|6|9[01789])|3(?:[0-469]|5|7[0-8]|8[0-35-79])|4(?:[013-9]|2[013])"
+    "|5(?:[1-8]|0|9)|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|8(?:[1246]|0[08]|5[02356]|7[0-8]|8[0-368])"
+    "|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68]))"
+)
 EXTENSION = r"(?i)[\s,;]*(?:ext(?:ension|n)?|x|#|int)\s*[.:=]?\s*\d{1,7}#?$"
 MAX_INPUT = 250
 #: characters between digits that need no interpretation
@@ -50,6 +56,11 @@ def phone_recipe(raw: Column, out: str, region: str = "US") -> Recipe:
     home = F.when(
         (size(NAT) == 11) & F.startswith(NAT, F.lit(code)), F.substring(NAT, 2, 10)
     ).otherwise(NAT)
+    # ten digits that a parser could read as a number of the region, if an impossible one
+    national = (
+        (size(DIGITS) == 10) & (size(S) <= MAX_INPUT)
+        & (INTL.isNull() | F.startswith(INTL, F.lit(code)) | INTL.rlike(CALLING_CODE))
+    )
     written = F.coalesce(BODY, S)
     has_plus = F.contains(written, F.lit("+")) & written.rlike(r"^[^0-9]*\+")
     return Recipe(
@@ -87,17 +98,17 @@ def phone_recipe(raw: Column, out: str, region: str = "US") -> Recipe:
             {
                 found: F.when(size(S) > MAX_INPUT, F.lit(None))
                 .when(NAT.isNotNull(), F.when(size(home).isin(7, 10), F.concat(F.lit("+" + code), home)))
-                .when(INTL.rlike("^[1-9][0-9]{6,14}$"), F.concat(F.lit("+"), INTL))
+                .when(INTL.rlike("^[1-9][0-9]{6,14}$") & INTL.rlike(CALLING_CODE), F.concat(F.lit("+"), INTL))
             },
             {
                 out: F.when(
                     (S != "") & ~DIGITS.isin(*vocab.JUNK_PHONES) & ~single_digit,
-                    F.coalesce(FOUND, F.when(size(DIGITS) == 10, F.concat(F.lit("+" + code), DIGITS))),
+                    F.coalesce(FOUND, F.when(national, F.concat(F.lit("+" + code), DIGITS))),
                 ),
                 f"{out}_flag": F.when(S.isNull() | (S == ""), F.lit(MISSING))
                 .when(DIGITS.isin(*vocab.JUNK_PHONES) | single_digit, F.lit(JUNK))
                 .when(FOUND.isNotNull(), F.lit(None))
-                .when(size(DIGITS) == 10, F.lit(UNVERIFIED))
+                .when(national, F.lit(UNVERIFIED))
                 .otherwise(F.lit(UNPARSEABLE)),
             },
         ]

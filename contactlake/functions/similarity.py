@@ -3,8 +3,8 @@
 Tokens are sorted and joined, and the two texts compared by the length of
 their longest common subsequence: ``200 * LCS / (len + len)``. A substitution
 therefore costs two edits, which ``levenshtein`` does not offer. The LCS runs
-bit-parallel on one BIGINT, or as a dynamic programme where both texts are
-longer than 62 characters.
+bit-parallel on one BIGINT, or on several where both texts are longer than 62
+characters.
 """
 
 from __future__ import annotations
@@ -63,25 +63,56 @@ def _lcs_bits(a: Column, b: Column) -> Column:
     return _bound(parts, scan)
 
 
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """LCS length for texts of any size, one row of the table at a time."""
-    zero = F.lit(0)
+def _lcs_words(a: Column, b: Column) -> Column:
+    """LCS length for texts of any size: the same scan over several words, with a carry between them."""
+    starts = F.sequence(F.lit(0), F.floor((F.char_length(a) - 1) / WORD_BITS).cast("int"))
+    none = F.array().cast("array<bigint>")
 
     def scan(p: Column) -> Column:
-        def next_row(row: Column, ch: Column) -> Column:
-            # row[i] is the LCS of b so far with the first i characters of a
-            def cell(done: Column, i: Column) -> Column:
-                diagonal, above = F.get(row, i), F.get(row, i + F.lit(1))
-                same = F.get(p["a"], i) == ch
-                return F.array_append(
-                    done,
-                    F.when(same, diagonal + 1).otherwise(F.greatest(above, F.get(done, i))),
-                )
+        def marked(word: Column, ch: Column) -> Column:
+            bits = F.transform(word, lambda x, i: F.when(x == ch, _bit(i)).otherwise(F.lit(0).cast("bigint")))
+            return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, bit: acc.bitwiseOR(bit))
+
+        return _bound(
+            F.transform(starts, lambda j: F.slice(p["a"], j * WORD_BITS + 1, WORD_BITS)),
+            lambda words: _bound(
+                F.struct(
+                    # one pass over the text for each different character of it
+                    F.map_from_entries(
+                        F.transform(
+                            F.array_distinct(p["a"]),
+                            lambda ch: F.struct(ch, F.transform(words, lambda w: marked(w, ch))),
+                        )
+                    ).alias("hits"),
+                    F.transform(words, lambda w: _bit(F.size(w)) - F.lit(1)).alias("full"),
+                ),
+                lambda t: F.size(p["a"]) - ones(F.aggregate(p["b"], t["full"], lambda s, ch: step(t, s, ch))).cast("int"),
+            ),
+        )
+
+    def ones(state: Column) -> Column:
+        return F.aggregate(state, F.lit(0).cast("bigint"), lambda n, word: n + F.bit_count(word))
+
+    def step(t: Column, state: Column, ch: Column) -> Column:
+        def word(acc: Column, x: Column) -> Column:
+            total = x["s"] + x["s"].bitwiseAND(x["h"]) + acc["carry"]
+            rest = x["s"] - x["s"].bitwiseAND(x["h"])
+            return F.struct(
+                F.call_function("shiftright", total, F.lit(WORD_BITS)).alias("carry"),
+                F.array_append(acc["out"], total.bitwiseOR(rest).bitwiseAND(x["full"])).alias("out"),
+            )
 
-            return F.aggregate(F.sequence(zero, F.size(p["a"]) - F.lit(1)), F.array(zero), cell)
+        def advance(hits: Column) -> Column:
+            pairs = F.zip_with(state, hits, lambda s, h: F.struct(s.alias("s"), h.alias("h")))
+            zipped = F.zip_with(
+                pairs, t["full"], lambda x, full: F.struct(x["s"].alias("s"), x["h"].alias("h"), full.alias("full"))
+            )
+            start = F.struct(F.lit(0).cast("bigint").alias("carry"), none.alias("out"))
+            return F.aggregate(zipped, start, word, lambda acc: acc["out"])
 
-        start = F.array_repeat(zero, F.size(p["a"]) + F.lit(1))
-        return F.element_at(F.aggregate(p["b"], start, next_row), -1)
+        return _bound(
+            F.try_element_at(t["hits"], ch), lambda hits: F.when(hits.isNull(), state).otherwise(advance(hits))
+        )
 
     return _bound(F.struct(_characters(a).alias("a"), _characters(b).alias("b")), scan)
 
@@ -92,7 +123,7 @@ def lcs_length(a: Column, b: Column) -> Column:
         F.when(F.least(la, lb) == 0, F.lit(0))
         .when(la <= WORD_BITS, _lcs_bits(a, b))
         .when(lb <= WORD_BITS, _lcs_bits(b, a))
-        .otherwise(_lcs_rows(a, b))
+        .otherwise(_lcs_words(a, b))
     )
 
 

@@ -24,10 +24,6 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE_SPACE))
 
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
-
-
 def is_ascii(c: Column) -> Column:
     """True when every character is a single byte; no scan of the pattern kind."""
     return F.octet_length(c) == F.char_length(c)

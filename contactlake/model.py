@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from contactlake import vocab
 
 LEADS = T.StructType(
     [
@@ -66,12 +65,10 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | N
 
 
 def heal_events(df: DataFrame, ts: Column) -> DataFrame:
-    """K2: heal events with the attempt default and the detail width applied."""
-    shaped = conform(df, HEAL_EVENTS, {"ts": ts, "attempt": F.lit(0), "detail": F.lit("")})
-    return shaped.withColumn("detail", F.substring("detail", 1, vocab.TEXT_WIDTH))
+    """K2: heal events with the attempt default applied."""
+    return conform(df, HEAL_EVENTS, {"ts": ts, "attempt": F.lit(0), "detail": F.lit("")})
 
 
 def review_rows(df: DataFrame, ts: Column) -> DataFrame:
-    """K3: review rows with the reason width applied."""
-    shaped = conform(df, REVIEW_QUEUE, {"ts": ts})
-    return shaped.withColumn("reason", F.substring("reason", 1, vocab.TEXT_WIDTH))
+    """K3: review rows."""
+    return conform(df, REVIEW_QUEUE, {"ts": ts})

@@ -123,13 +123,13 @@ def unmapped_fields(
     mappings: Mapping[str, FieldMapping],
     route: str = "source",
     order: str = "batch_pos",
-    rows: int = vocab.UNMAPPED_SCAN_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """M3: keys of the first records of a batch that the mapping does not name."""
+    """M3: keys of a batch's records (the first ``rows``, if given) that the mapping does not name."""
     known = {name: _names(list(mapping)) for name, mapping in mappings.items()}
     no_names = F.array().cast("array<string>")
     return (
-        df.filter(F.col("rec").isNotNull() & (F.col(order) < rows))
+        df.filter(F.col("rec").isNotNull() & (F.lit(True) if rows is None else F.col(order) < rows))
         .select(
             *BATCH,
             F.explode(

@@ -30,7 +30,7 @@ NAME_WORDS = {
 }
 #: words that take a field out of the running (technical or attribution fields)
 STOP_WORDS = ("uuid", "lead", "source", "medium", "ip", "agent", "referrer")
-#: words that only describe another word ("campaign date" is about the date)
+#: spellings of a refused consent
 CONSENT_FALSE = ("no", "n", "false", "0", "disagree", "opt-out", "opted out", "")
 
 WEIGHT_NAME, WEIGHT_VALUES, WEIGHT_MEMORY = 0.55, 0.35, 0.10
@@ -39,8 +39,6 @@ LEAST_SCORE = (0.55, 0.40, 0.30)
 #: a candidate whose values mostly fail its cleaner is out
 LEAST_FIT = 0.5
 
-EVIDENCE_COLUMNS = ("email", "phone", "created_at", "consent", "name_like")
-
 Mapper = Callable[[DataFrame, DataFrame | None, int, DataFrame | None], DataFrame]
 
 

@@ -12,7 +12,7 @@ from contactlake.operators.upsert import latest_by_key
 #: hashed character n-grams stand in for a text embedding model
 GRAM, DIMENSIONS = 3, 256
 DOC_SAMPLES = 3
-QUERY_FIELDS, QUERY_SAMPLES = 12, 2
+QUERY_SAMPLES = 2
 
 
 def _quoted(samples: Column, n: int) -> Column:
@@ -106,11 +106,10 @@ def top_k(
 
 
 def profile_query(profile: DataFrame, keys: tuple[str, ...] = ("source",)) -> DataFrame:
-    """The query text of each profile: its first fields with a few samples."""
+    """The query text of each profile: its fields with a few samples each."""
     line = F.concat("field", F.lit(": "), _quoted(F.col("samples"), QUERY_SAMPLES))
     return (
-        profile.filter(F.col("ordinal") <= QUERY_FIELDS)
-        .groupBy(*keys)
+        profile.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("_lines"))
         .select(
             *keys,

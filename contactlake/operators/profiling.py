@@ -12,16 +12,17 @@ def profile_source(
     df: DataFrame,
     keys: tuple[str, ...] = ("source",),
     order: str = "seq",
-    max_rows: int | None = vocab.PROFILE_ROWS,
+    max_rows: int | None = None,
     samples: int = vocab.PROFILE_SAMPLES,
-    width: int = vocab.SAMPLE_WIDTH,
+    width: int | None = None,
 ) -> DataFrame:
     """One row per key and field.
 
-    ``fill_rate`` is the share of the first ``max_rows`` records in which the
-    key is *present* (a null or empty value counts); ``samples`` are the first
-    non-empty values in record order. ``ordinal`` is the order in which the
-    fields were first seen. ``max_rows=None`` profiles every record.
+    ``fill_rate`` is the share of the records in which the key is *present* (a
+    null or empty value counts); ``samples`` are the first non-empty values in
+    record order. ``ordinal`` is the order in which the fields were first seen.
+    Every record and whole values count, unless ``max_rows`` or ``width`` asks
+    for the first records or characters only.
     """
     keys_ = list(keys)
     rows = df.filter(F.col("rec").isNotNull()).select(*keys_, F.col(order).alias("_at"), "rec")
@@ -41,7 +42,7 @@ def profile_source(
         .select(
             *keys_,
             "field",
-            F.transform("_samples", lambda s: F.left(s["_value"], F.lit(width))).alias("samples"),
+            F.transform("_samples", lambda s: s["_value"] if width is None else F.left(s["_value"], F.lit(width))).alias("samples"),
         )
     )
     by_sight = Window.partitionBy(*keys_).orderBy("_first", "_place", "field")

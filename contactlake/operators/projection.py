@@ -113,12 +113,14 @@ def canonicalize(
     route: str = "source",
     identity: tuple[str, ...] = ("source", "seq", "raw_line"),
     keep: tuple[str, ...] = (),
+    sources: Sequence[str] = vocab.SOURCES,
 ) -> DataFrame:
     """Clean, flag, score and check every record; nothing is dropped.
 
     ``df`` needs ``source``, ``rec`` and the identity columns, and may bring
     ``raw_payload``. The result has the canonical columns plus ``raw_line``,
     the ``keep`` columns and ``violations`` (P17); see ``split_valid``.
+    ``sources`` are the names the contract accepts.
 
     The default identity is the record's place and text in its source. It
     needs no shuffle; use ``with_occurrence`` and identity ``("source",
@@ -289,7 +291,7 @@ def canonicalize(
             _items(
                 F.col("_unknown"),
                 F.when(F.col("_created_overflow"), F.lit("created_at_range")),
-                *contract_violations(),
+                *contract_violations(sources),
             )
         ),
     )
@@ -304,10 +306,10 @@ def canonicalize(
     )
 
 
-def contract_violations() -> list[Column]:
+def contract_violations(sources: Sequence[str] = vocab.SOURCES) -> list[Column]:
     """Names of the broken rules of a canonical row, NULL where kept."""
     return [
-        F.when(~F.coalesce(F.col("source").isin(*vocab.SOURCES), F.lit(False)), F.lit("source_unknown")),
+        F.when(~F.coalesce(F.col("source").isin(*sources), F.lit(False)), F.lit("source_unknown")),
         F.when(F.col("created_at").isNull(), F.lit("created_at_missing")),
         F.when(
             F.col("phone_e164").isNotNull() & ~F.col("phone_e164").rlike(r"^\+[0-9]{7,15}$"),
@@ -328,9 +330,9 @@ def payload_violation() -> Column:
     return F.when(~is_json, F.lit("payload_not_json"))
 
 
-def check_contract(df: DataFrame) -> DataFrame:
+def check_contract(df: DataFrame, sources: Sequence[str] = vocab.SOURCES) -> DataFrame:
     """P17 on a canonical table from elsewhere."""
-    return df.withColumn("violations", _items(*contract_violations(), payload_violation()))
+    return df.withColumn("violations", _items(*contract_violations(sources), payload_violation()))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

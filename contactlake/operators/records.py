@@ -6,11 +6,15 @@ key whose value is null stay different things, which the drift test needs.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from contactlake.functions import text
+
 RECORD = T.MapType(T.StringType(), T.StringType(), True)
 
 _TEXT = T.StringType()
@@ -99,7 +103,7 @@ def with_record(df: DataFrame, line: str, out: str = "rec") -> DataFrame:
 
 def parse_lines(df: DataFrame, line: str = "value") -> DataFrame:
     """Drop blank lines and parse the rest into ``rec``."""
-    return with_record(df.filter(F.trim(F.col(line)) != ""), line)
+    return with_record(df.filter(text.strip(F.col(line)) != ""), line)
 
 
 def flatten_all_changes(df: DataFrame, line: str = "value") -> DataFrame:
@@ -153,14 +157,19 @@ def rename_fields(rec: Column, renames: Mapping[str, str]) -> Column:
 
 
 def rename_webhook_fields(line: Column, renames: Mapping[str, str]) -> Column:
-    """K6 on webhook lines: rename the field names of the first change.
+    """K6 on webhook lines: rename the field names of the first change of the first entry.
 
-    Works on the text of the names inside the payload, so every other part of
-    the line stays as it came.
+    Only the names between that change's field data and the next one's are
+    touched, so every other part of the line stays as it came; a first change
+    without field data leaves the line alone.
     """
-    out = line
+    mark = '"field_data"'
+    head, upto = (F.substring_index(line, mark, n) for n in (1, 2))
+    body = F.substring(upto, F.char_length(head) + 1, F.char_length(line))
+    tail = F.substring(line, F.char_length(upto) + 1, F.char_length(line))
     for old, new in renames.items():
-        out = F.regexp_replace(
-            out, rf'("name"\s*:\s*)"{old}"', f'$1"{new}"'
-        )
-    return out
+        name, other = (json.dumps(x, ensure_ascii=False) for x in (old, new))
+        other = re.sub(r"([\\$])", r"\\\1", other)
+        body = F.regexp_replace(body, F.lit(rf'("name"\s*:\s*){re.escape(name)}'), F.lit(f"$1{other}"))
+    first = F.get_json_object(line, "$.entry[0].changes[0].value.field_data")
+    return F.when(first.isNotNull(), F.concat(head, body, tail)).otherwise(line)

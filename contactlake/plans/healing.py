@@ -134,7 +134,7 @@ class _Healing:
     def give_up(self, state: _State, reason: str) -> None:
         self.events.append(Event(state.source, state.at, "human_review", 0, reason))
         self.segments.append(
-            Segment(state.source, state.at, state.at, None, reason[: vocab.REVIEW_REASON_WIDTH])
+            Segment(state.source, state.at, state.at, None, reason)
         )
         state.mapping = None
         state.at += 1
@@ -246,15 +246,16 @@ def heal(
     max_attempts: int = vocab.MAX_HEAL_ATTEMPTS,
     order: str = "seq",
     sources: tuple[str, ...] = vocab.SOURCES,
-    profile_rows: int | None = vocab.PROFILE_ROWS,
-    review_cap: int | None = None,
+    profile_rows: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> Healed:
     """Process batches ``(source, batch_id, batch_pos, rec, raw_line)`` in order.
 
     ``df`` is read once per wave and should be a stored or persisted frame.
     The returned frames are lazy and route every row by its batch: to the
-    mapping that was in force for it, or to review. ``review_cap`` limits the
-    queued rows per given-up batch (the default queues them all).
+    mapping that was in force for it, or to review, whole batches included.
+    ``sources`` are the names the contract accepts, ``keep`` further columns of
+    the leads.
     """
     readable = df.filter(F.col("rec").isNotNull())
     spans = (
@@ -280,12 +281,10 @@ def heal(
         route = F.when(inside, F.lit(name)).otherwise(route)
     routed = df.withColumn("_route", F.coalesce(route, F.lit(REVIEW)))
     served = F.col("rec").isNotNull() & (F.col("_route") != REVIEW)
-    checked = canonicalize(routed.filter(served), routes, ingest_ts, "_route", keep=("batch_id",)).drop("_route")
+    checked = canonicalize(routed.filter(served), routes, ingest_ts, "_route", keep=("batch_id", *keep), sources=sources).drop("_route")
     leads, failed = split_valid(checked)
 
     given_up = routed.filter(F.col("rec").isNotNull() & (F.col("_route") == REVIEW))
-    if review_cap is not None:
-        given_up = given_up.filter(F.col("batch_pos") < review_cap)
     queued = given_up.select("source", reason.alias("reason"), payload_of(F.col("rec")).alias("raw_payload"))
     unreadable = df.filter(F.col("rec").isNull()).select(
         "source", F.lit("unreadable record").alias("reason"), F.to_json(F.struct("raw_line")).alias("raw_payload")

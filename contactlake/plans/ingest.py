@@ -36,17 +36,18 @@ class Tables:
 
 
 def ingest_fixed(
-    batches: DataFrame, mappings: Mapping[str, FieldMapping], ingest_ts: Column
+    batches: DataFrame, mappings: Mapping[str, FieldMapping], ingest_ts: Column,
+    sources: tuple[str, ...] = vocab.SOURCES,
 ) -> tuple[DataFrame, DataFrame]:
     """Fixed mappings, no healing: ``(checked rows, review rows)``.
 
     Drifted batches are queued whole (the reference mode dropped them), failed
     rows one by one.
     """
-    drifted = batch_health(batches, mappings).filter("drifted").select("source", "batch_id")
+    drifted = batch_health(batches, mappings, sources=sources).filter("drifted").select("source", "batch_id")
     in_drift = batches.join(drifted, ["source", "batch_id"], "left_semi")
     fit = batches.join(drifted, ["source", "batch_id"], "left_anti")
-    checked = canonicalize(fit, mappings, ingest_ts)
+    checked = canonicalize(fit, mappings, ingest_ts, keep=("seq",), sources=sources)
     _, failed = split_valid(checked)
     queue = in_drift.select(
         "source", F.lit("mapping drift").alias("reason"), F.to_json("rec").alias("raw_payload")
@@ -76,7 +77,10 @@ def run_ingest(
 ) -> DataFrame:
     """Read, batch, map (healing unless ``fixed`` mappings are given), store.
 
-    Returns the run totals (A8).
+    ``files`` names the sources, which the contract then accepts. A run that is
+    executed again starts from what earlier runs learned and replaces its own
+    events, review rows and log entries; numeric run names are ordered as
+    numbers. Returns the run totals (A8).
     """
     configure(spark)
     started = time.monotonic()
@@ -86,12 +90,13 @@ def run_ingest(
         records = slice_records(records, skip, limit).drop("pos")
     batches = scratch.put("batches", form_batches(records, batch_size), ("source",))
     if fixed is not None:
-        checked, review = ingest_fixed(batches, fixed, ingest_ts)
+        checked, review = ingest_fixed(batches, fixed, ingest_ts, tuple(files))
         leads, _ = split_valid(checked)
         events = spark.createDataFrame([], model.HEAL_EVENTS)
     else:
         options = {"mapper": mapper} if mapper else {}
-        healed = healing.heal(batches, tables.mappings.current(), ingest_ts, **options)
+        known = tables.mappings.current(before_run=run)
+        healed = healing.heal(batches, known, ingest_ts, sources=tuple(files), keep=("seq",), **options)
         leads, review, events = healed.leads, healed.review, healed.event_rows(ingest_ts)
         store_mappings(spark, tables.mappings, healed, run)
     tables.leads.insert(leads)
@@ -102,7 +107,7 @@ def run_ingest(
 
 def store_mappings(spark: SparkSession, log: MappingLog, healed: healing.Healed, run: str) -> None:
     """Append what the run learned and invalidated to the mapping log."""
-    last = log.read().agg(F.max("version")).first()[0] or 0
+    last = log.read(before_run=run).agg(F.max("version")).first()[0] or 0
     rows = []
     for step, event in enumerate(healed.events, 1):
         if event.event in ("drift_detected",):

@@ -41,10 +41,14 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
     It is the folder the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (a local test) gets a temporary folder.
+    local session without one (a test) gets a temporary folder. Elsewhere each
+    machine would write to a folder of its own, so the job stops instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="contactlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

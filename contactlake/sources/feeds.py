@@ -87,12 +87,16 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool | None) -> DataFr
     def quoted(name: str):
         return F.col(f"`{name.replace('`', '``')}`")
 
+    # fields of a row that does not fit, quoted ones counted as one
+    unquoted = F.regexp_replace(F.col(corrupt), '"(?:[^"]|"")*"', "")
+    fields = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     pairs = [x for name in header for x in (F.lit(name), quoted(name))]
     whole = F.create_map(*pairs).cast(records.RECORD)
     return rows.select(
         F.monotonically_increasing_id().alias("seq"),
-        # a row with more fields than the header goes to review as it came
-        F.when(F.col(corrupt).isNull(), whole).alias("rec"),
+        # a row with fewer fields than the header has NULL in the others; one with
+        # more goes to review as it came
+        F.when(F.col(corrupt).isNull() | (fields < len(header)), whole).alias("rec"),
         F.col(corrupt).alias("_bad"),
         records.payload_of(whole).alias("_whole"),
     ).select(

@@ -71,7 +71,9 @@ class LeadsTable:
         return self.read()
 
     def insert(self, leads: DataFrame) -> DataFrame:
-        return self.replace(upsert(self.read(), model.conform(leads, model.LEADS)))
+        """Replace by id; of several new rows of one id the last in the feed counts."""
+        ordered = ("ingested_at", "seq") if "seq" in leads.columns else ("ingested_at",)
+        return self.replace(upsert(self.read(), leads, version=ordered))
 
 
 class MappingLog:
@@ -99,7 +101,10 @@ class MappingLog:
         """The log; ``before_run`` hides that run and later ones, which is
         what a replay of the run must start from."""
         log = self.table.read()
-        return log if before_run is None else log.filter(F.col(RUN) < before_run)
+        if before_run is None:
+            return log
+        width = max(64, len(before_run))  # "9" comes before "10"
+        return log.filter(F.lpad(RUN, width, "0") < before_run.rjust(width, "0"))
 
     def current(self, before_run: str | None = None) -> dict[str, dict[str, str]]:
         return M.from_table(M.current_mappings(self.read(before_run)))

@@ -20,7 +20,6 @@ TRANSFORMS = (
     "created_at",
     "ignore",
 )
-EVENTS = ("mapping_learned", "drift_detected", "retry", "healed", "human_review")
 
 # Cleaning word lists.
 JUNK_NAMES = ("test", "n/a", "none", "null", "-")
@@ -55,19 +54,6 @@ CONSENT_TRUE = (
     "ok",
 )
 
-# Flags that make a row "flagged"; the two others are soft.
-HARD_FLAGS = (
-    "phone_junk",
-    "phone_unparseable",
-    "phone_missing",
-    "email_junk",
-    "email_invalid",
-    "email_missing",
-    "name_missing",
-    "date_missing",
-)
-SOFT_FLAGS = ("email_typo_domain", "phone_unverified")
-
 # Mappings of the four known feeds, {source field: transform}.
 KNOWN_MAPPINGS = {
     "facebook": {
@@ -121,15 +107,10 @@ INVALID_THRESHOLD = 0.5
 MAX_HEAL_ATTEMPTS = 3
 INFERENCE_ATTEMPTS = 3
 BATCH_SIZE = 5000
-PROFILE_ROWS = 500
 PROFILE_SAMPLES = 4
-SAMPLE_WIDTH = 60
-UNMAPPED_SCAN_ROWS = 200
 ERROR_SAMPLES = 5
 RETRIEVAL_K = 6
 NAME_SIMILARITY_MIN = 55
-TEXT_WIDTH = 2000
-REVIEW_REASON_WIDTH = 200
 
 # Score weights.
 SCORE_PHONE = 35

@@ -76,8 +76,10 @@ def test_fast_failure_test_equals_the_projection(spark):
 def test_profile_counts_presence_and_cuts_samples(spark):
     recs = [{"a": ""}, {"a": "x" * 100, "b": None}] + [{"a": str(i)} for i in range(600)]
     rows = {r.field: r for r in profile_source(frame(spark, {"facebook": recs})).collect()}
-    assert rows["a"].n == 500 and rows["a"].fill_rate == 1.0 and rows["b"].present == 1
-    assert rows["a"].samples == ["x" * 60, "0", "1", "2"] and rows["b"].samples == []
+    assert rows["a"].n == rows["a"].present and rows["a"].fill_rate == 1.0 and rows["b"].present == 1
+    assert rows["a"].samples == ["x" * 100, "0", "1", "2"] and rows["b"].samples == []
+    cut = {r.field: r for r in profile_source(frame(spark, {"facebook": recs}), max_rows=500, width=60).collect()}
+    assert cut["a"].n == 500 and cut["a"].samples[0] == "x" * 60
 
 
 def sparse_mapping(source):

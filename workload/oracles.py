@@ -94,18 +94,14 @@ def _profile(cells: str, samples: int = vocab.PROFILE_SAMPLES) -> str:
     return f"""
 SELECT p.source, p.field, any_value(s.n) AS n, count(*) AS present,
        coalesce(array_to_string(list_transform(list_slice(list_sort(
-         list({{'at': p.seq, 'v': substr(p.value, 1, {vocab.SAMPLE_WIDTH})}}) FILTER (WHERE p.value <> '')
+         list({{'at': p.seq, 'v': p.value}}) FILTER (WHERE p.value <> '')
        ), 1, {samples}), lambda x: x.v), '|'), '') AS samples
 FROM present p JOIN sizes s USING (source)
 GROUP BY p.source, p.field"""
 
 
-_FIRST_500 = f""",
-head AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS rn FROM lines)
-  WHERE rn <= {vocab.PROFILE_ROWS}
-),
-sizes AS (SELECT source, count(*) AS n FROM head GROUP BY source)"""
+_SIZES = """,
+sizes AS (SELECT source, count(*) AS n FROM lines GROUP BY source)"""
 
 _MISSING = """,
 totals AS (SELECT source, batch_id, count(*) AS n FROM batched GROUP BY ALL),
@@ -129,7 +125,7 @@ _UNMAPPED = """,
 unmapped AS (
   SELECT DISTINCT b.source, b.batch_id, p.field
   FROM present p JOIN batched b USING (source, seq)
-  WHERE b.batch_pos < 200 AND (p.source, p.field) NOT IN (SELECT (source, field) FROM """ + _known(False) + """)
+  WHERE (p.source, p.field) NOT IN (SELECT (source, field) FROM """ + _known(False) + """)
 )"""
 
 _DRIFT = lines(True) + _PLACED + _cells("lines") + _MISSING + _UNMAPPED
@@ -309,8 +305,8 @@ ORACLES: dict[str, str] = {
         f"ELSE {INGEST} END AS ingested_at FROM leads"
     ),
     "k2_heal_events": (
-        "SELECT source, 'human_review' AS event, CAST(0 AS BIGINT) AS attempt, length(substr(text, 1, 2000)) AS width, "
-        f"md5(substr(text, 1, 2000)) AS digest, {INGEST} AS ts FROM documents"
+        "SELECT source, 'human_review' AS event, CAST(0 AS BIGINT) AS attempt, length(text) AS width, "
+        f"md5(text) AS digest, {INGEST} AS ts FROM documents"
     ),
     "k3_review_queue": _with(
         _BROKEN, "SELECT source, violations AS reason, seq FROM broken WHERE violations <> ''"
@@ -412,7 +408,7 @@ FROM orders, (VALUES ('iso'), ('offset'), ('epoch'), ('month_first'), ('half_day
         "CASE WHEN seq % 23 = 0 THEN 'payload_not_json' END) AS violations FROM leads"
     ),
     "p18_split_valid": _with(_BROKEN, "SELECT seq, violations FROM broken"),
-    "m1_profile": _with(lines() + _FIRST_500 + _cells("(SELECT * FROM head)"), _profile("present")),
+    "m1_profile": _with(lines() + _SIZES + _cells("lines"), _profile("present")),
     "m1_profile_everything": f"""
 WITH rows AS (
   SELECT event_type AS source, event_id AS seq, props FROM events
