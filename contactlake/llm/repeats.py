@@ -10,7 +10,8 @@ run of neighbouring windows with one anchor travels as one string. The jobs:
    the batch with a smaller id has, too, is decided there and then; the others
    travel, so of one run at most one copy per batch does.
 3. By anchor, equal runs are settled by the least document id. Different runs of
-   one anchor are halved by document again and again: the smaller ids' runs
+   one anchor that share a second anchor, too, are halved by document again and
+   again: the smaller ids' runs
    become a run-compressed Burrows-Wheeler index with sampled run ends, and
    matching statistics of the larger ids' runs are streamed over it; a window
    is repeated where a match of 50 bytes begins.
@@ -36,18 +37,20 @@ ANCHOR = 20
 #: windows in one run at most, so that a run is short even in monotonous texts
 RUN_WINDOWS = 256
 #: bytes of text in a batch and in a part; batches grow beyond so many
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 MAX_BATCHES = 200_000
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: an anchor in more documents than this is split by a second anchor
 COMMON = 20_000
 #: bytes of text that are hashed at once
 CHUNK = 256 << 10
 #: symbols that are indexed or streamed at once
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 
 _ODD = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 _LAST = (1 << 63) - 1
+#: the bits of an anchor that travel; the upper ones choose the part
+_LOW = np.uint64((1 << 40) - 1)
 
 
 def _hashes(data: np.ndarray, odd: int) -> np.ndarray:
@@ -89,18 +92,24 @@ def anchors(data: np.ndarray, second: bool = False) -> np.ndarray:
     return _least(_hashes(data, odd), LEAST - ANCHOR + 1) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _split(doc: np.ndarray, place: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of RUN_WINDOWS windows at most."""
+    if not len(size) or size.max() <= RUN_WINDOWS:
+        return doc, place, size, anchor
+    pieces = -(-size // RUN_WINDOWS)
+    of = np.repeat(np.arange(len(size)), pieces)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    length = np.minimum(size[of] - number * RUN_WINDOWS, RUN_WINDOWS)
+    return doc[of], place[of] + number * RUN_WINDOWS, length, anchor[of]
+
+
 def _cut_runs(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs (doc, first window, windows, anchor) of windows that follow each other with one anchor."""
     if not len(doc):
         return doc, place, place, anchor
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]
     first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(doc)])
-    pieces = -(-size // RUN_WINDOWS)
-    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = np.repeat(first, pieces) + number * RUN_WINDOWS
-    length = np.minimum(np.repeat(size, pieces) - number * RUN_WINDOWS, RUN_WINDOWS)
-    return doc[at], place[at], length, anchor[at]
+    return _split(doc[first], place[first], np.diff(np.r_[first, len(doc)]), anchor[first])
 
 
 def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -113,31 +122,29 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
 
     def flush() -> None:
         data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
-        lengths = np.array([len(t) for _, _, t in held])
-        begin = np.cumsum(lengths) - lengths
-        windows = lengths - LEAST + 1
-        inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = np.repeat(begin, windows) + inside
-        doc = np.repeat([d for d, _, _ in held], windows)
-        place = inside + np.repeat([s for _, s, _ in held], windows)
-        anchor = anchors(data)[at]
-        if only is None:
-            out.append(_cut_runs(doc, place, anchor))
-            return
-        # runs first, so that far fewer anchors are looked up than there are windows
-        doc, place, length, own = _cut_runs(doc, place, anchor)
-        met = _among(own, only)
-        if common is not None and len(common):
-            hot = met & _among(own, common)
-            if hot.any():
-                piece = np.searchsorted(np.cumsum(windows), np.arange(windows.sum()), "right")
-                marked = np.zeros(len(anchor), bool)
-                marked[_among(anchor, common)] = True
-                finer = anchor ^ anchors(data, True)[at]
-                out.append(_cut_runs(np.array([held[p][0] for p in piece[marked]], np.int64),
-                                     (inside + np.repeat([s for _, s, _ in held], windows))[marked], finer[marked]))
-                met &= ~hot
-        out.append((doc[met], place[met], length[met], own[met]))
+        docs, offsets, lengths = (np.array(c, np.int64) for c in zip(*((d, s, len(t)) for d, s, t in held)))
+        begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
+        anchor = anchors(data)
+        new = np.r_[True, anchor[1:] != anchor[:-1]]
+        new[begin] = True
+        new[(begin + windows)[:-1]] = True  # windows from here on reach into the next text
+        first = np.flatnonzero(new)
+        length = np.diff(np.r_[first, len(anchor)])
+        piece = np.searchsorted(begin, first, "right") - 1
+        inside = first - begin[piece]
+        keep = inside < windows[piece]
+        if only is not None:
+            keep &= _among(anchor[first], only)
+        first, length, piece, inside = first[keep], length[keep], piece[keep], inside[keep]
+        doc, place, own = docs[piece], inside + offsets[piece], anchor[first]
+        if only is not None and common is not None and len(common) and (hot := _among(own, common)).any():
+            n = length[hot]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(first[hot], n) + step
+            finer = anchor[at] ^ anchors(data, True)[at]
+            out.append(_cut_runs(np.repeat(doc[hot], n), np.repeat(place[hot], n) + step, finer))
+            doc, place, length, own = doc[~hot], place[~hot], length[~hot], own[~hot]
+        out.append(_split(doc, place, length, own))
 
     for number, text in enumerate(texts):
         for start in range(0, max(0, len(text) - LEAST + 1), CHUNK):
@@ -180,8 +187,14 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 def _distinct(doc: np.ndarray, batch: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
     """(anchor, batch, documents up to 255), ascending by anchor, of (doc, anchor) pairs."""
-    order = np.lexsort((doc, batch, anchor))
+    order = np.argsort(anchor, kind="stable")
     a, b, d = anchor[order], batch[order], doc[order]
+    # few anchors come twice; only those are put in the order of batch and document
+    again = np.r_[False, a[1:] == a[:-1]]
+    again[:-1] |= again[1:].copy()
+    some = np.flatnonzero(again)
+    some_order = some[np.lexsort((d[some], b[some], a[some]))]
+    b[some], d[some] = b[some_order], d[some_order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
     docs = np.add.reduceat(np.r_[True, new[1:] | (d[1:] != d[:-1])].astype(np.int64), np.flatnonzero(new))
     return a[new], b[new], np.minimum(docs, 255).astype(np.uint8)
@@ -254,6 +267,11 @@ def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[edge], start[edge], reach[np.r_[edge[1:] - 1, len(row) - 1]] - base[edge]
 
 
+def _numbers(docs: pa.Table) -> np.ndarray:
+    """A number for each row of a batch, the same whenever the batch is put together; equal rows share one."""
+    return np.unique(docs.column("row").to_numpy(), return_inverse=True)[1].ravel().astype(np.int64)
+
+
 def _batch_runs(parts: int):
     def emit(docs: pa.Table, lists: pa.Table) -> pa.Table:
         if not lists.num_rows or not docs.num_rows:
@@ -263,7 +281,7 @@ def _batch_runs(parts: int):
             for c in ("anchors", "common")
         )
         texts, ords = docs.column("bytes").to_pylist(), docs.column("ord").to_numpy()
-        batch, names = int(docs.column("batch")[0].as_py()), docs.column("row").to_numpy()
+        batch, names = int(docs.column("batch")[0].as_py()), _numbers(docs)
         doc, first, windows, anchor = runs(texts, common, only)
         content = [texts[d][s : s + n + LEAST - 1] for d, s, n in zip(doc.tolist(), first.tolist(), windows.tolist())]
         least: dict[tuple[int, bytes], int] = {}
@@ -278,7 +296,7 @@ def _batch_runs(parts: int):
         return pa.table(
             [
                 pa.array(np.r_[_bucket(anchor[open_], parts), names[row] % parts]),
-                pa.array(np.r_[anchor[open_].view(np.int64), np.zeros(n, np.int64)]),
+                pa.array(np.r_[(anchor[open_] & _LOW).view(np.int64), np.zeros(n, np.int64)]),
                 pa.array(np.r_[own[open_], ords[row]]),
                 pa.array(np.full(len(open_) + n, batch)),
                 pa.array(np.r_[names[doc[open_]], names[row]]),
@@ -292,19 +310,76 @@ def _batch_runs(parts: int):
     return emit
 
 
+def _ranked(group: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (group, least document), and in it the rank in the group; one document is one rank."""
+    order = np.lexsort((least, group))
+    g, o = group[order], least[order]
+    new = np.r_[True, g[1:] != g[:-1]]
+    step = np.cumsum(np.r_[False, o[1:] != o[:-1]] | new)
+    return order, step - np.repeat(step[new], np.diff(np.r_[np.flatnonzero(new), len(g)]))
+
+
+def _seen_windows(content: list[bytes], group: np.ndarray, least: np.ndarray) -> dict[int, np.ndarray]:
+    """For each string the windows that a string of a smaller document in its group has, too.
+
+    Equal windows have equal second anchors, too, so strings are cut into runs
+    of one second anchor. A run that no other string meets is done, equal runs
+    are settled by the least document, and only different runs with the same
+    two anchors need an index.
+    """
+    lengths = np.array([len(c) for c in content])
+    begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
+    own = np.repeat(np.arange(len(content)), windows)
+    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    second = anchors(np.frombuffer(b"".join(content), np.uint8), True)[place + begin[own]]
+    own, place, size, second = _cut_runs(own, place, second)
+    key = second ^ group[own].astype(np.uint64) * np.uint64(_ODD[0])
+    order = np.lexsort((own, key))
+    other = np.r_[False, (key[order][1:] == key[order][:-1]) & (own[order][1:] != own[order][:-1])]
+    some = np.flatnonzero(_among(key, np.unique(key[order][other])))
+    number: dict[tuple[int, bytes], int] = {}
+    first: list[int] = []
+    of = []
+    for k, o, at, n in zip(key[some].tolist(), own[some].tolist(), place[some].tolist(), size[some].tolist()):
+        i = number.setdefault((k, content[o][at : at + n + LEAST - 1]), len(number))
+        of.append(i)
+        if i == len(first):
+            first.append(int(least[o]))
+        elif least[o] < first[i]:
+            first[i] = int(least[o])
+    met: dict[int, np.ndarray] = {}
+    if number:
+        finer = np.unique(np.array([k for k, _ in number], np.uint64), return_inverse=True)[1].ravel()
+        several = np.flatnonzero((np.bincount(finer) > 1)[finer])
+        if len(several):
+            order, rank = _ranked(finer[several], np.array(first)[several])
+            order, strings = several[order], [c for _, c in number]
+            met = {int(order[i]): hit for i, hit in _seen_before([strings[k] for k in order], finer[order], rank).items()}
+    seen: dict[int, np.ndarray] = {}
+    for i, o, at, n in zip(of, own[some].tolist(), place[some].tolist(), size[some].tolist()):
+        hit = least[o] > first[i] or met.get(i)
+        if hit is not None and hit is not False:
+            seen.setdefault(o, np.zeros(windows[o], bool))[at : at + n] = hit
+    return seen
+
+
 def _seen_before(content: list[bytes], group: np.ndarray, rank: np.ndarray) -> dict[int, np.ndarray]:
     """For each string the places whose window a string of lower rank in its group has, too.
 
     Two ranks differ first in one bit, so they are told apart at exactly one
-    level, where the one without the bit is indexed and the other streamed.
+    level, where the one without the bit is indexed and the other streamed. A
+    string whose windows have all been seen goes no further down: whatever has
+    one of them in its node has met it above, too.
     """
     seen: dict[int, np.ndarray] = {}
-    for bit in range(int(rank.max()).bit_length()):
+    open_ = np.ones(len(content), bool)
+    for bit in reversed(range(int(rank.max()).bit_length())):
         node = rank >> bit + 1
         later = rank >> bit & 1 == 1
         key = np.unique(np.stack([group, node], 1), axis=0, return_inverse=True)[1].ravel()
-        both = (np.bincount(key[later], minlength=key.max() + 1) > 0) & (np.bincount(key[~later], minlength=key.max() + 1) > 0)
-        some = np.flatnonzero(both[key])
+        nodes = int(key.max()) + 1
+        both = (np.bincount(key[later & open_], minlength=nodes) > 0) & (np.bincount(key[~later & open_], minlength=nodes) > 0)
+        some = np.flatnonzero(both[key] & open_)
         some = some[np.argsort(key[some], kind="stable")]
         size = np.cumsum([len(content[i]) for i in some])
         leads = np.flatnonzero(np.r_[True, key[some][1:] != key[some][:-1]]) if len(some) else []
@@ -324,6 +399,7 @@ def _seen_before(content: list[bytes], group: np.ndarray, rank: np.ndarray) -> d
             for x, hit in zip(part[new], found):
                 hit = hit[: len(content[x]) - LEAST + 1]
                 seen[x] = seen[x] | hit if x in seen else hit
+                open_[x] = not seen[x].all()
     return seen
 
 
@@ -333,44 +409,32 @@ def _decide(table: pa.Table) -> pa.Table:
     anchor, ords, first, windows, row, batch = (
         table.column(c).to_numpy() for c in ("anchor", "ord", "first", "windows", "row", "batch")
     )
-    spans = [(row[i], batch[i], first[i], first[i] + windows[i]) for i, c in enumerate(content) if c is None]
+    row = row + (batch << 32)  # rows of all batches apart
     number: dict[tuple[int, bytes], int] = {}
-    least, of = [], np.full(len(content), -1)
-    for i, (a, c, o) in enumerate(zip(anchor.tolist(), content, ords.tolist())):
-        if c is None:
-            continue
-        k = of[i] = number.setdefault((a, c), len(number))
-        if k == len(least):
-            least.append(o)
-        elif o < least[k]:
-            least[k] = o
+    of = np.array([-1 if c is None else number.setdefault((a, c), len(number)) for a, c in zip(anchor.tolist(), content)], np.int64)
+    runs_ = of >= 0
+    least = np.full(len(number), _LAST)
+    np.minimum.at(least, of[runs_], ords[runs_])
     group = np.unique([a for a, _ in number], return_inverse=True)[1].ravel() if number else np.zeros(0, int)
-    least = np.array(least, np.int64)
+    strings = [c for _, c in number]
     several = np.flatnonzero((np.bincount(group) > 1)[group]) if len(group) else np.zeros(0, int)
     seen: dict[int, np.ndarray] = {}
     if len(several):
-        order = several[np.lexsort((least[several], group[several]))]
-        g, o = group[order], least[order]
-        new_group = np.r_[True, g[1:] != g[:-1]]
-        step = np.cumsum(np.r_[False, o[1:] != o[:-1]] | new_group)
-        rank = step - np.repeat(step[new_group], np.diff(np.r_[np.flatnonzero(new_group), len(g)]))
-        strings = [c for _, c in number]
-        found = _seen_before([strings[k] for k in order], g, rank)
-        seen = {int(order[i]): hit for i, hit in found.items()}
-    for i, k in enumerate(of.tolist()):
-        if k < 0:
-            continue
-        if ords[i] > least[k]:
-            spans.append((row[i], batch[i], first[i], first[i] + windows[i] + LEAST - 1))
-        elif k in seen and seen[k].any():
-            edge = np.flatnonzero(np.diff(np.r_[0, seen[k].view(np.int8), 0]))
-            spans += [(row[i], batch[i], first[i] + a, first[i] + b + LEAST - 1) for a, b in zip(edge[::2], edge[1::2])]
-    if not spans:
-        return _SPANS.empty_table()
-    row, batch, start, stop = (np.array(c, np.int64) for c in zip(*spans))
-    batch_of = dict(zip(row.tolist(), batch.tolist()))
-    row, start, stop = _merge(row, start, stop)
-    return pa.table([pa.array([batch_of[r] for r in row.tolist()], pa.int64()), pa.array(row), pa.array(start), pa.array(stop)], schema=_SPANS)
+        found = _seen_windows([strings[k] for k in several], group[several], least[several])
+        seen = {int(several[i]): hit for i, hit in found.items()}
+    # spans that came settled carry their bytes' length; runs that a smaller document has go whole
+    whole = np.flatnonzero(~runs_ | (runs_ & (ords > least[of]))) if len(number) else np.flatnonzero(~runs_)
+    reach = np.where(runs_, windows + LEAST - 1, windows)
+    spans = [(row[whole], first[whole], first[whole] + reach[whole])]
+    if seen:
+        held = np.zeros(len(number), bool)
+        held[list(seen)] = True
+        for i in np.flatnonzero(runs_ & held[of] & (ords == least[of])).tolist():
+            edge = np.flatnonzero(np.diff(np.r_[0, seen[int(of[i])].view(np.int8), 0]))
+            start = first[i] + edge[::2]
+            spans.append((np.full(len(start), row[i]), start, first[i] + edge[1::2] + LEAST - 1))
+    row, start, stop = _merge(*(np.concatenate(c) for c in zip(*spans)))
+    return pa.table([pa.array(row >> 32), pa.array(row & (1 << 32) - 1), pa.array(start), pa.array(stop)], schema=_SPANS)
 
 
 _CUT = pa.schema([
@@ -385,7 +449,7 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     by_row: dict[int, list[tuple[int, int]]] = {}
     for r, a, b in zip(*(x.tolist() if len(x) else x for x in (row, start, stop))):
         by_row.setdefault(r, []).append((a, b))
-    texts, names = docs.column("bytes").to_pylist(), docs.column("row").to_pylist()
+    texts, names = docs.column("bytes").to_pylist(), _numbers(docs).tolist()
     own, kept = [], []
     for text, name in zip(texts, names):
         gone = by_row.get(name, [])
