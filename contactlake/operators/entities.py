@@ -97,28 +97,28 @@ def _small_star(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
 
 
 def connected_components(
-    edges: DataFrame, scratch: Scratch, max_rounds: int = 60, heavy_floor: int = HEAVY_FLOOR
+    edges: DataFrame, scratch: Scratch, heavy_floor: int = HEAVY_FLOOR
 ) -> DataFrame:
     """``(node, component)`` for every node of the edges ``(a, b)``.
 
     Alternating large-star and small-star steps: every edge is moved to the
     least neighbour until all components are stars around their least node.
     Each round is written to the shared scratch folder, which cuts the lineage
-    and survives lost executors; the loop ends when only stars are left.
+    and survives lost executors; the loop ends when only stars are left, which
+    takes a number of rounds in the order of the logarithm of the edges.
     """
     current = scratch.put("edges-0", edges.filter("a <> b").select("a", "b").distinct())
-    for i in range(1, max_rounds + 1):
-        total = current.count()
-        if total == 0:
-            break
+    i, most = 0, None
+    while total := current.count():
+        i, most = i + 1, most or 10 + 4 * total.bit_length()
+        if i > most:
+            raise RuntimeError(f"components not stable after {most} rounds")
         moved = _large_star(current, total, heavy_floor)
         following = scratch.put(f"edges-{i}", _small_star(moved, total, heavy_floor))
         scratch.drop(f"edges-{i - 1}")
         current = following
         if _is_star_forest(current):
             break
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
     # Every component is now a star: members point at the root.
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

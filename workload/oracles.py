@@ -499,9 +499,11 @@ WHERE source = 'facebook' AND batch_id >= (SELECT min(batch_id) FROM decision WH
     ),
     "d1_candidates": _leads("SELECT * FROM cands", _PAIRS),
     "d2_block_pairs": _leads("SELECT block, first_id, lead_id FROM pairs", _PAIRS),
+    "d2_hot_blocks": _leads("SELECT block, first_id, lead_id FROM pairs", _PAIRS),
     "d3_name_similarity": _leads("SELECT a, b, round(similarity, 4) AS similarity FROM ratios", _MATCHED),
     "d4_matched_pairs": _leads("SELECT block, first_id, lead_id FROM matched", _MATCHED),
     "d5_components": _resolved("SELECT node, component FROM components"),
+    "d5_hot_components": _resolved("SELECT node, component FROM components"),
     "d6_survivors": _resolved("SELECT component, survivor_id, members FROM groups"),
     "d7_summary": _resolved(
         "SELECT (SELECT count(*) FROM cands) AS scanned, CAST(sum(members - 1) AS BIGINT) AS duplicates, "

@@ -789,6 +789,13 @@ def d2_block_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("block", "first_id", "lead_id")
 
 
+@query
+def d2_hot_blocks(spark, sf_dir):
+    """The same pairs where every block counts as a hot one."""
+    cands = entities.candidates(leads(spark, sf_dir))
+    return entities.block_pairs(cands, cands.count(), heavy_floor=1).select("block", "first_id", "lead_id")
+
+
 @query
 def d3_name_similarity(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).filter("first_name <> '' and name <> ''")
@@ -806,6 +813,14 @@ def d5_components(spark, sf_dir):
     return resolution(spark, sf_dir).components.select("node", "component")
 
 
+@query
+def d5_hot_components(spark, sf_dir):
+    """The same components where every node with several neighbours counts as a hot one."""
+    cands = entities.candidates(leads(spark, sf_dir))
+    edges = entities.matched_edges(cands, cands.count())
+    return entities.connected_components(edges, Scratch(spark, "d5"), heavy_floor=1).select("node", "component")
+
+
 @query
 def d6_survivors(spark, sf_dir):
     return resolution(spark, sf_dir).groups.select("component", "survivor_id", "members")
