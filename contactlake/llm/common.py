@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import contactlake
 from contactlake.session import configure
 
 #: rows and bytes that a Python worker holds at once; texts may be long
@@ -13,8 +18,23 @@ ARROW_SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python the package, once per application; Spark serves the file to them."""
+    context = spark.sparkContext
+    if getattr(context, "_contactlake_shipped", False):
+        return
+    root = Path(contactlake.__file__).parent
+    target = f"{tempfile.mkdtemp(prefix='contactlake-')}/contactlake.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(target)
+    context._contactlake_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the library's settings and bound the batches sent to Python."""
+    """Apply the library's settings, ship the package, and bound the batches sent to Python."""
+    ship(spark)
     for key, value in ARROW_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
