@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from contactlake.llm.common import fresh
 from contactlake.session import Scratch
 
 Q = 8
@@ -297,10 +296,27 @@ def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """The documents in which no passage was found; other columns stay as they are."""
-    row, own = fresh(docs, "row"), fresh(docs, "own_key")
-    hit = matches(docs, benchmark, key, text, item, item_text).select(
-        F.col("row").alias(row), F.col("key").alias(own)
-    ).distinct()
-    same = (F.xxhash64(docs[text]) == hit[row]) & docs[key].eqNullSafe(hit[own])
-    return docs.join(hit, same, "left_anti")
+    """The documents in which no passage was found; other columns stay as they are.
+
+    Rows are searched and dropped where they are read, without a join; a
+    benchmark of several blocks takes a written pass for each. ``key`` only
+    serves the other reports.
+    """
+    scratch, place = Scratch(docs.sparkSession, "clean"), docs.columns.index(text)
+    for number, index in enumerate(_blocks(_pieces(benchmark, item, item_text))):
+        shipped = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            index = shipped.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                texts = [normalise(t) for t in batch.column(place).to_pylist()]
+                for joined, begins, marks in _batches(texts):
+                    _, end, _ = index.search(joined)
+                    keep[marks[np.searchsorted(begins, end - 1, "right") - 1, 0]] = False
+                yield batch.filter(pa.array(keep))
+
+        if number:
+            docs = scratch.put(f"block{number}", docs)
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -203,5 +203,6 @@ def keep_one(
     hashed = docs.withColumn(text_hash, F.xxhash64(text))
     # joined by the hash alone, so that the same shuffle serves the repeated rows
     same_key = F.coalesce(F.col(key) == F.col(own_key), F.col(key).isNull() & F.col(own_key).isNull())
-    kept = hashed.join(chosen, (F.col(text_hash) == F.col(own_hash)) & same_key, "left_semi")
+    # the chosen keys grow with the rows, so they are never broadcast, whatever the size today
+    kept = hashed.join(chosen.hint("merge"), (F.col(text_hash) == F.col(own_hash)) & same_key, "left_semi")
     return kept.dropDuplicates([text_hash, key]).drop(text_hash)
