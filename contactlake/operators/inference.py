@@ -1,7 +1,7 @@
 """M7: infer a mapping from a profile.
 
 Every (source, field) collects evidence for every transform: how the field is
-called, what share of its sample values the transform's own cleaner accepts,
+called, what share of all its values the transform's own cleaner accepts,
 and which transforms were approved for equally named fields before. The best
 scored transform is chosen per field, then the best field per target. Each
 further attempt asks for less evidence.
@@ -47,20 +47,21 @@ def _words(field: Column) -> Column:
     return F.array_remove(F.split(F.lower(spaced), "[^a-z0-9]+"), "")
 
 
-def value_evidence(profile: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Share of the samples of each field that each kind of cleaner accepts."""
+def value_evidence(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per field ``evidence``: its non-empty values, and the share of them that each kind of cleaner accepts.
+
+    ``cells`` are rows ``(keys, field, _value)``. Every value counts as often
+    as it occurs; equal values are cleaned once.
+    """
     keys_ = list(keys)
-    samples = profile.select(*keys_, "field", F.explode_outer("samples").alias("_value"))
     v = F.col("_value")
-    # a few samples per field: side by side keeps the plan short
+    distinct = cells.filter(v != "").groupBy(*keys_, "field", "_value").agg(F.count(F.lit(1)).alias("_times"))
     cleaned = apply_layers(
-        samples,
-        (
-            emails.email_recipe(v, "_email"),
-            phones.phone_recipe(v, "_phone"),
-            dates.date_recipe(v, "_date"),
-            names.name_recipe(v, "_name"),
-        ),
+        distinct,
+        emails.email_recipe(v, "_email"),
+        phones.phone_recipe(v, "_phone"),
+        dates.date_recipe(v, "_date"),
+        names.name_recipe(v, "_name"),
     )
     consent = F.lower(text.strip(v)).isin(*vocab.CONSENT_TRUE, *CONSENT_FALSE)
     tests = {
@@ -71,13 +72,9 @@ def value_evidence(profile: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         "consent": consent,
         "name_like": (F.col("_name").rlike(r"^[\p{L}][\p{L}.'’ -]*$") | F.col("_name").isNull()) & ~consent,
     }
-    return cleaned.groupBy(*keys_, "field").agg(
-        F.count("_value").alias("_samples"),
-        *[
-            F.avg(F.when(v.isNotNull(), F.coalesce(test, F.lit(False)).cast("double"))).alias(f"_fit_{name}")
-            for name, test in tests.items()
-        ],
-    )
+    times = F.col("_times")
+    shares = [(F.sum(F.when(test, times).otherwise(0)) / F.sum(times)).alias(name) for name, test in tests.items()]
+    return cleaned.groupBy(*keys_, "field").agg(F.struct(F.sum(times).alias("values"), *shares).alias("evidence"))
 
 
 def score_fields(
@@ -86,20 +83,18 @@ def score_fields(
     """One row per field and transform it may have, with its score."""
     keys_ = list(keys)
     fit_of = {
-        "email": F.col("_fit_email"),
-        "phone": F.col("_fit_phone"),
-        "created_at": F.col("_fit_created_at"),
-        "consent": F.col("_fit_consent"),
-        "split_full_name": F.col("_fit_name_like"),
-        "first_name": F.col("_fit_name_like"),
-        "last_name": F.col("_fit_name_like"),
+        "email": F.col("evidence.email"),
+        "phone": F.col("evidence.phone"),
+        "created_at": F.col("evidence.created_at"),
+        "consent": F.col("evidence.consent"),
+        "split_full_name": F.col("evidence.name_like"),
+        "first_name": F.col("evidence.name_like"),
+        "last_name": F.col("evidence.name_like"),
         "campaign_id": F.lit(1.0),
     }
     #: how much a fitting value says without a telling name
     telling = {"email": 1.0, "created_at": 0.9, "phone": 0.9, "consent": 0.6}
-    described = profile.select(*keys_, "ordinal", "field", _words(F.col("field")).alias("_words")).join(
-        value_evidence(profile, keys), [*keys_, "field"]
-    )
+    described = profile.select(*keys_, "ordinal", "field", _words(F.col("field")).alias("_words"), "evidence")
     if memory is not None:
         known = memory.select(F.lower("field").alias("_key"), "transform").distinct()
         known = known.groupBy("_key").agg(F.collect_set("transform").alias("_known"))
@@ -107,6 +102,8 @@ def score_fields(
     else:
         described = described.withColumn("_known", F.array().cast("array<string>"))
 
+    no_values = F.col("evidence").isNull()
+
     def option(transform: str) -> Column:
         named = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in NAME_WORDS[transform]]))
         if transform == "split_full_name":
@@ -114,9 +111,9 @@ def score_fields(
             named = named & ~F.arrays_overlap("_words", F.array(*[F.lit(w) for w in parts]))
         if transform == "campaign_id":
             named = named & ~F.arrays_overlap("_words", F.array(F.lit("date"), F.lit("time")))
-        fit = F.when(F.col("_samples") == 0, F.lit(1.0)).otherwise(fit_of[transform])
+        fit = F.when(no_values, F.lit(1.0)).otherwise(fit_of[transform])
         remembered = F.coalesce(F.array_contains("_known", transform), F.lit(False))
-        evidence_of_value = F.when(F.col("_samples") == 0, F.lit(0.0)).otherwise(
+        evidence_of_value = F.when(no_values, F.lit(0.0)).otherwise(
             F.when(named, fit).otherwise(fit * F.lit(telling.get(transform, 0.0)))
         )
         return F.struct(

@@ -1,10 +1,11 @@
-"""M1: what a source looks like: its fields, fill rates and sample values."""
+"""M1: what a source looks like: its fields, fill rates, sample values and what its values are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from contactlake import vocab
+from contactlake.operators.inference import value_evidence
 from contactlake.operators.positions import first_per_group
 
 
@@ -20,9 +21,10 @@ def profile_source(
 
     ``fill_rate`` is the share of the records in which the key is *present* (a
     null or empty value counts); ``samples`` are the first non-empty values in
-    record order. ``ordinal`` is the order in which the fields were first seen.
-    Every record and whole values count, unless ``max_rows`` or ``width`` asks
-    for the first records or characters only.
+    record order, for display; ``evidence`` judges all values (null: none to
+    judge). ``ordinal`` is the order in which the fields were first seen.
+    Every record and whole values count, unless ``max_rows`` asks for the first
+    records, or ``width`` for the first characters of samples, only.
     """
     keys_ = list(keys)
     rows = df.filter(F.col("rec").isNotNull()).select(*keys_, F.col(order).alias("_at"), "rec")
@@ -45,10 +47,12 @@ def profile_source(
             F.transform("_samples", lambda s: s["_value"] if width is None else F.left(s["_value"], F.lit(width))).alias("samples"),
         )
     )
+    judged = value_evidence(cells, keys)
     by_sight = Window.partitionBy(*keys_).orderBy("_first", "_place", "field")
     return (
         seen.join(sizes, keys_)
         .join(sampled, [*keys_, "field"], "left")
+        .join(judged, [*keys_, "field"], "left")
         .select(
             *keys_,
             F.row_number().over(by_sight).alias("ordinal"),
@@ -57,5 +61,6 @@ def profile_source(
             "present",
             F.round(F.col("present") / F.col("n"), 2).alias("fill_rate"),
             F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+            "evidence",
         )
     )
