@@ -24,10 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from contactlake.llm.common import fresh
 
 BUCKETS = 1 << 18
-#: buckets with an embedding: those whose presence differs between the classes
-#: by so many standard errors, and the first so many of them; others stay at zero
-TELLING = 6.0
-EMBEDDED = 1 << 12
+#: every bucket of the sample has an embedding; one whose presence differs between
+#: the classes by so many standard errors counts a quarter, one with less far less
+DOUBT = 6.0
 DIMENSIONS = 4
 NGRAMS = (3, 4, 5)
 #: the classifier is fitted on so many labelled documents of each class at
@@ -91,45 +90,41 @@ def _pooled(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(texts: Sequence[str], labels: Sequence[int], weights: Sequence[float], seed: int = 1) -> Model:
-    """Fit embeddings and softmax together on weighted examples of both classes."""
+    """Fit the embeddings of all buckets of the texts, and the softmax, on weighted examples of both classes."""
     label, n = np.asarray(labels, int), len(texts)
     row, bucket, share = _pooled(texts)
+    chosen, place = np.unique(bucket, return_inverse=True)
+    k = len(chosen)
     sizes = [max(1, int(np.sum(label == c))) for c in (0, 1)]
-    present = [np.bincount(bucket[label[row] == c], minlength=BUCKETS) / sizes[c] for c in (0, 1)]
-    both = np.bincount(bucket, minlength=BUCKETS) / n
+    present = [np.bincount(place[label[row] == c], minlength=k) / sizes[c] for c in (0, 1)]
+    both = np.bincount(place, minlength=k) / n
     error = np.sqrt((both * (1 - both) + 1 / n) * (1 / sizes[0] + 1 / sizes[1]))
-    tells = np.abs(present[1] - present[0]) / error
-    best = np.argsort(-tells, kind="stable")[:EMBEDDED]
-    chosen = np.sort(best[tells[best] >= min(TELLING, tells[best[0]])])
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    own = place[bucket] >= 0
-    pooled = np.zeros((n, len(chosen)), np.float32)
-    pooled[row[own], place[bucket[own]]] = share[own]
-    spread = np.sqrt((pooled * pooled).mean(0)) + 1e-6
-    pooled /= spread
+    evidence = ((present[1] - present[0]) / error) ** 2
+    trust = np.maximum(evidence / (evidence + DOUBT**2), 1e-6) ** 2
+    spread = (np.sqrt(np.bincount(place, share * share, k) / n) + 1e-6) / trust
+    value = share / spread[place]
 
     rng = np.random.default_rng(seed)
     params = {
-        "e": rng.normal(0, 0.01, (len(chosen), DIMENSIONS)).astype(np.float32),
+        "e": rng.normal(0, 0.01, (k, DIMENSIONS)).astype(np.float32),
         "w": rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), "b": np.zeros(2, np.float32),
     }
-    target = np.eye(2, dtype=np.float32)[label]
-    weight = (np.asarray(weights) / np.sum(weights)).astype(np.float32)
-    first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
+    weight = np.asarray(weights) / np.sum(weights)
+    first, second = ({name: np.zeros_like(v) for name, v in params.items()} for _ in range(2))
     for step in range(1, EPOCHS + 1):
-        mean = pooled @ params["e"]
-        logits = mean @ params["w"] + params["b"]
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        slope = (p - target) * weight[:, None]
-        grads = {"e": pooled.T @ (slope @ params["w"].T), "w": mean.T @ slope, "b": slope.sum(0)}
-        for k, g in grads.items():  # Adam; the floor keeps n-grams that tell little from moving like the others
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            floor = FLOOR * float(np.sqrt(second[k].max())) + 1e-12
-            move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k]) + floor) * np.sqrt(1 - 0.99**step)
-            params[k] = params[k] - RATE * move - RATE * DECAY * params[k] * (k != "b")
+        # with two classes all follows from one number a bucket and one slope a text
+        folded = params["e"] @ (params["w"][:, 1] - params["w"][:, 0])
+        logits = np.bincount(row, value * folded[place], n) + params["b"][1] - params["b"][0]
+        slope = (1 / (1 + np.exp(-np.clip(logits, -60, 60))) - label) * weight
+        back = np.bincount(place, value * slope[row], k).astype(np.float32)
+        sides = np.stack([-back, back], 1)
+        grads = {"e": sides @ params["w"].T, "w": params["e"].T @ sides, "b": np.array([-slope.sum(), slope.sum()], np.float32)}
+        for name, g in grads.items():  # Adam; the floor keeps n-grams that tell little from moving like the others
+            first[name] = 0.9 * first[name] + 0.1 * g
+            second[name] = 0.99 * second[name] + 0.01 * g * g
+            floor = FLOOR * float(np.sqrt(second[name].max(initial=0.0))) + 1e-12
+            move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name]) + floor) * np.sqrt(1 - 0.99**step)
+            params[name] = params[name] - RATE * move - RATE * DECAY * params[name] * (name != "b")
     odds = np.zeros(BUCKETS, np.float32)
     odds[chosen] = params["e"] @ (params["w"][:, 1] - params["w"][:, 0]) / spread
     return Model(odds, float(params["b"][1] - params["b"][0]))
