@@ -64,18 +64,20 @@ class WordEncoder:
     """Whole texts to serialised ids; words that come again are looked up.
 
     White space ends a word for this kind of tokenizer and is dropped, so a
-    text's ids are those of the parts between spaces and line breaks. Words are
-    remembered in two generations: when the younger is full it becomes the
+    text's ids are those of the parts between spaces and line breaks. The
+    literals of added tokens have no white space, so they are found within
+    words, in their own case only. Words are remembered in two generations: when the younger is full it becomes the
     older one, and words still in use move on.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max([END_ID, *vocabulary.values()]) < 1 << 16 else 4
-        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix") or "\0"
+        described = json.loads(tokenizer)
+        suffix = described["model"].get("end_of_word_suffix") or "\0"
+        self.literals = [t["content"] for t in described.get("added_tokens") or []]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
@@ -100,6 +102,11 @@ class WordEncoder:
             else:
                 yield from self._encode(some)
 
+    def _lowered(self, word: str) -> str:
+        """The word in lower case, unless that makes it hold the literal of an added token."""
+        low = word.lower()
+        return word if any(x in low for x in self.literals) else low
+
     def _learn(self, wanted: Iterable[str]) -> None:
         new = [w for w in set(wanted) if w not in self.known]
         letters = [w for w in new if w.isalpha() and w.lower().isalpha()]
@@ -119,7 +126,7 @@ class WordEncoder:
         # a mark behind letters is a token of its own, and so is a capital's small letter
         marked = {w: w[:-1] for w in new if w[-1:] in {",", "."} and w[:-1].isalpha() and w[:-1].lower().isalpha()}
         plain = {w: marked.get(w, w) for w in new}
-        plain = {w: p.lower() if p.isascii() else p for w, p in plain.items()}
+        plain = {w: self._lowered(p) if p.isascii() else p for w, p in plain.items()}
         self._learn({*plain.values(), *(w[-1] for w in marked)})
         known.update((w, known[p] + known[w[-1]] if w in marked else known[p]) for w, p in plain.items())
         return [b"".join(map(known.__getitem__, words)) for words in cut]
