@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from contactlake.session import Scratch
+
 RANGE_BITS = 16
 
 
@@ -80,6 +82,28 @@ def number_batches(df: DataFrame, batch: str, keys: tuple[str, ...] = ("source",
     return with_position(df.withColumn("batch_id", F.col(batch)), [*keys, "batch_id"], order, "batch_pos")
 
 
+def number_sorted(df: DataFrame, order: list, scratch: Scratch, out: str = "pos") -> DataFrame:
+    """All rows with their 0-based place in a total order, without a window over them.
+
+    Rows are range-partitioned and sorted once and stored with their place in
+    their partition; what lies before a partition is a prefix sum over one
+    count per partition. Rows equal in ``order`` are placed anyhow.
+    """
+    at, part = "_at", "_part"
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = scratch.put(f"sorted-{out}", sorted_.withColumn(at, F.monotonically_increasing_id()))
+    # a partition's number stands in the upper bits of the ids given in it
+    numbered = stored.withColumn(part, F.shiftright(at, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("_rows")).select(
+        part, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(offsets), part).withColumn(out, F.col("_offset") + inside).drop(
+        at, part, "_offset"
+    )
+
+
 def first_per_group(
     df: DataFrame, keys: list[str], order: list, n: int, lanes: int = 256
 ) -> DataFrame:
