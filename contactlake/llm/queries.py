@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contactlake.llm import bpe, chat, decontam, linefreq, pii, repeats, sharding, simhash, tokens, toxicity
+from contactlake.llm import (
+    bpe, chat, decontam, linefreq, pii, repair, repeats, resample, sharding, simhash, tokens, toxicity, warc,
+)
 from contactlake.llm.common import table
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 from contactlake.session import Scratch
@@ -83,6 +85,35 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damage(rows))
+    given = rows.select(F.col("conv_id").alias("conv")).distinct()
+    facts = repair.merge_facts(given, found.facts, repair.repaired_digests(found))
+    counts = ("gaps", *repair.FAULTS, "illegal", "cost")
+    return facts.select(
+        F.col("conv").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "archives")
+    arc, archive = scratch.path("arc"), scratch.path("warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, archive, scratch.put("index", warc.index_arc(spark, arc)))
+    return warc.read_archive(spark, archive).select(
+        F.col("page").cast("bigint").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_tokens": op1_tokens,
     "op2_toxicity": op2_toxicity,
@@ -94,4 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_repeats": op10_repeats,
+    "op11_repair": op11_repair,
+    "op12_resample": op12_resample,
+    "op13_warc": op13_warc,
 }
