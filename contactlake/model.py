@@ -43,6 +43,13 @@ REVIEW_QUEUE = T.StructType(
     ]
 )
 
+RUN_REPORTS = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        *[T.StructField(n, T.LongType()) for n in ("rows", "stored", "flagged", "failed")],
+    ]
+)
+
 LEAD_COLUMNS = tuple(LEADS.fieldNames())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,16 +20,24 @@ def _active(mapping: FieldMapping) -> list[str]:
 
 
 def _by_route(table: Mapping[str, Column], route: str, empty: Column) -> Column:
-    out = empty
-    for name, value in table.items():
-        out = F.when(F.col(route) == name, value).otherwise(out)
-    return out
+    """The value of a row's route: one lookup in a literal map, however many routes there are."""
+    if not table:
+        return empty
+    pairs = F.create_map(*[x for name, value in table.items() for x in (F.lit(name), value)])
+    return F.coalesce(F.try_element_at(pairs, F.col(route)), empty)
 
 
 def _names(fields: list[str]) -> Column:
     return F.array(*[F.lit(f) for f in fields]).cast("array<string>")
 
 
+def too_late(value: Column) -> Column:
+    """Whether a value, taken as a date, lies beyond the year 9999, which no lead may."""
+    when = text.strip(value)
+    digits = F.when(when.rlike(dates.EPOCH), when.cast("bigint"))
+    return (digits > dates.LAST_SECOND) & (digits <= dates.MILLIS_ABOVE)
+
+
 def record_error(mappings: Mapping[str, FieldMapping], route: str, sources: tuple[str, ...]) -> Column:
     """Why a record cannot become a lead, NULL when it can.
 
@@ -47,12 +56,10 @@ def record_error(mappings: Mapping[str, FieldMapping], route: str, sources: tupl
         if (fields := [f for f, t in mapping.items() if t == "created_at"])
     }
     no_text = F.lit(None).cast("string")
-    when = text.strip(F.try_element_at(F.col("rec"), _by_route(created, route, no_text)))
-    digits = F.when(when.rlike(dates.EPOCH), when.cast("bigint"))
-    too_late = (digits > dates.LAST_SECOND) & (digits <= dates.MILLIS_ABOVE)
+    when = F.try_element_at(F.col("rec"), _by_route(created, route, no_text))
     return (
         F.when(_by_route(unknown, route, no_text).isNotNull(), _by_route(unknown, route, no_text))
-        .when(too_late, F.lit("created_at_range"))
+        .when(too_late(when), F.lit("created_at_range"))
         .when(~F.col("source").isin(*sources), F.lit("source_unknown"))
     )
 
@@ -91,15 +98,9 @@ def batch_health(
             *[absent(i) for i in range(slots)],
         )
     )
-    missing = _by_route(
-        {
-            name: F.map_from_arrays(_names(fs), F.array(*[F.col(f"_miss{i}") for i in range(len(fs))]))
-            for name, fs in active.items()
-            if fs
-        },
-        route,
-        F.create_map().cast("map<string,bigint>"),
-    )
+    names = _by_route({name: _names(fs) for name, fs in active.items()}, route, _names([]))
+    counts = F.array(*[F.col(f"_miss{i}") for i in range(slots)]).cast("array<bigint>")
+    missing = F.map_from_arrays(names, F.slice(counts, F.lit(1), F.size(names)))
     return (
         totals.select(*keys, "n", "failed", missing.alias("missing"))
         .withColumn(
@@ -140,6 +141,95 @@ def unmapped_fields(
     )
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """How a mapping fits a batch, told from the batch's signature alone."""
+
+    dead: tuple[str, ...]
+    failed: int
+    drifted: bool
+
+
+def judge(
+    mapping: FieldMapping, n: int, present: Mapping[str, int], late: Mapping[str, int], known_source: bool = True,
+    missing_over: float = vocab.MISSING_THRESHOLD, failed_over: float = vocab.INVALID_THRESHOLD,
+) -> Verdict:
+    """The decision of ``batch_health`` for one batch of ``n`` records and any mapping.
+
+    ``present`` and ``late`` count, per field, the records with the key and the
+    values that are too late as a date (see ``signatures``).
+    """
+    dead = tuple(f for f in _active(mapping) if (n - present.get(f, 0)) / n > missing_over)
+    created = [f for f, t in mapping.items() if t == "created_at"]
+    hopeless = not known_source or any(t not in vocab.TRANSFORMS for t in mapping.values())
+    failed = n if hopeless else late.get(created[-1], 0) if created else 0
+    return Verdict(dead, failed, bool(dead) or failed / n > failed_over)
+
+
+def signatures(
+    df: DataFrame, order: str = "batch_pos", missing_over: float = vocab.MISSING_THRESHOLD,
+    failed_over: float = vocab.INVALID_THRESHOLD,
+) -> DataFrame:
+    """One row per batch with all that the drift test of any mapping needs.
+
+    ``fields`` holds (field, present, late); ``first_keys`` the keys of the
+    first record; ``layout`` is a digest of the fields that no mapping would
+    miss; ``late`` tells whether some field alone could fail the batch. Only
+    counters are shuffled, a row per task, batch and field.
+    """
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    cells = df.filter(F.col("rec").isNotNull()).select(
+        *BATCH,
+        F.when(F.col(order) == 0, F.sort_array(F.map_keys("rec"))).alias("_keys"),
+        # one more cell per record counts the records
+        F.explode(F.array_append(F.map_entries("rec"), none)).alias("_cell"),
+    )
+    counted = cells.groupBy(*BATCH, F.col("_cell.key").alias("field")).agg(
+        F.count(F.lit(1)).alias("present"),
+        F.count(F.when(too_late(F.col("_cell.value")), True)).alias("late"),
+        F.max("_keys").alias("_keys"),
+    )
+    cell = F.struct("field", "present", "late")
+    batches = counted.groupBy(*BATCH).agg(
+        F.max(F.when(F.col("field").isNull(), F.col("present"))).alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), cell))).alias("fields"),
+        F.max("_keys").alias("first_keys"),
+    )
+    n = F.col("n")
+    alive = F.filter("fields", lambda c: (n - c["present"]) / n <= missing_over)
+    return batches.select(
+        *BATCH, "n", "fields", "first_keys",
+        F.md5(F.to_json(F.transform(alive, lambda c: c["field"]))).alias("layout"),
+        F.exists("fields", lambda c: c["late"] / n > failed_over).alias("late"),
+    )
+
+
+def report_text(
+    source: str, n: int, verdict: Verdict, mapping: FieldMapping, fields: list[str], first_keys: list[str],
+    known_source: bool = True, error_samples: int = vocab.ERROR_SAMPLES,
+) -> str:
+    """The text of ``drift_report`` for one batch, from its signature."""
+    unknown = next((t for t in mapping.values() if t not in vocab.TRANSFORMS), None)
+    error = f"unknown_transform:{unknown}" if unknown else "created_at_range" if known_source else "source_unknown"
+    listed = {
+        "dead": verdict.dead, "unmapped": sorted(set(fields) - set(mapping)),
+        "errors": [error] * min(verdict.failed, error_samples), "first": first_keys,
+    }
+    shown = {k: ", ".join(v) or "none" for k, v in listed.items()}
+    pairs = ", ".join(f"{f}={t}" for f, t in mapping.items())
+    return "\n".join(
+        [
+            f"mapping drift in source {source}",
+            f"batch size: {n}, failing rows: {verdict.failed}",
+            f"mapped fields missing from the data: {shown['dead']}",
+            f"fields in the data but not mapped: {shown['unmapped']}",
+            f"mapping: {pairs}",
+            f"sample errors: {shown['errors']}",
+            f"keys of the first record: {shown['first']}",
+        ]
+    )
+
+
 def detect_drift(df: DataFrame, mappings: Mapping[str, FieldMapping], **options) -> DataFrame:
     """M4: the drifted batches."""
     return batch_health(df, mappings, **options).filter("drifted")

@@ -2,20 +2,22 @@
 
 Every (source, field) collects evidence for every transform: how the field is
 called, what share of all its values the transform's own cleaner accepts,
-and which transforms were approved for equally named fields before. The best
-scored transform is chosen per field, then the best field per target. Each
-further attempt asks for less evidence.
+and which transforms were approved for fields like it before. Fields and targets
+are then assigned one to one, for the greatest sum of scores. Each further
+attempt asks for less evidence, and what failed before is not proposed again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from contactlake import vocab
-from contactlake.functions import dates, emails, names, phones, text
+from contactlake.functions import dates, names, phones, text
 from contactlake.functions.layers import apply_layers
+from contactlake.operators.memory import similar_fields
 
 #: words of a field name that speak for a transform
 NAME_WORDS = {
@@ -38,6 +40,9 @@ WEIGHT_NAME, WEIGHT_VALUES, WEIGHT_MEMORY = 0.55, 0.35, 0.10
 LEAST_SCORE = (0.55, 0.40, 0.30)
 #: a candidate whose values mostly fail its cleaner is out
 LEAST_FIT = 0.5
+#: a remembered field less like this one says nothing
+LEAST_SIMILAR = 0.6
+REMEMBERED = "remembered"
 
 Mapper = Callable[[DataFrame, DataFrame | None, int, DataFrame | None], DataFrame]
 
@@ -47,34 +52,63 @@ def _words(field: Column) -> Column:
     return F.array_remove(F.split(F.lower(spaced), "[^a-z0-9]+"), "")
 
 
-def value_evidence(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Per field ``evidence``: its non-empty values, and the share of them that each kind of cleaner accepts.
+#: what a value can be, as far as the cleaners accept it
+KINDS = ("email", "phone", "created_at", "written_date", "consent", "name_like")
 
-    ``cells`` are rows ``(keys, field, _value)``. Every value counts as often
-    as it occurs; equal values are cleaned once.
+
+def judged(cells: DataFrame) -> DataFrame:
+    """Rows with a column per kind: whether the cleaner of the kind accepts ``_value``.
+
+    Every value is cleaned where it is. Cleaners that need a digit do not see
+    values without one, and names are not looked for among values with digits
+    or an at-sign; a value with characters beyond ASCII is shown to all.
     """
-    keys_ = list(keys)
     v = F.col("_value")
-    distinct = cells.filter(v != "").groupBy(*keys_, "field", "_value").agg(F.count(F.lit(1)).alias("_times"))
+    odd = ~text.is_ascii(v)
+    digits = v.rlike("[0-9]")
     cleaned = apply_layers(
-        distinct,
-        emails.email_recipe(v, "_email"),
-        phones.phone_recipe(v, "_phone"),
-        dates.date_recipe(v, "_date"),
-        names.name_recipe(v, "_name"),
+        cells.withColumns(
+            {"_number": F.when(digits | odd, v), "_wordy": F.when(odd | ~v.rlike("[0-9@]"), F.nullif(v, F.lit("")))}
+        ),
+        phones.phone_recipe(F.col("_number"), "_phone"),
+        dates.date_recipe(F.col("_number"), "_date"),
+        names.name_recipe(F.col("_wordy"), "_name"),
     )
     consent = F.lower(text.strip(v)).isin(*vocab.CONSENT_TRUE, *CONSENT_FALSE)
-    tests = {
-        "email": F.col("_email").isNotNull() | F.contains(v, F.lit("@")),
-        "phone": F.col("_phone").isNotNull()
-        | ((F.col("_phone_flag") == phones.JUNK) & v.rlike("[0-9]")),
-        "created_at": F.col("_date").isNotNull(),
-        "consent": consent,
-        "name_like": (F.col("_name").rlike(r"^[\p{L}][\p{L}.'’ -]*$") | F.col("_name").isNull()) & ~consent,
-    }
-    times = F.col("_times")
-    shares = [(F.sum(F.when(test, times).otherwise(0)) / F.sum(times)).alias(name) for name, test in tests.items()]
-    return cleaned.groupBy(*keys_, "field").agg(F.struct(F.sum(times).alias("values"), *shares).alias("evidence"))
+    like = F.col("_name").rlike(r"^[\p{L}][\p{L}.'’ -]*$") | F.col("_name").isNull()
+    return cleaned.select(
+        *cells.columns,
+        F.contains(v, F.lit("@")).alias("email"),  # no address is without
+        (F.col("_phone").isNotNull() | ((F.col("_phone_flag") == phones.JUNK) & digits)).alias("phone"),
+        F.col("_date").isNotNull().alias("created_at"),
+        (F.col("_date").isNotNull() & v.rlike("[^0-9]")).alias("written_date"),
+        (consent & (v != "")).alias("consent"),
+        (F.col("_wordy").isNotNull() & like & ~consent).alias("name_like"),
+    )
+
+
+def with_remembered(profile: DataFrame, memory: DataFrame | None, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """The profile with a map: how far the memory speaks for each transform of a field.
+
+    1 for a transform approved for an equally named field before; else the
+    greatest similarity, from ``LEAST_SIMILAR`` on, of the approved fields most
+    like this one, if the memory has vectors.
+    """
+    if memory is None:
+        return profile.withColumn(REMEMBERED, F.create_map().cast("map<string,double>"))
+    fields = profile.select(*keys, "field", F.lower("field").alias("_name"))
+    named = memory.select(F.lower("field").alias("_name"), "transform").distinct()
+    votes = fields.join(named, "_name").select(*keys, "field", "transform", F.lit(1.0).alias("_says"))
+    if "vector" in memory.columns:
+        near = similar_fields(memory, profile, keys=keys).filter(F.col("similarity") >= LEAST_SIMILAR)
+        votes = votes.unionByName(
+            near.select(*[F.col(f"for_{c}").alias(c) for c in (*keys, "field")], "transform", F.col("similarity").alias("_says"))
+        )
+    most = votes.groupBy(*keys, "field", "transform").agg(F.max("_says").alias("_says"))
+    said = most.groupBy(*keys, "field").agg(F.map_from_entries(F.collect_list(F.struct("transform", "_says"))).alias(REMEMBERED))
+    return profile.join(said, [*keys, "field"], "left").withColumn(
+        REMEMBERED, F.coalesce(REMEMBERED, F.create_map().cast("map<string,double>"))
+    )
 
 
 def score_fields(
@@ -92,15 +126,17 @@ def score_fields(
         "last_name": F.col("evidence.name_like"),
         "campaign_id": F.lit(1.0),
     }
-    #: how much a fitting value says without a telling name
-    telling = {"email": 1.0, "created_at": 0.9, "phone": 0.9, "consent": 0.6}
-    described = profile.select(*keys_, "ordinal", "field", _words(F.col("field")).alias("_words"), "evidence")
-    if memory is not None:
-        known = memory.select(F.lower("field").alias("_key"), "transform").distinct()
-        known = known.groupBy("_key").agg(F.collect_set("transform").alias("_known"))
-        described = described.withColumn("_key", F.lower("field")).join(known, "_key", "left").drop("_key")
-    else:
-        described = described.withColumn("_known", F.array().cast("array<string>"))
+    #: how much a fitting value says without a telling name; a number that could be
+    #: an epoch is rather a phone, a written date rather no phone
+    telling = {
+        "email": F.lit(1.0), "created_at": F.lit(0.87) + F.col("evidence.written_date") * 0.08, "phone": F.lit(0.9),
+        "consent": F.lit(0.6),
+    }
+    if REMEMBERED not in profile.columns:
+        profile = with_remembered(profile, memory, keys)
+    described = profile.select(
+        *keys_, "ordinal", "field", _words(F.col("field")).alias("_words"), "evidence", REMEMBERED
+    )
 
     no_values = F.col("evidence").isNull()
 
@@ -112,9 +148,9 @@ def score_fields(
         if transform == "campaign_id":
             named = named & ~F.arrays_overlap("_words", F.array(F.lit("date"), F.lit("time")))
         fit = F.when(no_values, F.lit(1.0)).otherwise(fit_of[transform])
-        remembered = F.coalesce(F.array_contains("_known", transform), F.lit(False))
+        remembered = F.coalesce(F.try_element_at(REMEMBERED, F.lit(transform)), F.lit(0.0))
         evidence_of_value = F.when(no_values, F.lit(0.0)).otherwise(
-            F.when(named, fit).otherwise(fit * F.lit(telling.get(transform, 0.0)))
+            F.when(named, fit).otherwise(fit * telling.get(transform, F.lit(0.0)))
         )
         return F.struct(
             F.lit(transform).alias("transform"),
@@ -122,7 +158,7 @@ def score_fields(
             (
                 named.cast("double") * WEIGHT_NAME
                 + evidence_of_value * WEIGHT_VALUES
-                + remembered.cast("double") * WEIGHT_MEMORY
+                + remembered * WEIGHT_MEMORY
             ).alias("score"),
         )
 
@@ -145,24 +181,22 @@ def infer_mapping(
 ) -> DataFrame:
     """A proposed mapping table for every profiled source.
 
-    ``feedback`` (the reports of the attempts that failed) is part of the
-    mapper interface; this mapper answers it by lowering the evidence it asks
-    for with ``attempt``. Fields without a transform are proposed as ``ignore``.
+    Each ``attempt`` asks for less evidence. ``feedback``, where it has the
+    column ``failed``, lists per key the (field, transform) pairs that failed
+    before, which are not proposed again; a null transform rules the field out.
+    Fields without a transform are proposed as ``ignore``.
     """
     keys_ = list(keys)
     least = LEAST_SCORE[min(attempt, len(LEAST_SCORE)) - 1]
     scored = score_fields(profile, memory, keys).filter(F.col("score") >= least - 1e-9)
-    order = list(NAME_WORDS)
-    rank_of = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("transform"))
-    best_transform = Window.partitionBy(*keys_, "field").orderBy(F.desc("score"), rank_of)
-    best_field = Window.partitionBy(*keys_, "transform").orderBy(F.desc("score"), "ordinal")
-    chosen = (
-        scored.withColumn("_r", F.row_number().over(best_transform))
-        .filter("_r = 1")
-        .withColumn("_r", F.row_number().over(best_field))
-        .filter("_r = 1")
-        .select(*keys_, "field", "transform")
-    )
+    if feedback is not None and "failed" in feedback.columns:
+        failed = feedback.select(*keys_, F.explode("failed").alias("_f")).select(*keys_, "_f.*").distinct()
+        never = failed.filter("transform IS NULL").select(*keys_, "field")
+        scored = scored.join(never, [*keys_, "field"], "left_anti").join(
+            failed.filter("transform IS NOT NULL"), [*keys_, "field", "transform"], "left_anti"
+        )
+    edges = scored.groupBy(*keys_).agg(F.sort_array(F.collect_list(F.struct("ordinal", "field", "transform", "score"))).alias("_edges"))
+    chosen = edges.select(*keys_, F.explode(_assigned("_edges")).alias("_c")).select(*keys_, "_c.*")
     return (
         profile.select(*keys_, "ordinal", "field")
         .join(chosen, [*keys_, "field"], "left")
@@ -173,3 +207,36 @@ def infer_mapping(
             F.coalesce("transform", F.lit("ignore")).alias("transform"),
         )
     )
+
+
+def assign(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
+    """The one-to-one choice of (field, transform) with the greatest sum of scores.
+
+    Fields come in their order; of equal sums the choice wins that gives
+    earlier fields earlier transforms. The best choices per set of transforms
+    taken so far are carried from field to field.
+    """
+    order = list(NAME_WORDS)
+    fields: dict[str, list[tuple[int, int]]] = {}
+    for field, transform, score in edges:
+        fields.setdefault(field, []).append((order.index(transform), round(score * 1_000_000)))
+    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
+    for place, options in enumerate(fields.values()):
+        after = dict(best)
+        for taken, (total, picks) in best.items():
+            for rank, score in options:
+                if taken >> rank & 1:
+                    continue
+                choice = (total - score, (*picks, (place, rank)))
+                key = taken | 1 << rank
+                if key not in after or choice < after[key]:
+                    after[key] = choice
+        best = after
+    names = list(fields)
+    return [(names[place], order[rank]) for place, rank in min(best.values())[1]]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("field", "transform")])))
+def _assigned(edges: pd.Series) -> pd.Series:
+    chosen = [assign([(e["field"], e["transform"], e["score"]) for e in key]) for key in edges]
+    return pd.Series([[{"field": f, "transform": t} for f, t in picks] for picks in chosen])

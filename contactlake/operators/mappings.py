@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contactlake import vocab
 from contactlake.operators.projection import FieldMapping
@@ -39,56 +39,57 @@ def from_table(table: DataFrame) -> dict[str, dict[str, str]]:
     return out
 
 
-def validate_mappings(
-    proposal: DataFrame, profile: DataFrame, keys: tuple[str, ...] = ("source",)
-) -> tuple[DataFrame, DataFrame]:
-    """M6 for every source at once: ``(verdicts, mapping table)``.
+def judge_proposals(proposal: DataFrame, profile: DataFrame, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """M6 for every key at once, in one aggregate: ``(keys, reason, mapping)``, one row per profiled key.
 
-    ``verdicts`` has one row per profiled source with ``reason`` NULL when the
-    proposal is accepted. The mapping table holds the accepted mappings with
-    unknown transforms turned to ``ignore`` and unlisted fields completed with
-    ``ignore`` after the proposed ones.
+    ``reason`` is NULL when the proposal is accepted, and ``mapping`` then has
+    its (ordinal, field, transform) with unknown transforms turned to
+    ``ignore`` and unlisted fields completed with ``ignore`` after the proposed
+    ones.
     """
-    keys_ = list(keys)
-    real = profile.select(*keys_, "field", F.col("ordinal").alias("_seen"))
-    checked = proposal.join(real, [*keys_, "field"], "left").withColumn(
-        "transform",
-        F.when(F.col("transform").isin(*vocab.TRANSFORMS), F.col("transform")).otherwise(
-            F.lit("ignore")
-        ),
-    )
-    wrong = F.col("_seen").isNull()
-    coverage = checked.groupBy(*keys_).agg(
-        F.min_by(F.when(wrong, F.col("field")), F.when(wrong, F.col("ordinal"))).alias("_wrong"),
-        F.bool_or(F.col("transform").isin("email", "phone")).alias("_contact"),
-        F.bool_or(F.col("transform").isin("split_full_name", "first_name")).alias("_name"),
-        F.max("ordinal").alias("_last"),
+    given = profile.select(
+        *keys, "field", F.col("ordinal").cast("int").alias("seen"), F.lit(None).cast("int").alias("ordinal"),
+        F.lit(None).cast("string").alias("transform"),
     )
-    judged = (
-        profile.select(*keys_)
-        .distinct()
-        .join(coverage, keys_, "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("_contact").isNull(), F.lit(NO_MAPPING))
-            .when(F.col("_wrong").isNotNull(), F.concat(F.lit(UNKNOWN_FIELD), F.col("_wrong")))
-            .when(~F.col("_contact"), F.lit(NO_CONTACT))
-            .when(~F.col("_name"), F.lit(NO_NAME)),
+    asked = proposal.select(*keys, "field", F.lit(None).cast("int").alias("seen"), F.col("ordinal").cast("int"), "transform")
+    allowed = F.when(F.col("transform").isin(*vocab.TRANSFORMS), F.col("transform")).otherwise("ignore").alias("transform")
+    sides = (
+        given.unionByName(asked)
+        .groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("seen", "field")))).alias("_real"),
+            F.sort_array(F.collect_list(F.when(F.col("seen").isNull(), F.struct("ordinal", "field", allowed)))).alias("_asked"),
         )
+        .filter(F.size("_real") > 0)
     )
-    accepted = judged.filter("reason is null").select(*keys_, "_last")
-    listed = checked.join(accepted, keys_).select(*keys_, "ordinal", "field", "transform")
-    unlisted = (
-        real.join(proposal.select(*keys_, "field"), [*keys_, "field"], "left_anti")
-        .join(accepted, keys_)
-        .select(
-            *keys_,
-            (F.col("_last") + F.col("_seen")).cast("int").alias("ordinal"),
-            "field",
-            F.lit("ignore").alias("transform"),
-        )
+    real, listed = (F.transform(c, lambda x: x["field"]) for c in ("_real", "_asked"))
+    wrong = F.get(F.array_except(listed, real), F.lit(0))
+
+    def has(*transforms: str) -> Column:
+        return F.exists("_asked", lambda x: x["transform"].isin(*transforms))
+
+    last = F.array_max(F.transform("_asked", lambda x: x["ordinal"]))
+    others = F.filter("_real", lambda r: ~F.array_contains(listed, r["field"]))
+    added = F.transform(
+        others, lambda r: F.struct((last + r["seen"]).alias("ordinal"), r["field"].alias("field"), F.lit("ignore").alias("transform"))
     )
-    return judged.select(*keys_, "reason"), listed.unionByName(unlisted)
+    reason = (
+        F.when(F.size("_asked") == 0, F.lit(NO_MAPPING))
+        .when(wrong.isNotNull(), F.concat(F.lit(UNKNOWN_FIELD), wrong))
+        .when(~has("email", "phone"), F.lit(NO_CONTACT))
+        .when(~has("split_full_name", "first_name"), F.lit(NO_NAME))
+    )
+    return sides.select(*keys, reason.alias("reason"), F.concat("_asked", added).alias("mapping")).withColumn(
+        "mapping", F.when(F.col("reason").isNull(), F.col("mapping"))
+    )
+
+
+def validate_mappings(
+    proposal: DataFrame, profile: DataFrame, keys: tuple[str, ...] = ("source",)
+) -> tuple[DataFrame, DataFrame]:
+    """``judge_proposals`` as two tables: the verdicts per key, and the accepted mappings, a row per field."""
+    judged = judge_proposals(proposal, profile, keys)
+    return judged.select(*keys, "reason"), judged.select(*keys, F.explode("mapping").alias("m")).select(*keys, "m.*")
 
 
 def current_mappings(log: DataFrame) -> DataFrame:

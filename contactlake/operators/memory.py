@@ -1,18 +1,29 @@
-"""The memory of approved fields and similarity search in it."""
+"""The memory of approved fields and similarity search in it.
+
+A field is described by its name and first sample values. The description's
+character n-grams, hashed into counters, stand in for a text embedding and are
+stored with the field. Similarity is the cosine of the counters: whole numbers
+but for one division, so that every engine ranks alike.
+
+``similar`` answers many queries at once. Its index hashes the signs of random
+projections into bands; descriptions that meet a query in some band are ranked
+exactly. Queries that find fewer than k that way, or all if ``exact``, go
+through the postings of the counters instead, which miss nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, NGram
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contactlake import vocab
+from contactlake.operators.positions import first_per_group
 from contactlake.operators.upsert import latest_by_key
 
-#: hashed character n-grams stand in for a text embedding model
+#: length of the n-grams, and the counters they are hashed into
 GRAM, DIMENSIONS = 3, 256
-DOC_SAMPLES = 3
-QUERY_SAMPLES = 2
+#: the index: so many bands of so many signs
+BANDS, SIGNS = 64, 5
+DOC_SAMPLES, QUERY_SAMPLES = 3, 2
 
 
 def _quoted(samples: Column, n: int) -> Column:
@@ -31,6 +42,33 @@ def field_doc(field: Column, samples: Column) -> Column:
     )
 
 
+def described(field: Column, samples: Column, n: int) -> Column:
+    """A field's name and its first samples."""
+    return F.array_join(F.concat(F.array(field), F.slice(F.coalesce(samples, F.array().cast("array<string>")), 1, n)), " ")
+
+
+def field_vector(field: Column, samples: Column) -> Column:
+    return text_vector(described(field, samples, DOC_SAMPLES))
+
+
+def text_vector(text: Column) -> Column:
+    """The counters of a description that are not zero, as sorted pairs (dim, n).
+
+    Letters count without case and all digits alike; a description of fewer
+    than ``GRAM`` characters has no counters.
+    """
+    text = F.regexp_replace(F.lower(text), "[0-9]", "0")
+    places = F.when(F.char_length(text) >= GRAM, F.sequence(F.lit(1), F.char_length(text) - GRAM + 1))
+    dims = F.transform(
+        places,
+        lambda i: (F.conv(F.left(F.md5(F.substring(text, i, F.lit(GRAM))), F.lit(8)), 16, 10).cast("bigint") % DIMENSIONS).cast("int"),
+    )
+    counted = F.transform(
+        F.array_sort(F.array_distinct(dims)), lambda d: F.struct(d.alias("dim"), F.size(F.filter(dims, lambda x: x == d)).alias("n"))
+    )
+    return F.coalesce(counted, F.array().cast("array<struct<dim:int,n:int>>"))
+
+
 def remember_fields(mapping: DataFrame, profile: DataFrame, version: Column) -> DataFrame:
     """M9: memory rows of an approved mapping table; ``ignore`` is left out."""
     samples = profile.select("source", "field", "samples")
@@ -44,6 +82,7 @@ def remember_fields(mapping: DataFrame, profile: DataFrame, version: Column) ->
             "field",
             "transform",
             field_doc(F.col("field"), F.coalesce("samples", none)).alias("doc"),
+            field_vector(F.col("field"), F.col("samples")).alias("vector"),
             version.alias("version"),
         )
     )
@@ -53,18 +92,6 @@ def upsert_memory(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest_by_key(old.unionByName(new), "id", "version")
 
 
-def embed(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-    """Character n-grams of the text, hashed into a fixed number of counters."""
-    grams = NGram(n=GRAM, inputCol="_chars", outputCol="_grams")
-    hashed = HashingTF(numFeatures=DIMENSIONS, inputCol="_grams", outputCol="_vector")
-    with_chars = df.withColumn("_chars", F.split(F.lower(F.col(text)), ""))
-    return (
-        hashed.transform(grams.transform(with_chars))
-        .withColumn(out, vector_to_array("_vector", "float32"))
-        .drop("_chars", "_grams", "_vector")
-    )
-
-
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
@@ -105,26 +132,112 @@ def top_k(
     return memory.withColumn("distance", distance).orderBy("distance", tie_break).limit(k)
 
 
-def profile_query(profile: DataFrame, keys: tuple[str, ...] = ("source",)) -> DataFrame:
-    """The query text of each profile: its fields with a few samples each."""
-    line = F.concat("field", F.lit(": "), _quoted(F.col("samples"), QUERY_SAMPLES))
-    return (
-        profile.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("_lines"))
-        .select(
-            *keys,
-            F.concat(
-                field_doc(F.lit("unknown"), F.array().cast("array<string>")),
-                F.lit(" "),
-                F.array_join(F.transform("_lines", lambda x: x["line"]), ", "),
-            ).alias("query"),
+def _norm(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0).cast("bigint"), lambda total, e: total + e["n"] * e["n"])
+
+
+def _bands(vector: str) -> Column:
+    """One key per band: the signs of ``SIGNS`` random projections of the counters, and the band's number."""
+
+    def sign(plane: Column) -> Column:
+        one = F.aggregate(
+            vector, F.lit(0).cast("bigint"),
+            lambda total, e: total + F.when(F.xxhash64(plane, e["dim"]).bitwiseAND(F.lit(1)) == 1, e["n"]).otherwise(-e["n"]),
         )
+        return F.when(one >= 0, F.lit(1)).otherwise(F.lit(0))
+
+    def key(band: Column) -> Column:
+        signs = F.sequence(F.lit(0), F.lit(SIGNS - 1))
+        return F.aggregate(signs, band, lambda bits, j: bits * 2 + sign(band * SIGNS + j))
+
+    # the leading bits of a key are its band
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
+
+
+def _by_postings(queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(qkey, ckey, similarity) of all that share a counter."""
+    q = queries.select("qkey", F.col("norm").alias("_qn"), F.explode("vector").alias("e")).select("qkey", "_qn", "e.dim", F.col("e.n").alias("_q"))
+    c = classes.select("ckey", F.col("norm").alias("_cn"), F.explode("vector").alias("e")).select("ckey", "_cn", "e.dim", F.col("e.n").alias("_c"))
+    dots = q.join(c, "dim").groupBy("qkey", "ckey").agg(
+        F.sum(F.col("_q").cast("bigint") * F.col("_c")).alias("_dot"), F.max("_qn").alias("_qn"), F.max("_cn").alias("_cn")
     )
+    return dots.select("qkey", "ckey", _cosine().alias("similarity"))
+
 
+def _by_bands(queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(qkey, ckey, similarity) of all that meet in a band."""
+    q = queries.select("qkey", F.explode(_bands("vector")).alias("band"))
+    c = classes.select("ckey", F.explode(_bands("vector")).alias("band"))
+    met = q.join(c, "band").select("qkey", "ckey").distinct()
+    both = met.join(queries.select("qkey", F.col("vector").alias("_q"), F.col("norm").alias("_qn")), "qkey").join(
+        classes.select("ckey", F.map_from_entries("vector").alias("_c"), F.col("norm").alias("_cn")), "ckey"
+    )
+    dot = F.aggregate("_q", F.lit(0).cast("bigint"), lambda total, e: total + e["n"] * F.coalesce(F.try_element_at("_c", e["dim"]), F.lit(0)))
+    return both.withColumn("_dot", dot).select("qkey", "ckey", _cosine().alias("similarity"))
 
-def similar_fields(memory: DataFrame, profile: DataFrame, k: int = vocab.RETRIEVAL_K) -> DataFrame:
-    """M10 for the profile of one source: approved fields like its fields."""
-    query = embed(profile_query(profile), "query").select("embedding").limit(1).collect()
-    if not query:
-        return embed(memory, "doc").withColumn("distance", F.lit(0.0)).limit(0)
-    return top_k(embed(memory, "doc"), list(query[0].embedding), k)
+
+def _cosine() -> Column:
+    return F.col("_dot").cast("double") / F.sqrt((F.col("_qn") * F.col("_cn")).cast("double"))
+
+
+def _best(found: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(qkey, rank, id, transform, similarity): the k most similar, ties by id."""
+    by_class = Window.partitionBy("qkey").orderBy(F.desc("similarity"), F.col("members")[0]["id"])
+    by_id = Window.partitionBy("qkey").orderBy(F.desc("similarity"), "id")
+    return (
+        found.join(classes.select("ckey", "members"), "ckey")
+        .withColumn("_r", F.row_number().over(by_class))
+        .filter(F.col("_r") <= k)
+        .select("qkey", "similarity", F.explode("members").alias("m"))
+        .select("qkey", "similarity", "m.id", "m.transform")
+        .withColumn("rank", F.row_number().over(by_id))
+        .filter(F.col("rank") <= k)
+    )
+
+
+def similar(
+    memory: DataFrame, queries: DataFrame, k: int = vocab.RETRIEVAL_K, exact: bool = False
+) -> DataFrame:
+    """M10 for many queries at once: the rows of ``queries`` with ``rank, id, transform, similarity``.
+
+    ``queries`` and ``memory`` (with ``id`` and ``transform``) bring their
+    ``vector``. Equal vectors are compared once, of equal ones in the memory
+    the k least ids count. A query without counters finds nothing.
+    """
+    key = F.md5(F.to_json("vector"))
+    asked = queries.withColumn("qkey", key)
+    distinct = asked.groupBy("qkey").agg(F.first("vector").alias("vector")).withColumn("norm", _norm("vector")).filter("norm > 0")
+    keyed = memory.select("id", "transform", "vector", key.alias("ckey")).filter(F.size("vector") > 0)
+    classes = (
+        first_per_group(keyed, ["ckey"], ["id"], k)
+        .groupBy("ckey")
+        .agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list(F.struct("id", "transform"))).alias("members"))
+        .withColumn("norm", _norm("vector"))
+    )
+    if exact:
+        best = _best(_by_postings(distinct, classes), classes, k)
+    else:
+        near = _best(_by_bands(distinct, classes), classes, k)
+        enough = near.filter(F.col("rank") == k).select("qkey")
+        lacking = distinct.join(enough, "qkey", "left_anti")
+        best = near.join(enough, "qkey", "left_semi").unionByName(_best(_by_postings(lacking, classes), classes, k))
+    return asked.join(best, "qkey").drop("qkey")
+
+
+def similar_fields(
+    memory: DataFrame, profile: DataFrame, k: int = vocab.RETRIEVAL_K, keys: tuple[str, ...] = ("source",), exact: bool = False
+) -> DataFrame:
+    """M10 for every field of the profiles: the approved fields most like it."""
+    asked = profile.select(*[F.col(c).alias(f"for_{c}") for c in (*keys, "field")], field_vector(F.col("field"), F.col("samples")).alias("vector"))
+    return similar(memory, asked, k, exact).drop("vector")
+
+
+def similar_to_profile(
+    memory: DataFrame, profile: DataFrame, k: int = vocab.RETRIEVAL_K, keys: tuple[str, ...] = ("source",), exact: bool = False
+) -> DataFrame:
+    """M10 for whole profiles: the approved fields most like a source's fields taken together."""
+    line = F.struct("ordinal", described(F.col("field"), F.col("samples"), QUERY_SAMPLES).alias("text"))
+    whole = profile.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["text"]), " ")
+    asked = whole.select(*[F.col(c).alias(f"for_{c}") for c in keys], text_vector(text).alias("vector"))
+    return similar(memory, asked, k, exact).drop("vector")

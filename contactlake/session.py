@@ -77,8 +77,8 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove one superseded table."""
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        """Remove one superseded table; without a name all of them, once the results are written."""
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
         conf = self.spark._jsc.hadoopConfiguration()
         jvm_path.getFileSystem(conf).delete(jvm_path, True)

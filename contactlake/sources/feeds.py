@@ -1,20 +1,36 @@
-"""Feed files to ``(source, seq, raw_line, raw_payload, rec)``.
+"""Feed files to ``(source, seq, raw_line, raw_payload, rec, file, block)``.
 
-``seq`` is the place of the record in the scan. It orders the records of one
-read and stays the same when a task is retried; to keep it across reads, land
-the feed once (``land``) and work from the landed table.
+``seq`` numbers the records of one read: those of one piece (``block``) of a
+file are consecutive. It stays the same when a task is retried, but not when
+files are added. ``with_places`` gives what does: a record's place in its file,
+from the landed table and without moving a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from contactlake.functions import text
 from contactlake.operators import records
+from contactlake.operators.positions import run_positions, with_position
+from contactlake.session import Scratch
 
 JSON_LINES, CSV = "jsonl", "csv"
-COLUMNS = ("source", "seq", "raw_line", "raw_payload", "rec")
+COLUMNS = ("source", "seq", "raw_line", "raw_payload", "rec", "file", "block")
+#: what a record is known by, whatever else is read: files of a feed have different names
+IDENTITY = ("source", "file", "place", "raw_line")
+
+
+def origin() -> list[Column]:
+    """The file a row was read from, and where the piece of it that a task read begins."""
+    return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+
+
+def written(line: str) -> Column:
+    """Whether a line is more than white space."""
+    return text.strip(F.col(line)) != ""
 
 
 def format_of(path: str) -> str:
@@ -39,10 +55,9 @@ def read_leads(
 
 
 def _read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("raw_line")
-    )
-    return json_records(lines)
+    lines = spark.read.text(path).select(F.col("value").alias("raw_line"), *origin())
+    # blank lines go first, so that those of a piece are numbered without gaps
+    return json_records(lines.filter(written("raw_line")).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def json_records(lines: DataFrame) -> DataFrame:
@@ -99,8 +114,11 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool | None) -> DataFr
         F.when(F.col(corrupt).isNull() | (fields < len(header)), whole).alias("rec"),
         F.col(corrupt).alias("_bad"),
         records.payload_of(whole).alias("_whole"),
+        *origin(),
     ).select(
         "seq",
+        "file",
+        "block",
         "rec",
         F.coalesce("_bad", "_whole").alias("raw_line"),
         F.when(F.col("rec").isNotNull(), F.col("_whole")).alias("raw_payload"),
@@ -130,9 +148,22 @@ def read_all(
 def land(df: DataFrame, path: str) -> DataFrame:
     """Write the parsed feed once, partitioned by source, and read it back.
 
-    Later runs see the same ``seq`` whatever the cluster size, and filters on
-    the source prune folders.
+    Later jobs see the same ``seq`` whatever the cluster size, and filters on
+    the source prune folders. Rows are sorted where they were read.
     """
-    df.write.mode("overwrite").partitionBy("source").parquet(path)
+    df.sortWithinPartitions("source", "seq").write.mode("overwrite").partitionBy("source").parquet(path)
     spark = df.sparkSession
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def with_places(landed: DataFrame, scratch: Scratch) -> DataFrame:
+    """A landed feed with ``pos`` (in its source, files by name) and ``place`` (in its file), both from 0.
+
+    Places do not change when files are added or read in other pieces; a file
+    that grows at its end keeps those of its lines.
+    """
+    outs = {"pos": ["source"], "place": ["source", "file"]}
+    placed = run_positions(landed, ["file", "block"], "seq", outs, ["file", "block"], scratch)
+    if placed is None:  # rows that were not numbered as they were read
+        return with_position(with_position(landed, outs["pos"], out="pos"), outs["place"], out="place")
+    return placed

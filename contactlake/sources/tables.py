@@ -1,17 +1,22 @@
 """K1-K5: the stored tables.
 
-Plain Parquet folders. The leads table is a chain of versions, each written
-to its own folder and readable once complete; the side tables and the mapping
-log are appended by run, and a repeated run replaces its own part.
+Plain Parquet folders. The leads table is a chain of versions, each a list of
+immutable pieces; the side tables and the mapping log are appended by run, and a
+repeated run replaces its own part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from contactlake import model
 from contactlake.operators import mappings as M
-from contactlake.operators.upsert import upsert
+from contactlake.operators.upsert import latest_by_key
+from contactlake.session import Scratch
 from contactlake.sources.feeds import exists
 
 RUN = "run"
@@ -37,43 +42,176 @@ class RunTable:
         return self.spark.read.schema(schema).parquet(self.path)
 
 
+@dataclass(frozen=True)
+class Piece:
+    """The rows of one bucket that one write put into one folder."""
+
+    bucket: int
+    folder: str
+    rows: int
+
+
 class LeadsTable:
-    """The leads table with INSERT OR REPLACE by ``lead_id`` (K1).
+    """The leads table with INSERT OR REPLACE by ``lead_id`` (K1) and marking by id.
 
-    An insert writes the table anew, which suits a daily load. Frequent small
-    loads (micro-batches) append to a ``RunTable`` instead and resolve the
-    latest row per id when reading (``latest_by_key``).
+    Rows are dealt into buckets by the hash of their id. A bucket is made of
+    pieces, folders that are written once and never changed. A manifest lists
+    the pieces of a version; the version is there when its manifest is. An
+    insert adds a piece to the buckets of its rows and rewrites only those
+    pieces that hold an id which it replaces; marking rewrites only pieces with
+    a changed row. Buckets of more than ``MAX_PIECES`` pieces are joined on
+    that occasion, and pieces that the last ``KEEP_VERSIONS`` versions do not
+    list are deleted. There is one writer at a time.
+
+    Frequent small loads (micro-batches) append to a ``RunTable`` instead and
+    resolve the latest row per id when reading (``latest_by_key``).
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    ROWS_PER_BUCKET, MAX_BUCKETS = 2_000_000, 20_000
+    MAX_PIECES, KEEP_VERSIONS = 8, 2
+    MANIFEST = "bucket int, folder string, rows bigint, buckets int"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self._wanted = spark, path.rstrip("/"), buckets
+
+    # -- versions ------------------------------------------------------------
+
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
     def _versions(self) -> list[int]:
-        if not exists(self.spark, f"{self.path}/version=*/_SUCCESS"):
-            return []
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [s.getPath().getParent().getName() for s in fs.globStatus(root)]
-        return sorted(int(name.split("=")[1]) for name in found)
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.path}/manifest/version=*/_SUCCESS")) or []
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
-    def read(self) -> DataFrame:
+    def _manifest(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest/version={version}")
+
+    def pieces(self) -> list[Piece]:
+        """The pieces of the present version (a few per bucket)."""
         versions = self._versions()
         if not versions:
+            return []
+        return [Piece(r.bucket, r.folder, r.rows) for r in self._manifest(versions[-1]).filter("folder IS NOT NULL").collect()]
+
+    def buckets(self) -> int | None:
+        versions = self._versions()
+        row = self._manifest(versions[-1]).select("buckets").head() if versions else None
+        return row.buckets if row else None
+
+    def _commit(self, version: int, pieces: list[Piece], buckets: int) -> None:
+        rows = [(p.bucket, p.folder, p.rows, buckets) for p in pieces] or [(None, None, 0, buckets)]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/manifest/version={version}"
+        )
+        self._collect(pieces)
+
+    def _collect(self, present: list[Piece]) -> None:
+        """Delete what no kept version lists."""
+        fs, path = self._fs()
+        versions = self._versions()
+        old, kept = versions[: -self.KEEP_VERSIONS], versions[-self.KEEP_VERSIONS :]
+        if not old:
+            return
+        listed = {p.folder for p in present}
+        for version in kept:
+            listed |= {r.folder for r in self._manifest(version).select("folder").collect()}
+        for version in old:
+            for r in self._manifest(version).select("folder").collect():
+                if r.folder is not None and r.folder not in listed:
+                    fs.delete(path(f"{self.path}/data/{r.folder}"), True)
+            fs.delete(path(f"{self.path}/manifest/version={version}"), True)
+
+    # -- reading -------------------------------------------------------------
+
+    def _rows(self, pieces: list[Piece]) -> DataFrame:
+        if not pieces:
             return self.spark.createDataFrame([], model.LEADS)
-        return self.spark.read.schema(model.LEADS).parquet(f"{self.path}/version={versions[-1]}")
+        return self.spark.read.schema(model.LEADS).parquet(*[f"{self.path}/data/{p.folder}" for p in pieces])
+
+    def read(self) -> DataFrame:
+        return self._rows(self.pieces())
+
+    def _holding(self, pieces: list[Piece], ids: DataFrame) -> list[Piece]:
+        """The pieces with a row of these ids; only the id column is read."""
+        if not pieces:
+            return []
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/bucket=[0-9]+)/[^/]+$", 1)
+        found = (
+            self._rows(pieces).select("lead_id", folder.alias("folder")).join(ids.select("lead_id"), "lead_id", "left_semi")
+            .select("folder").distinct().collect()
+        )
+        hit = {r.folder for r in found}
+        return [p for p in pieces if p.folder in hit]
+
+    # -- writing -------------------------------------------------------------
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("lead_id"), F.lit(buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, name: str, buckets: int) -> list[Piece]:
+        folder = f"{self.path}/data/{name}"
+        rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(folder)
+        if not exists(self.spark, f"{folder}/bucket=*"):
+            return []
+        written = self.spark.read.schema("bucket int").parquet(folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        return [Piece(r.bucket, f"{name}/bucket={r.bucket}", r.n) for r in written.collect()]
 
     def replace(self, leads: DataFrame) -> DataFrame:
-        """Write a whole new version, partitioned by source."""
+        """Write a whole new version; the number of buckets follows its rows."""
         version = (self._versions() or [0])[-1] + 1
-        model.conform(leads, model.LEADS).write.mode("overwrite").partitionBy("source").parquet(
-            f"{self.path}/version={version}"
-        )
+        rows = model.conform(leads, model.LEADS)
+        buckets = self._wanted or min(self.MAX_BUCKETS, 1 + rows.count() // self.ROWS_PER_BUCKET)
+        self._commit(version, self._write(rows, f"{version:09d}-all", buckets), buckets)
         return self.read()
 
     def insert(self, leads: DataFrame) -> DataFrame:
         """Replace by id; of several new rows of one id the last in the feed counts."""
-        ordered = ("ingested_at", "seq") if "seq" in leads.columns else ("ingested_at",)
-        return self.replace(upsert(self.read(), leads, version=ordered))
+        ordered = ["ingested_at", "seq"] if "seq" in leads.columns else ["ingested_at"]
+        new = latest_by_key(leads, "lead_id", ordered)
+        pieces, buckets = self.pieces(), self.buckets()
+        if not buckets:
+            return self.replace(new)
+        version = self._versions()[-1] + 1
+        added = self._write(model.conform(new, model.LEADS), f"{version:09d}-new", buckets)
+        touched = {p.bucket for p in added}
+        ids = self._rows(added).select("lead_id")
+        old = self._holding([p for p in pieces if p.bucket in touched], ids)
+        return self._rewritten(version, pieces, old, added, buckets, lambda df: df.join(ids, "lead_id", "left_anti"))
+
+    def mark(self, ids: DataFrame, status: str = "duplicate") -> DataFrame:
+        """Give the leads of these ids another status; those that have it already are left alone."""
+        pieces, buckets = self.pieces(), self.buckets()
+        if not buckets:
+            return self.read()
+        ids = ids.select("lead_id").distinct()
+        other = self._rows(pieces).filter(~F.col("status").eqNullSafe(status)).select("lead_id")
+        changed = Scratch(self.spark, "marks").put("ids", other.join(ids, "lead_id", "left_semi"))
+        old = self._holding(pieces, changed)
+        hit = changed.withColumn("_hit", F.lit(True))
+
+        def marked(df: DataFrame) -> DataFrame:
+            new = F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))
+            return df.join(hit, "lead_id", "left").withColumn("status", new).drop("_hit")
+
+        return self._rewritten(self._versions()[-1] + 1, pieces, old, [], buckets, marked)
+
+    def _rewritten(
+        self, version: int, pieces: list[Piece], old: list[Piece], added: list[Piece], buckets: int,
+        change: Callable[[DataFrame], DataFrame],
+    ) -> DataFrame:
+        """Commit a version in which ``old`` pieces are changed and others stay; crowded buckets are joined."""
+        if not old and not added:
+            return self.read()
+        crowd = Counter(p.bucket for p in [*pieces, *added])
+        touched = {p.bucket for p in [*old, *added]}
+        old = [p for p in pieces if p in old or (p.bucket in touched and crowd[p.bucket] > self.MAX_PIECES)]
+        changed = self._write(change(self._rows(old)), f"{version:09d}-old", buckets) if old else []
+        self._commit(version, [p for p in pieces if p not in old] + changed + added, buckets)
+        return self.read()
 
 
 class MappingLog:
@@ -100,11 +238,39 @@ class MappingLog:
     def read(self, before_run: str | None = None) -> DataFrame:
         """The log; ``before_run`` hides that run and later ones, which is
         what a replay of the run must start from."""
-        log = self.table.read()
-        if before_run is None:
-            return log
-        width = max(64, len(before_run))  # "9" comes before "10"
-        return log.filter(F.lpad(RUN, width, "0") < before_run.rjust(width, "0"))
+        return _earlier(self.table.read(), before_run)
 
     def current(self, before_run: str | None = None) -> dict[str, dict[str, str]]:
         return M.from_table(M.current_mappings(self.read(before_run)))
+
+
+class FieldMemory:
+    """M9: the approved fields with their vectors, by run; the latest version of a field counts."""
+
+    SCHEMA = T.StructType(
+        [
+            *[T.StructField(n, T.StringType()) for n in ("id", "source", "field", "transform", "doc")],
+            T.StructField(
+                "vector", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("dim", "n")]))
+            ),
+            T.StructField("version", T.LongType()),
+        ]
+    )
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = RunTable(spark, path, self.SCHEMA)
+
+    def write(self, df: DataFrame, run: str) -> None:
+        self.table.write(df, run)
+
+    def read(self, before_run: str | None = None) -> DataFrame:
+        """One row per field; ``before_run`` hides that run and later ones."""
+        return latest_by_key(_earlier(self.table.read(), before_run).drop(RUN), "id", "version")
+
+
+def _earlier(table: DataFrame, before_run: str | None) -> DataFrame:
+    """The rows of runs before one; runs are ordered as numbers are."""
+    if before_run is None:
+        return table
+    width = max(64, len(before_run))  # "9" comes before "10"
+    return table.filter(F.lpad(RUN, width, "0") < before_run.rjust(width, "0"))

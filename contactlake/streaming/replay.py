@@ -16,6 +16,7 @@ from contactlake.operators.positions import form_batches
 from contactlake.plans import healing
 from contactlake.plans.ingest import store_mappings
 from contactlake.session import Scratch, configure
+from contactlake.sources import feeds
 from contactlake.sources.feeds import json_records
 from contactlake.sources.tables import MappingLog, RunTable
 
@@ -26,7 +27,7 @@ def line_stream(spark: SparkSession, folder: str, source: str, files_per_batch:
         configure(spark)
         .readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(folder)
-        .select(F.lit(source).alias("source"), F.col("value").alias("raw_line"))
+        .select(F.lit(source).alias("source"), F.col("value").alias("raw_line"), *feeds.origin())
     )
 
 
@@ -52,7 +53,12 @@ def heal_handler(
     parse: Callable[[DataFrame], DataFrame] = json_records,
     **options,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that heals and stores one micro-batch."""
+    """A ``foreachBatch`` function that heals and stores one micro-batch.
+
+    A lead's id comes from its file and its place there, so a line that is sent
+    again in another file is another lead, and a micro-batch that is run again
+    gives the same ones. Rows without a file are placed in their micro-batch.
+    """
     log = MappingLog(spark, f"{root}/mappings")
     leads = RunTable(spark, f"{root}/leads", model.LEADS)
     events = RunTable(spark, f"{root}/heal_events", model.HEAL_EVENTS)
@@ -61,20 +67,21 @@ def heal_handler(
     def handle(batch: DataFrame, batch_id: int) -> None:
         run = f"{batch_id:012d}"
         scratch = Scratch(spark, "micro-batch")
-        lines = batch.withColumn("seq", F.monotonically_increasing_id())
-        # written once: every attempt of this micro-batch reads the same rows
-        records = scratch.put("records", parse(lines))
-        batches = scratch.put("batches", form_batches(records, batch_size))
-        scratch.drop("records")
+        if "file" not in batch.columns:
+            batch = batch.withColumns({"file": F.lit(run), "block": F.spark_partition_id().cast("bigint")})
+        lines = batch.filter(feeds.written("raw_line")).withColumn("seq", F.monotonically_increasing_id())
+        # written once: every job of this micro-batch reads the same rows
+        landed = feeds.land(parse(lines), scratch.path("landed"))
+        batches = form_batches(feeds.with_places(landed, scratch), batch_size)
         current = {**(known or {}), **log.current(before_run=run)}
         for gone in _invalidated(log, run):
             current.pop(gone, None)
-        healed = healing.heal(batches, current, ingest_ts, **options)
+        healed = healing.heal(batches, current, ingest_ts, identity=feeds.IDENTITY, scratch=scratch, **options)
         leads.write(model.conform(healed.leads, model.LEADS), run)
         events.write(healed.event_rows(ingest_ts), run)
         review.write(healed.review, run)
         store_mappings(spark, log, healed, run)
-        scratch.drop("batches")
+        scratch.drop()
 
     return handle
 

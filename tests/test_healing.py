@@ -82,30 +82,32 @@ def test_profile_counts_presence_and_cuts_samples(spark):
     assert cut["a"].n == 500 and cut["a"].samples[0] == "x" * 60
 
 
-def sparse_mapping(source):
+def sparse_mapping(key):
     """Valid, but on fields that hardly ever occur: it drifts."""
-    return [(source, 1, "rare_name", "split_full_name"), (source, 2, "rare_mail", "email")]
+    return [(*key, 1, "rare_name", "split_full_name"), (*key, 2, "rare_mail", "email")]
 
 
-def right_mapping(source):
-    return [(source, 1, "nom", "split_full_name"), (source, 2, "post", "email"), (source, 3, "day", "created_at")]
+def right_mapping(key):
+    return [(*key, 1, "nom", "split_full_name"), (*key, 2, "post", "email"), (*key, 3, "day", "created_at")]
 
 
 class Scripted:
-    """A mapper that gives each source the next answer of its list."""
+    """A mapper with a list of answers per source, batch and mode, for its attempts in order; else it is wrong."""
 
     def __init__(self, spark, answers):
-        self.spark, self.answers = spark, {s: list(a) for s, a in answers.items()}
+        self.spark, self.answers = spark, answers
 
-    def __call__(self, profile, memory, attempt, feedback):
+    def __call__(self, profile, memory, attempt, feedback, keys):
         rows = []
-        for (source,) in profile.select("source").distinct().collect():
-            answer = self.answers[source].pop(0) if self.answers.get(source) else "wrong"
+        for key in profile.select(*keys).distinct().collect():
+            given = self.answers.get(tuple(key), [])
             rows += {
                 "right": right_mapping, "sparse": sparse_mapping,
-                "wrong": lambda s: [(s, 1, "no_such_field", "email")],
-            }[answer](source)
-        return self.spark.createDataFrame(rows, M.MAPPING_SCHEMA)
+                "wrong": lambda k: [(*k, 1, "no_such_field", "email")],
+            }[given[attempt - 1] if attempt <= len(given) else "wrong"](key)
+        return self.spark.createDataFrame(
+            rows, "source string, batch_id bigint, mode string, ordinal int, field string, transform string"
+        )
 
 
 def changed(i):
@@ -114,19 +116,20 @@ def changed(i):
 
 
 def sequence(healed, source):
-    return [(e.batch_id, e.event, e.attempt) for e in healed.events if e.source == source]
+    rows = healed.events.filter(F.col("source") == source).orderBy("batch_id", "step").collect()
+    return [(e.batch_id, e.event, e.attempt) for e in rows]
 
 
 def test_event_sequences(spark):
     drifting = [GOOD] * 20 + [changed(i % 10) for i in range(20)]
     df = frame(spark, {s: drifting for s in vocab.SOURCES})
     mapper = Scripted(spark, {
-        "facebook": ["right"],
-        "instagram": ["sparse", "sparse", "right"],
+        ("facebook", 2, "heal"): ["right"],
+        ("instagram", 2, "heal"): ["sparse", "sparse", "right"],
         # given up at batch 2, then a cold start at batch 3 that is accepted
-        "google_form": ["sparse", "sparse", "sparse", "right"],
+        ("google_form", 2, "heal"): ["sparse", "sparse", "sparse"],
+        ("google_form", 3, "cold"): ["right"],
         # every inference is rejected: both batches end in review
-        "landing_page": [],
     })
     healed = healing.heal(df, {s: MAP for s in vocab.SOURCES}, F.lit("2026-08-01").cast("timestamp"), mapper)
     drift_, retry = (2, "drift_detected", 0), [(2, "retry", i) for i in (1, 2, 3)]
@@ -145,7 +148,9 @@ def test_event_sequences(spark):
 def test_cold_starts(spark):
     new = [changed(i % 10) for i in range(10)]
     df = frame(spark, {"facebook": new, "instagram": new, "google_form": new, "landing_page": [GOOD] * 10})
-    mapper = Scripted(spark, {"facebook": ["right"], "instagram": ["sparse", "right"], "google_form": []})
+    mapper = Scripted(spark, {
+        ("facebook", 0, "cold"): ["right"], ("instagram", 0, "cold"): ["sparse"], ("instagram", 0, "heal"): ["right"],
+    })
     healed = healing.heal(df, {"landing_page": MAP}, F.lit("2026-08-01").cast("timestamp"), mapper)
     assert sequence(healed, "facebook") == [(0, "mapping_learned", 0)]
     assert sequence(healed, "instagram") == [

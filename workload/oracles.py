@@ -191,6 +191,45 @@ def _golden(mappings: dict[str, dict[str, str]]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(source, field, transform)"
 
 
+def _sample_text(samples: int) -> str:
+    """A field's name and its first values in the order of the records."""
+    return f"""array_to_string([any_value(field)] || list_transform(list_slice(list_sort(
+      list({{'at': seq, 'v': value}}) FILTER (WHERE value <> '')), 1, {samples}), lambda x: x.v), ' ')"""
+
+
+# Descriptions of the fields of every source and half (asked) and of the approved fields (kept).
+_DESCRIBED = (
+    lines(True) + _cells("lines") + f""",
+halves AS (SELECT *, seq >= {HALF} AS late FROM present),
+based AS (
+  SELECT source, seq, value, CASE field WHEN 'applicant_name' THEN 'full_name' WHEN 'contact_phone' THEN 'phone_number' ELSE field END AS field
+  FROM present
+),
+kept AS (
+  SELECT b.source || '::' || b.field AS id, any_value(k.transform) AS transform, {_sample_text(3).replace("any_value(field)", "b.field")} AS text
+  FROM based b JOIN """ + _known(True, "k") + """ ON k.source = b.source AND k.field = b.field GROUP BY b.source, b.field
+)"""
+)
+
+# Character trigrams hashed into 256 counters, and the cosine of the counters.
+_NEAREST = """,
+counted AS (
+  SELECT side, id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 256 AS dim, count(*) AS n FROM (
+    SELECT side, id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram
+    FROM (SELECT side, id, regexp_replace(lower(text), '[0-9]', '0', 'g') AS t FROM (
+      SELECT 0 AS side, id, text FROM asked UNION ALL SELECT 1, id, text FROM kept))) GROUP BY ALL
+),
+norms AS (SELECT side, id, sum(n * n)::BIGINT AS norm FROM counted GROUP BY ALL),
+dots AS (
+  SELECT q.id AS qid, c.id, sum(q.n * c.n)::BIGINT AS dot FROM counted q JOIN counted c USING (dim)
+  WHERE q.side = 0 AND c.side = 1 GROUP BY ALL
+),
+nearest AS (
+  SELECT qid, id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM (
+    SELECT qid, d.id, dot::DOUBLE / sqrt((a.norm * b.norm)::DOUBLE) AS similarity FROM dots d
+    JOIN norms a ON a.side = 0 AND a.id = qid JOIN norms b ON b.side = 1 AND b.id = d.id) QUALIFY rank <= 6
+)"""
+
 _DOC = """CASE WHEN e.field = 'name'
        THEN 'source field ''name'' with sample values [''' || c.c_name || ''', ''' || c.c_mktsegment || ''']'
        ELSE 'source field ''' || e.field || ''' with sample values []' END"""
@@ -296,6 +335,14 @@ ORACLES: dict[str, str] = {
         lines() + _PLACED, "SELECT source, seq, pos FROM placed WHERE pos >= 100 AND pos < 1100"
     ),
     "s6_form_batches": _with(lines() + _PLACED, "SELECT source, seq, batch_id, batch_pos FROM batched"),
+    "s5_slice_unlanded": _with(
+        lines() + _PLACED, "SELECT source, seq, pos FROM placed WHERE pos >= 100 AND pos < 1100"
+    ),
+    "s6_batches_unlanded": _with(lines() + _PLACED, "SELECT source, seq, batch_id, batch_pos FROM batched"),
+    "s7_repeated_lines": _leads(
+        "SELECT source, 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS kept FROM leads "
+        "WHERE source IN ('facebook', 'landing_page') GROUP BY ALL"
+    ),
     "s7_stream_replay": _leads(
         "SELECT source, status, count(*) AS n FROM leads WHERE source = 'facebook' GROUP BY ALL"
     ),
@@ -304,6 +351,11 @@ ORACLES: dict[str, str] = {
         "CASE WHEN seq % 6 = 0 THEN '2026-08-02 01:00:00' WHEN seq % 3 = 0 THEN '2026-08-02 00:00:00' "
         f"ELSE {INGEST} END AS ingested_at FROM leads"
     ),
+    "k1_leads_table": _leads(
+        "SELECT seq, lead_id, CASE WHEN seq % 6 = 0 THEN 'last' WHEN seq % 3 = 0 THEN 'first' ELSE campaign_id END AS campaign_id, "
+        "CASE WHEN seq % 6 = 0 THEN '2026-08-02 01:00:00' WHEN seq % 3 = 0 THEN '2026-08-02 00:00:00' "
+        f"ELSE {INGEST} END AS ingested_at FROM leads"
+    ),
     "k2_heal_events": (
         "SELECT source, 'human_review' AS event, CAST(0 AS BIGINT) AS attempt, length(text) AS width, "
         f"md5(text) AS digest, {INGEST} AS ts FROM documents"
@@ -400,6 +452,9 @@ FROM orders, (VALUES ('iso'), ('offset'), ('epoch'), ('month_first'), ('half_day
     "p15_occurrence": (
         "SELECT event_id AS seq, row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) - 1 AS occurrence_no FROM events"
     ),
+    "p15_ids_survive": _with(
+        lines(), "SELECT seq, seq % 2 = 0 AS kept FROM lines WHERE source = 'landing_page'"
+    ),
     "p16_quality_score": _leads("SELECT seq, CAST(quality_score AS BIGINT) AS quality_score FROM leads"),
     "p17_contract": _leads(
         "SELECT seq, concat_ws(',', CASE WHEN seq % 11 = 0 THEN 'source_unknown' END, "
@@ -444,6 +499,14 @@ WHERE reason IS NULL AND field NOT IN ('name', 'mail', 'tel')""",
     ),
     "m7_infer_mapping": _golden(vocab.KNOWN_MAPPINGS),
     "m7_infer_renamed": _golden({"facebook": _RENAMED_MAPPING}),
+    "m7_infer_every_half": f"""SELECT source, late, field, transform FROM (
+  SELECT *, false AS late FROM ({_golden(vocab.KNOWN_MAPPINGS)})
+  UNION ALL SELECT *, true FROM ({_golden({**vocab.KNOWN_MAPPINGS, "facebook": _RENAMED_MAPPING})}))""",
+    "m7_infer_unnamed": _golden({
+        "kunden": {"kontakt": "email", "nummer": "phone", "segment": "ignore", "saldo": "ignore"},
+        "fornitori": {"tlf": "phone", "posta": "email", "firma": "ignore"},
+        "brukere": {"art": "ignore", "dato": "created_at", "avsender": "email"},
+    }),
     "m8_current_mappings": _with(
         _MAPPING_LOG,
         """SELECT e.source, e.version, e.ordinal, e.field, e.transform FROM entries e
@@ -466,6 +529,29 @@ WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(1 - list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
   / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS distance
 FROM embeddings, q ORDER BY distance, vec_id LIMIT 6""",
+    "m10_similar_fields": _with(
+        _DESCRIBED + f""",
+texts AS (
+  SELECT source, late, field, min({{'at': seq, 'place': place}}) AS first, {_sample_text(2)} AS text FROM halves GROUP BY source, late, field
+),
+asked AS (
+  SELECT source || '/' || late AS id, source, late, string_agg(text, ' ' ORDER BY first, field) AS text FROM texts GROUP BY source, late
+)""" + _NEAREST,
+        "SELECT source, late, rank, n.id, transform FROM nearest n JOIN asked a ON a.id = n.qid JOIN kept k ON k.id = n.id",
+    ),
+    "m10_similar_by_field": _with(
+        _DESCRIBED + f""",
+asked AS (
+  SELECT source || '/' || late || '/' || field AS id, source, late, field, {_sample_text(3)} AS text FROM halves GROUP BY source, late, field
+)""" + _NEAREST,
+        "SELECT source, late, field, rank, n.id, transform, round(similarity, 9) AS similarity "
+        "FROM nearest n JOIN asked a ON a.id = n.qid JOIN kept k ON k.id = n.id",
+    ),
+    "m10_index_recall": _with(
+        _DESCRIBED,
+        "SELECT source, (SELECT count(*) FROM (SELECT DISTINCT source, late, field FROM halves) h WHERE h.source = s.source) * 6 AS n, "
+        "true AS enough FROM (SELECT DISTINCT source FROM halves) s",
+    ),
     "m11_heal_leads": _with(
         leads(False) + f""",
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) - 1 AS pos FROM leads),
@@ -510,6 +596,7 @@ WHERE source = 'facebook' AND batch_id >= (SELECT min(batch_id) FROM decision WH
         "count(*) FILTER (WHERE cross_source) AS cross_source_groups FROM groups"
     ),
     "d8_marked_leads": _resolved("SELECT lead_id, final_status AS status FROM resolved"),
+    "d8_leads_table": _resolved("SELECT lead_id, final_status AS status FROM resolved"),
     "a1_totals": _resolved(
         "SELECT count(*) AS total, count(*) FILTER (WHERE final_status = 'clean') AS clean, "
         "count(*) FILTER (WHERE final_status = 'flagged') AS flagged, "

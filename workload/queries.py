@@ -15,7 +15,9 @@ from contactlake.functions import dates, emails, names, phones, values
 from contactlake.functions.layers import apply_layers
 from contactlake.functions.similarity import similarity
 from contactlake.operators import drift, entities, inference, mappings as M, memory, records
-from contactlake.operators.positions import form_batches, slice_records
+from contactlake.operators.positions import (
+    AT, form_batches, landed_position, number_sorted, numbered_runs, slice_records,
+)
 from contactlake.operators.profiling import profile_source
 from contactlake.operators.projection import (
     canonicalize, check_contract, split_valid, with_occurrence,
@@ -24,7 +26,7 @@ from contactlake.operators.upsert import upsert
 from contactlake.plans import healing, reports
 from contactlake.session import Scratch, configure
 from contactlake.sources import feeds
-from contactlake.sources.tables import MappingLog, RunTable
+from contactlake.sources.tables import LeadsTable, MappingLog, RunTable
 from contactlake.streaming import replay
 from workload import feed as f
 
@@ -168,8 +170,22 @@ def s4_union_sources(spark, sf_dir):
     return records.union_sources(parts, ("instagram", "landing_page")).select("source", "seq")
 
 
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed, numbered where its rows were read."""
+    return stored(
+        spark, sf_dir, "landed", lambda: numbered_runs(raw(spark, sf_dir).sortWithinPartitions("source", "seq"))
+    )
+
+
 @query
 def s5_slice_records(spark, sf_dir):
+    rows = landed(spark, sf_dir).select("source", "seq", AT)
+    return slice_records(rows, skip=100, limit=1000, place=landed_position).select("source", "seq", "pos")
+
+
+@query
+def s5_slice_unlanded(spark, sf_dir):
+    """The same by ranges of the order column, for a frame that was not landed."""
     return slice_records(raw(spark, sf_dir).select("source", "seq"), skip=100, limit=1000).select(
         "source", "seq", "pos"
     )
@@ -177,9 +193,65 @@ def s5_slice_records(spark, sf_dir):
 
 @query
 def s6_form_batches(spark, sf_dir):
+    rows = landed(spark, sf_dir).select("source", "seq", AT)
+    return form_batches(rows, BATCH, place=landed_position).drop(AT)
+
+
+@query
+def s6_batches_unlanded(spark, sf_dir):
     return form_batches(raw(spark, sf_dir).select("source", "seq"), BATCH)
 
 
+@query
+def s7_repeated_lines(spark, sf_dir):
+    """Every line delivered twice, and the second delivery handled once more: each copy keeps one id of its own."""
+    scratch = Scratch(spark, "repeats")
+    tables = []
+    for source in ("facebook", "landing_page"):
+        inbox, root = scratch.path(f"inbox-{source}"), scratch.path(f"lake-{source}")
+        own = f.feed_lines(spark, sf_dir).filter(F.col("source") == source).select("raw_line")
+        handler = replay.heal_handler(spark, root, f.ingest_ts(), known=vocab.KNOWN_MAPPINGS)
+        last = []
+
+        def handle(batch, batch_id, handler=handler, last=last):
+            handler(batch, batch_id)
+            last[:] = [scratch.put(f"delivery-{batch_id}", batch), batch_id]
+
+        for _ in range(2):
+            own.write.mode("append").text(inbox)  # under new names
+            stream = replay.line_stream(spark, inbox, source, files_per_batch=1000)
+            replay.run_stream(stream, scratch.path(f"checkpoint-{source}"), handle)
+        leads_ = RunTable(spark, f"{root}/leads", model.LEADS)
+        before = scratch.put(f"before-{source}", leads_.read().select("lead_id"))
+        handler(*last)
+        tables.append(leads_.read().join(before.withColumn("kept", F.lit(1)), "lead_id", "left"))
+    return tables[0].unionByName(tables[1]).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("lead_id").alias("ids"), F.count("kept").alias("kept")
+    )
+
+
+@query
+def p15_ids_survive(spark, sf_dir):
+    """The feed's files read, a file added in front, and all read again: the ids of the first reading are still there."""
+    scratch = Scratch(spark, "survive")
+    folder = scratch.path("landing.jsonl")
+    lines = f.feed_lines(spark, sf_dir).filter(F.col("source") == "landing_page").select("seq", "raw_line")
+
+    def ids(name: str) -> DataFrame:
+        landed_ = feeds.land(feeds.read_leads(spark, folder, "landing_page"), scratch.path(f"landed-{name}"))
+        rows = feeds.with_places(landed_, scratch)
+        checked_ = canonicalize(rows, vocab.KNOWN_MAPPINGS, f.ingest_ts(), identity=feeds.IDENTITY)
+        seq = F.get_json_object("raw_payload", "$.lead_id").cast("bigint").alias("seq")
+        return scratch.put(f"ids-{name}", checked_.select("lead_id", seq))
+
+    lines.filter(F.col("seq") % 2 == 0).select("raw_line").write.mode("append").text(folder)
+    first = ids("first")
+    lines.filter(F.col("seq") % 2 == 1).select("raw_line").write.mode("append").text(folder)
+    second = ids("second")
+    kept = second.join(first.withColumn("kept", F.lit(True)), ["lead_id", "seq"], "left")
+    return kept.select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 @query
 def s7_stream_replay(spark, sf_dir):
     scratch = Scratch(spark, "stream")
@@ -213,6 +285,25 @@ def k1_upsert_leads(spark, sf_dir):
     return table.select("seq", "lead_id", "campaign_id", text_of("ingested_at"))
 
 
+@query
+def k1_leads_table(spark, sf_dir):
+    """The same inserts into the stored table, of which only some pieces are written again."""
+    old = leads(spark, sf_dir).select(*model.LEAD_COLUMNS, "seq")
+    later = F.lit("2026-08-02 00:00:00").cast("timestamp")
+    changed = old.filter(F.col("seq") % 3 == 0)
+    first = changed.withColumns({"campaign_id": F.lit("first"), "ingested_at": later})
+    last = changed.filter(F.col("seq") % 2 == 0).withColumns(
+        {"campaign_id": F.lit("last"), "ingested_at": later + F.expr("interval 1 hour")}
+    )
+    table = LeadsTable(spark, Scratch(spark, "k1").path("leads"), buckets=16)
+    table.insert(old)
+    table.insert(first)
+    stored_ = table.insert(last)
+    return stored_.join(old.select("lead_id", "seq"), "lead_id").select(
+        "seq", "lead_id", "campaign_id", text_of("ingested_at")
+    )
+
+
 @query
 def k2_heal_events(spark, sf_dir):
     docs = f.table(spark, sf_dir, "documents").select(
@@ -659,6 +750,50 @@ def m7_infer_renamed(spark, sf_dir):
     return inference.infer_mapping(profile_source(rows)).select("source", "field", "transform")
 
 
+def _halves(spark, sf_dir) -> DataFrame:
+    """The drifting feed of all sources, its halves told apart."""
+    half = f.table(spark, sf_dir, "orders").count() // 2
+    return raw(spark, sf_dir, True).withColumn("late", F.col("seq") >= half)
+
+
+@query
+def m7_infer_every_half(spark, sf_dir):
+    """Every source, before and after the renames."""
+    keys = ("source", "late")
+    return inference.infer_mapping(profile_source(_halves(spark, sf_dir), keys), keys=keys).select(*keys, "field", "transform")
+
+
+def _unnamed(spark, sf_dir) -> DataFrame:
+    """Contact cards of customers, suppliers and users under names that tell nothing."""
+
+    def card(name: str, key: str, source: str, **fields: Column) -> DataFrame:
+        pairs = [x for field, value in fields.items() for x in (F.lit(field), value.cast("string"))]
+        return f.table(spark, sf_dir, name).select(F.lit(source).alias("source"), F.col(key).alias("seq"), F.create_map(*pairs).alias("rec"))
+
+    def number(key: str) -> Column:
+        return F.lpad((F.col(key) % 10000).cast("string"), 4, "0")
+
+    customers = card(
+        "customer", "c_custkey", "kunden", kontakt=F.concat(F.lit("k"), "c_custkey", F.lit("@harborline.org")),
+        nummer=F.concat(F.lit("212555"), number("c_custkey")), segment=F.col("c_mktsegment"), saldo=F.col("c_acctbal"),
+    )
+    suppliers = card(
+        "supplier", "s_suppkey", "fornitori", tlf=F.concat(F.lit("+1 303 555 "), number("s_suppkey")),
+        posta=F.concat(F.lit("s"), "s_suppkey", F.lit("@tidewater.io")), firma=F.col("s_name"),
+    )
+    users = card(
+        "events", "event_id", "brukere", art=F.col("event_type"), dato=F.date_format("ts", "dd MMM yyyy HH:mm"),
+        avsender=F.concat(F.lit("u"), "user_id", F.lit("@vexcorp.net")),
+    )
+    return customers.unionByName(suppliers).unionByName(users)
+
+
+@query
+def m7_infer_unnamed(spark, sf_dir):
+    """Fields that only their values tell, assigned one to one."""
+    return inference.infer_mapping(profile_source(_unnamed(spark, sf_dir)), attempt=3).select("source", "field", "transform")
+
+
 @query
 def m8_current_mappings(spark, sf_dir):
     return M.current_mappings(mapping_log(spark, sf_dir)).select(
@@ -701,20 +836,51 @@ def m10_nearest_by_cosine(spark, sf_dir):
     return near.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+def _remembered(spark, sf_dir) -> DataFrame:
+    known = M.to_table(spark, vocab.KNOWN_MAPPINGS)
+    return memory.remember_fields(known, profile_source(raw(spark, sf_dir)), F.lit(1).cast("bigint"))
+
+
 @query
 def m10_similar_fields(spark, sf_dir):
-    """Approved fields similar to those of the renamed webhook feed."""
-    known = M.to_table(spark, vocab.KNOWN_MAPPINGS)
-    every = profile_source(raw(spark, sf_dir))
-    remembered = memory.remember_fields(known, every, F.lit(1))
-    half = f.table(spark, sf_dir, "orders").count() // 2
-    rows = raw(spark, sf_dir, True).filter((F.col("source") == "facebook") & (F.col("seq") >= half))
-    return memory.similar_fields(remembered, profile_source(rows)).select("id", "transform")
+    """Approved fields similar to those of every source, before and after the renames."""
+    keys = ("source", "late")
+    found = memory.similar_to_profile(_remembered(spark, sf_dir), profile_source(_halves(spark, sf_dir), keys), keys=keys, exact=True)
+    return found.select(
+        F.col("for_source").alias("source"), F.col("for_late").alias("late"), F.col("rank").cast("bigint").alias("rank"),
+        "id", "transform",
+    )
 
 
-def _no_mapper(profile, *_):
+@query
+def m10_similar_by_field(spark, sf_dir):
+    """For every field of every source, before and after the renames, the approved fields most like it."""
+    keys = ("source", "late")
+    profile = profile_source(_halves(spark, sf_dir), keys)
+    found = memory.similar_fields(_remembered(spark, sf_dir), profile, keys=keys, exact=True)
+    return found.select(
+        F.col("for_source").alias("source"), F.col("for_late").alias("late"), F.col("for_field").alias("field"),
+        F.col("rank").cast("bigint").alias("rank"), "id", "transform", F.round("similarity", 9).alias("similarity"),
+    )
+
+
+@query
+def m10_index_recall(spark, sf_dir):
+    """How many of the most similar fields the index finds, against the exact search over the same memory."""
+    keys = ("source", "late")
+    profile = profile_source(_halves(spark, sf_dir), keys)
+    remembered = Scratch(spark, "recall").put("memory", _remembered(spark, sf_dir))
+    pair = ["for_source", "for_late", "for_field", "id"]
+    exact = memory.similar_fields(remembered, profile, keys=keys, exact=True).select(*pair)
+    found = memory.similar_fields(remembered, profile, keys=keys).select(*pair, F.lit(1).alias("hit"))
+    return exact.join(found, pair, "left").groupBy(F.col("for_source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("enough")
+    )
+
+
+def _no_mapper(profile, memory, attempt, feedback, keys):
     """A mapper that never finds anything."""
-    return profile.select("source", "ordinal", "field", F.lit("ignore").alias("transform"))
+    return profile.select(*keys, "ordinal", "field", F.lit("ignore").alias("transform"))
 
 
 @query
@@ -726,9 +892,9 @@ def m11_heal_leads(spark, sf_dir):
 @query
 def m11_heal_events(spark, sf_dir):
     healed = healing.heal(batches(spark, sf_dir), vocab.KNOWN_MAPPINGS, f.ingest_ts())
-    rows = [(i, e.source, e.batch_id, e.event, e.attempt) for i, e in enumerate(healed.events)]
-    return spark.createDataFrame(
-        rows, "step bigint, source string, batch_id bigint, event string, attempt bigint"
+    placed = number_sorted(healed.events, ["source", "batch_id", "step"], Scratch(spark, "m11"), "place")
+    return placed.select(
+        F.col("place").cast("bigint").alias("step"), "source", "batch_id", "event", F.col("attempt").cast("bigint").alias("attempt")
     )
 
 
@@ -836,6 +1002,14 @@ def d8_marked_leads(spark, sf_dir):
     return resolved(spark, sf_dir).select("lead_id", "status")
 
 
+@query
+def d8_leads_table(spark, sf_dir):
+    """Duplicates marked in the stored table, where they are."""
+    table = LeadsTable(spark, Scratch(spark, "d8").path("leads"), buckets=16)
+    table.insert(leads(spark, sf_dir))
+    return table.mark(resolution(spark, sf_dir).losers).select("lead_id", "status")
+
+
 # -- reports ---------------------------------------------------------------------
 
 
