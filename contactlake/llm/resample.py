@@ -35,6 +35,8 @@ MIN_WORDS, SHARE = 20, 25
 SEED = 7
 #: weights and noise are whole thousandths
 SCALE = 1000
+#: runs below this length have shift tables of their own
+SHORT = 64
 #: a long text is scanned in pieces of about so many bytes
 PIECE = 1 << 18
 
@@ -71,11 +73,24 @@ def _shift_tables(power: int) -> np.ndarray:
     return np.stack([_byte_steps()[r & 255] ^ r >> np.uint32(8) for r in registers])
 
 
+@lru_cache(1)
+def _short_shifts() -> np.ndarray:
+    """The maps that append 0 to ``SHORT`` - 1 zero bytes, one table each for the four bytes of a word."""
+    values = np.arange(256, dtype=np.uint32)
+    maps = [np.stack([values << np.uint32(8 * i) for i in range(4)])]
+    for _ in range(SHORT - 1):
+        maps.append(np.stack([_apply(_shift_tables(0), t) for t in maps[-1]]))
+    return np.stack(maps, axis=1).reshape(4, SHORT * 256)
+
+
 def shift(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Each CRC as it stands after so many more zero bytes, without the register's conditioning."""
-    out, longest = crcs.copy(), int(lengths.max(initial=0))
-    for power in range(longest.bit_length()):
-        chosen = np.flatnonzero(lengths >> power & 1)
+    base = (np.minimum(lengths, SHORT - 1) << 8).astype(np.intp)
+    tables, out = _short_shifts(), np.zeros_like(crcs)
+    for i in range(4):
+        out ^= tables[i].take(base + (crcs >> np.uint32(8 * i) & np.uint32(255)))
+    for power in range((int(lengths.max(initial=0)) - SHORT + 1).bit_length() if lengths.max(initial=0) >= SHORT else 0):
+        chosen = np.flatnonzero(np.maximum(lengths - SHORT + 1, 0) >> power & 1)
         out[chosen] = _apply(_shift_tables(power), out[chosen])
     return out
 
@@ -90,24 +105,26 @@ class Prefixes:
 
     ``starts[i]`` and ``ends[i]`` are the CRCs of all bytes before and up to
     the end of word ``i``; ``at[i]`` and ``to[i]`` are the places in bytes.
+    ``text`` is a piece with one space before each word but the first of all.
     """
 
-    def __init__(self, words: list[bytes], running: int = 0, offset: int = 0):
+    def __init__(self, text: bytes, running: int = 0, offset: int = 0):
         ends, crc = [], running
-        for word in words:
+        for word in text.replace(b" ", b"\n ").removeprefix(b"\n").split(b"\n"):
             crc = crc32(word, crc)
             ends.append(crc)
-            crc = crc32(b" ", crc)
-        self.running = crc
         self.ends = np.array(ends, np.uint32)
-        # one more byte, the joining space, leads from a word's end to the next one's start
-        register = ~self.ends
-        spaced = ~(_byte_steps()[(register ^ np.uint32(32)) & 255] ^ register >> np.uint32(8))
-        self.starts = np.concatenate([np.array([running], np.uint32), spaced])[: len(words)]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.to = offset + np.cumsum(sizes + 1) - 1
-        self.at = self.to - sizes
-        self.offset = offset + int(sizes.sum()) + len(words)
+        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        opened = text[:1] == b" "
+        self.to = offset + np.append(spaces[opened:], len(text))
+        self.at = offset + (spaces + 1 if opened else np.append(0, spaces + 1))
+        # one more byte, the space, leads from a word's end to the next one's start
+        before = np.append(np.uint32(running), self.ends[:-1]).astype(np.uint32)
+        register = ~before
+        self.starts = ~(_byte_steps()[(register ^ np.uint32(32)) & 255] ^ register >> np.uint32(8))
+        if not opened:
+            self.starts[0] = running
+        self.running, self.offset = crc, offset + len(text)
 
     def after(self, earlier: Prefixes, keep: int) -> Prefixes:
         """With the last ``keep`` words of the piece before in front."""
@@ -144,7 +161,11 @@ def features(text: bytes, longest: int = LONGEST) -> Iterator[tuple[int, np.ndar
     """Per piece of a UTF-8 text its number of words and the CRCs of all runs that end in it."""
     held = None
     for words in _pieces(text):
-        found = Prefixes(words) if held is None else Prefixes(words, held.running, held.offset).after(held, longest - 1)
+        joined = b" ".join(words)
+        if held is None:
+            found = Prefixes(joined)
+        else:
+            found = Prefixes(b" " + joined, held.running, held.offset).after(held, longest - 1)
         carried, runs = len(found.ends) - len(words), []
         for n in range(1, longest + 1):
             low = max(carried - n + 1, 0)  # runs that end before this piece were given with the last one
