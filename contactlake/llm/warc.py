@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contactlake.operators.skew import attach_facts
+from contactlake.session import Scratch
 
 #: bytes of records, before compression, after which a file ends
 FILE_BYTES = 16 << 20
+#: so many revisits are broadcast, about 300 bytes each
+MAX_BROADCAST = 50_000
 #: shorter payloads always stay responses
 MIN_REVISIT_BYTES = 1000
 #: the capture time of pages that bring none
@@ -374,14 +377,22 @@ def convert(
     """ARC files under ``arc`` as WARC files under ``warc``, one for one.
 
     ``index`` (``index_arc``, stored) spares a second reading of the payloads.
-    Payloads stay in the task that reads them: only the list of each file's
-    revisits is joined to it.
+    The list of a file's revisits is joined to it: up to ``MAX_BROADCAST``
+    revisits are broadcast, and payloads stay in the task that reads them; with
+    more, files and lists are dealt by name, about one file to a task.
     """
-    index = index_arc(spark, arc) if index is None else index
-    revisits = find_revisits(index, min_bytes).groupBy("name").agg(
+    scratch = Scratch(spark, "convert")
+    index = scratch.put("index", index_arc(spark, arc)) if index is None else index
+    found = scratch.put("revisits", find_revisits(index, min_bytes))
+    revisits = found.groupBy("name").agg(
         F.collect_list(F.struct("offset", "original")).alias("revisits")  # at most the records of one file
     )
-    files = _files(spark, arc).join(revisits, "name", "left")
+    files = _files(spark, arc)
+    if found.count() <= MAX_BROADCAST:
+        files = files.join(F.broadcast(revisits), "name", "left")
+    else:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.select("name").distinct().count())
+        files = files.repartition(parts, "name").join(revisits.repartition(parts, "name"), "name", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
