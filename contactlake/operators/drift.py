@@ -178,23 +178,20 @@ def signatures(
     counters are shuffled, a row per task, batch and field.
     """
     none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
-    cells = df.filter(F.col("rec").isNotNull()).select(
-        *BATCH,
-        F.when(F.col(order) == 0, F.sort_array(F.map_keys("rec"))).alias("_keys"),
-        # one more cell per record counts the records
-        F.explode(F.array_append(F.map_entries("rec"), none)).alias("_cell"),
-    )
+    readable = df.filter(F.col("rec").isNotNull())
+    # one more cell per record counts the records
+    cells = readable.select(*BATCH, F.explode(F.array_append(F.map_entries("rec"), none)).alias("_cell"))
     counted = cells.groupBy(*BATCH, F.col("_cell.key").alias("field")).agg(
         F.count(F.lit(1)).alias("present"),
         F.count(F.when(too_late(F.col("_cell.value")), True)).alias("late"),
-        F.max("_keys").alias("_keys"),
     )
     cell = F.struct("field", "present", "late")
     batches = counted.groupBy(*BATCH).agg(
         F.max(F.when(F.col("field").isNull(), F.col("present"))).alias("n"),
         F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), cell))).alias("fields"),
-        F.max("_keys").alias("first_keys"),
     )
+    first = readable.filter(F.col(order) == 0).select(*BATCH, F.sort_array(F.map_keys("rec")).alias("first_keys"))
+    batches = batches.join(first, list(BATCH), "left")
     n = F.col("n")
     alive = F.filter("fields", lambda c: (n - c["present"]) / n <= missing_over)
     return batches.select(

@@ -209,6 +209,10 @@ def infer_mapping(
     )
 
 
+#: its proposals depend on nothing but the profile, the memory, the level of an attempt and the failed pairs
+infer_mapping.repeats = True
+
+
 def assign(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
     """The one-to-one choice of (field, transform) with the greatest sum of scores.
 

@@ -48,7 +48,8 @@ def profile_source(
     per_lane = judged(cells).groupBy(*keys_, "field", lane).agg(
         F.count(F.lit(1)).alias("present"),
         F.count(F.when(filled, True)).alias("values"),
-        F.min(F.struct("_at", "_place")).alias("_first"),
+        F.min("_at").alias("_first"),
+        F.min("_place").alias("_place"),
         F.min(F.when(filled, F.col("_at"))).alias("_from"),
         F.max(F.when(filled, F.col("_at"))).alias("_to"),
         *[F.count(F.when(F.col(kind), True)).alias(kind) for kind in KINDS],
@@ -58,13 +59,14 @@ def profile_source(
     per_field = per_lane.groupBy(*keys_, "field").agg(
         F.sum("present").alias("present"),
         F.min("_first").alias("_first"),
+        F.min("_place").alias("_place"),
         F.coalesce(F.get(firsts, F.lit(samples - 1)), F.max("_to")).alias("_upto"),
         F.when(
             values > 0, F.struct(values.alias("values"), *[(F.sum(kind) / values).alias(kind) for kind in KINDS])
         ).alias("evidence"),
     )
     of_key = Window.partitionBy(*keys_)  # a row per field
-    by_sight = of_key.orderBy(F.col("field").isNull(), "_first._at", "_first._place", "field")
+    by_sight = of_key.orderBy(F.col("field").isNull(), "_first", "_place", "field")
     fields = per_field.select(
         "*", F.max(F.when(F.col("field").isNull(), F.col("present"))).over(of_key).alias("n"),
         F.max("_upto").over(of_key).alias("_last"), F.row_number().over(by_sight).alias("ordinal"),

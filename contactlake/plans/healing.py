@@ -41,10 +41,17 @@ COLD, HEAL = "cold", "heal"
 
 #: ``mapper(profile, memory, attempt, feedback, keys)`` gives a mapping table keyed by ``keys``. ``feedback`` has
 #: the rows (keys, report, failed) of batches that drifted or whose last proposal failed; ``failed`` lists the
-#: (field, transform) pairs that did not serve, a null transform meaning any
+#: (field, transform) pairs that did not serve, a null transform meaning any. A mapper with a true attribute
+#: ``repeats`` gives the same proposals to the same feedback, the later attempts' among those of the first
 Mapper = Callable[..., DataFrame]
 FEEDBACK = "report string, failed array<struct<field:string,transform:string>>"
 
+#: per batch what its attempts gave
+OUTCOMES = (
+    "source string, batch_id bigint, outcome array<struct<mode:string,attempt:int,"
+    "mapping:array<struct<ordinal:int,field:string,transform:string>>,reason:string,drifted:boolean,report:string>>"
+)
+
 #: a block of batches that finds its segments together
 BLOCK_BITS = 10
 #: (segment, block) pairs are broadcast up to so many
@@ -170,6 +177,11 @@ class _Inference:
             answer = self.put(self.judged(self.infer(todo, attempt, feedback), signatures))
             tried.append(answer.withColumn("attempt", F.lit(attempt)))
             open_ = answer.filter((F.col("mode") == HEAL) & (F.col("reason").isNotNull() | F.col("drifted")))
+            if getattr(self.mapper, "repeats", False):
+                # a batch whose proposals were all rejected would get the same ones again
+                stuck = open_.filter("reason IS NOT NULL")
+                tried += [stuck.withColumn("attempt", F.lit(n)) for n in range(attempt + 1, self.max_attempts + 1)]
+                open_ = open_.filter("reason IS NULL")
             if attempt == self.max_attempts or open_.isEmpty():
                 break
             todo = todo.join(open_.select(*KEYS), list(KEYS), "left_semi")
@@ -366,7 +378,12 @@ def heal(
         profile = scratch.put(f"profiles-{name}", profile_source(rows, BATCH, order, profile_rows))
         return profile, job.outcomes(profile, signatures)
 
-    profiles, outcomes = learn("heads", runs.filter("head AND unsettled"))
+    asked = runs.filter("head AND unsettled")
+    if asked.isEmpty():  # the known mappings serve everything
+        profiles = profile_source(readable.limit(0), BATCH, order, profile_rows)
+        outcomes = df.sparkSession.createDataFrame([], OUTCOMES)
+    else:
+        profiles, outcomes = learn("heads", asked)
     failing = F.exists("outcome", lambda o: o["reason"].isNotNull() & ((o["mode"] == COLD) | (o["attempt"] == max_attempts))) | F.exists(
         "outcome", lambda o: (o["attempt"] == max_attempts) & o["drifted"]
     )

@@ -883,6 +883,9 @@ def _no_mapper(profile, memory, attempt, feedback, keys):
     return profile.select(*keys, "ordinal", "field", F.lit("ignore").alias("transform"))
 
 
+_no_mapper.repeats = True
+
+
 @query
 def m11_heal_leads(spark, sf_dir):
     healed = healing.heal(batches(spark, sf_dir), vocab.KNOWN_MAPPINGS, f.ingest_ts())
