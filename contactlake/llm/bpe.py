@@ -21,8 +21,10 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: encoded strings that a worker remembers; more only cost time
-REMEMBERED = 400_000
+#: encoded strings that a worker remembers in one of two generations; more only cost time
+REMEMBERED = 250_000
+#: ids that are turned into bytes at once
+GATHERED = 1 << 18
 #: an id is an unsigned little-endian integer of so many bytes
 ID_BYTES = 4
 UNKNOWN_PIECE = ""
@@ -79,6 +81,34 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return body + _field(2, trainer) + _field(3, identity)
 
 
+class _Memory(dict):
+    """What is known of strings, in two generations.
+
+    When the younger one is full it becomes the older one; strings that come
+    again move back to the younger, the others go with their generation.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+    def unknown(self, wanted: Iterable[str]) -> list[str]:
+        """Those of the different strings that are new; the others are in the younger generation afterwards."""
+        older, new = self.older, []
+        for string in wanted:
+            if string not in self:
+                if (known := older.get(string)) is None:
+                    new.append(string)
+                else:
+                    self[string] = known
+        return new
+
+
 class Encoder:
     """Texts to id bytes; remembers strings that come again."""
 
@@ -87,8 +117,8 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.adjacent = regex.compile(r"\s\s")
         self.shown = str.maketrans({chr(b): c for b, c in byte_characters().items()})
-        self.tokens: dict[str, bytes] = {}  # by pre-token
-        self.spans: dict[str, bytes] = {}  # by what stands between two spaces
+        self.tokens = _Memory()  # by pre-token
+        self.spans = _Memory()  # by what stands between two spaces
 
     def _pretokens(self, span: str) -> list[str]:
         """The pre-tokens of a part that a space or, as its first character, a line break sets off."""
@@ -100,7 +130,7 @@ class Encoder:
 
     def _merge(self, wanted: Iterable[str]) -> None:
         """Encode pre-tokens that are not known yet."""
-        new = [t for t in set(wanted) if t not in self.tokens]
+        new = self.tokens.unknown(set(wanted))
         mapped = [
             SPACE + t[1:] if t[:1] == " " and t.isascii() and t[1:].isalpha()
             else t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
@@ -111,10 +141,8 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.tokens) > REMEMBERED:
-            self.tokens.clear()
-        if len(self.spans) > REMEMBERED:
-            self.spans.clear()
+        self.tokens.age()
+        self.spans.age()
         texts = [t or "" for t in texts]
         # Where no two white space characters meet, every pre-token with a space in it
         # starts with that space and a line break stands alone, so a text may be cut
@@ -123,7 +151,7 @@ class Encoder:
         cut = [t.replace("\n", " \n").split(" ") if s else self.pattern.findall(t) for t, s in zip(texts, simple)]
         firsts = [self.pattern.findall(parts.pop(0)) if s else parts for parts, s in zip(cut, simple)]
         seen = set().union(*(parts for parts, s in zip(cut, simple) if s))
-        spans = {p: self._pretokens(p) for p in seen if p not in self.spans}
+        spans = {p: self._pretokens(p) for p in self.spans.unknown(seen)}
         self._merge(t for tokens in (*spans.values(), *firsts) for t in tokens)
         token, span = self.tokens.__getitem__, self.spans.__getitem__
         self.spans.update((p, b"".join(map(token, tokens))) for p, tokens in spans.items())
@@ -133,7 +161,36 @@ class Encoder:
         ]
 
 
+class Decoder:
+    """Ids to bytes: one gather over the joined bytes of all tokens."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, texts: Iterable[bytes | None]) -> list[bytes | None]:
+        """The bytes of each text's ids; null stays null."""
+        out: list[bytes | None] = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            parts = []
+            for at in range(0, len(text), ID_BYTES * GATHERED):
+                ids = np.frombuffer(text[at : at + ID_BYTES * GATHERED], "<u4")
+                sizes = self.sizes[ids]
+                ends = np.cumsum(sizes)
+                # a byte's place in its token, counted on from the token's start
+                places = np.repeat(self.starts[ids] - ends + sizes, sizes)
+                places += np.arange(len(places))
+                parts.append(self.bytes[places].tobytes())
+            out.append(b"".join(parts))
+        return out
+
+
 _loaded: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 class ByteBpe:
@@ -165,14 +222,13 @@ class ByteBpe:
 
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for; null ids give null."""
-        tokens = self._tokens
+        tokens, name = self._tokens, self.name
 
         @F.pandas_udf("binary")
         def content(ids: pd.Series) -> pd.Series:
-            token = tokens.value.__getitem__
-            return pd.Series(
-                [None if i is None else b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in ids], dtype=object
-            )
+            if name not in _decoders:
+                _decoders[name] = Decoder(tokens.value)
+            return pd.Series(_decoders[name].decode(ids), dtype=object)
 
         return content(ids)
 
