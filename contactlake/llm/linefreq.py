@@ -19,9 +19,8 @@ WINDOW_WORDS = 3
 MIN_WORDS = 50
 #: percent of the words that may stand in repeated windows
 MAX_REPEATED = 50
-#: a line may stand in this share of its host's documents, and in so many anyway
-MAX_LINE_SHARE = 0.005
-MIN_LINE_DOCS = 50
+#: a line may stand in so many documents of a host, however large the host is
+MAX_LINE_DOCS = 30
 #: share of a document's words that must be left when shared lines are gone
 MIN_LEFT = 0.3
 
@@ -96,27 +95,23 @@ def text_counts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 def line_quality(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-    max_share: float = MAX_LINE_SHARE, min_docs: int = MIN_LINE_DOCS, min_left: float = MIN_LEFT,
+    max_docs: int = MAX_LINE_DOCS, min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """Per row its counts, ``base_failed``, the words in removed lines, and ``kept``.
 
     A line is hashed in normalised form and counted once per row and host; a
-    line in more than ``min_docs`` rows of a host and more than ``max_share``
-    of them is removed from that host's rows. A row is rejected if its base
-    counts fail or less than ``min_left`` of its words is left. Null texts are
-    empty and fail; a null host is the empty host; repeated rows count and
-    stay; an empty table gives an empty result.
+    line in more than ``max_docs`` rows of a host is removed from that host's
+    rows, whatever the host's size. A row is rejected if its base counts fail
+    or less than ``min_left`` of its words is left. Null texts are empty and
+    fail; a null host is the empty host; repeated rows count and stay; an empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     counted = text_counts(docs, key, text, host).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.put("counts", counted)  # the row numbers are stored, so all later jobs see the same
     distinct = F.array_distinct(F.transform("lines", lambda x: x["h"]))
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_rows"))
     in_rows = rows.select("host", F.explode(distinct).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
-    common = in_rows.filter(F.col("docs") > min_docs).join(hosts, "host")
-    shared = scratch.put(
-        "shared", common.filter(F.col("docs") > F.col("host_rows") * max_share).select("host", "h", "docs")
-    )
+    shared = scratch.put("shared", in_rows.filter(F.col("docs") > max_docs))
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
     total = rows.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).head()[0]
     met = attach_facts(lines, shared, ["host", "h"], "docs", total)

@@ -24,9 +24,7 @@ WITH given AS (
     trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
   FROM (SELECT r, host, unnest(lines) AS line FROM cut)
 ), shared AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT r) AS docs FROM lines GROUP BY host, line)
-  JOIN (SELECT host, count(*) AS all_docs FROM cut GROUP BY host) USING (host)
-  WHERE docs > {linefreq.MIN_LINE_DOCS} AND docs > all_docs * {linefreq.MAX_LINE_SHARE}
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT r) > {linefreq.MAX_LINE_DOCS}
 ), removed AS (
   SELECT r, sum(n)::BIGINT AS n FROM lines SEMI JOIN shared USING (host, line) GROUP BY r
 ), counts AS (
