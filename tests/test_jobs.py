@@ -52,6 +52,10 @@ def test_ingest_heals_stores_and_is_repeatable(spark, tmp_path):
     ]
     assert [r.reason for r in tables.review_queue.read().collect()] == ["unreadable record"]
     assert tables.mappings.current()["facebook"]["contact_phone"] == "phone"
+    remembered = {r.id: r.transform for r in tables.memory.read().collect()}
+    assert remembered["facebook::contact_phone"] == "phone" and remembered["landing_page::fname"] == "first_name"
+    reported = {r.source: (r.rows, r.stored, r.failed) for r in tables.run_reports.read().collect()}
+    assert reported == {"facebook": (80, 80, 0), "google_form": (20, 20, 0), "landing_page": (30, 30, 0)}
     # the same files again: same ids, so nothing is added
     again = run_ingest(
         spark, str(inbox), root, "2", ts(), batch_size=20, fixed=vocab.KNOWN_MAPPINGS, only=("landing_page",)
