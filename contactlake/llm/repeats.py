@@ -4,11 +4,13 @@ Every window of 50 bytes has an anchor: the least hash of the short strings
 inside it. Equal windows have equal anchors, so windows meet by anchor, and a
 run of neighbouring windows with one anchor travels as one string. The jobs:
 
-1. Documents go into batches by hash. Their distinct anchors, a few bytes each,
-   are dealt by anchor; those that stand in two documents or more go back.
-2. Each batch keeps its runs with such anchors. A run that another document of
-   the batch with a smaller id has, too, is decided there and then; the others
-   travel, so of one run at most one copy per batch does.
+1. Documents go into batches by hash. Their distinct anchors are dealt by anchor,
+   each with its run's digest and the least document id. Those that stand in two
+   documents or more go back: with the least id of all if all their runs are
+   equal, which decides them without sending a byte of text.
+2. Each batch keeps its runs with anchors whose runs differ. A run that another
+   document of the batch with a smaller id has, too, is decided there and then;
+   the others travel, so of one run at most one copy per batch does.
 3. By anchor, equal runs are settled by the least document id. Different runs of
    one anchor that share a second anchor, too, are halved by document again and
    again: the smaller ids' runs
@@ -23,6 +25,7 @@ Documents and batches share one shuffle of the texts (steps 2 and 4).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,8 @@ LEAST = 50
 ANCHOR = 20
 #: windows in one run at most, so that a run is short even in monotonous texts
 RUN_WINDOWS = 256
-#: bytes of text in a batch and in a part; batches grow beyond so many
+#: bytes of text in a batch and in a part
 BATCH_BYTES = 4 << 20
-MAX_BATCHES = 200_000
 PART_BYTES = 8 << 20
 #: an anchor in more documents than this is split by a second anchor
 COMMON = 20_000
@@ -51,6 +53,11 @@ _ODD = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 _LAST = (1 << 63) - 1
 #: the bits of an anchor that travel; the upper ones choose the part
 _LOW = np.uint64((1 << 40) - 1)
+#: anchors are first looked for by their upper 48 bits, runs compared by 48 bits of digest:
+#: a chance meeting of the former costs a comparison, one of the latter has odds of 1 to 2**48
+_SHORT = np.uint64(16)
+#: the digest that stands for runs that differ
+_MIXED = np.uint64(0)
 
 
 def _hashes(data: np.ndarray, odd: int) -> np.ndarray:
@@ -86,21 +93,45 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
+def _windows(hashes: np.ndarray) -> np.ndarray:
+    return _least(hashes, LEAST - ANCHOR + 1) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def anchors(data: np.ndarray, second: bool = False) -> np.ndarray:
     """The anchor of every window of LEAST bytes, spread evenly over 64 bits."""
-    odd = _ODD[second]
-    return _least(_hashes(data, odd), LEAST - ANCHOR + 1) * np.uint64(0x9E3779B97F4A7C15)
+    return _windows(_hashes(data, _ODD[second]))
+
 
+@cache
+def _powers(odd: int, size: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(size - 1, odd, np.uint64)])
 
-def _split(doc: np.ndarray, place: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+
+def _digests(hashes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A digest of each run's bytes from the hashes of all short strings in it, by differences of one running sum.
+
+    A run that is to be cut counts as one that differs.
+    """
+    odd, size = _ODD[1], 1 << max(1, len(hashes)).bit_length()
+    total = np.r_[np.uint64(0), np.cumsum(hashes * _powers(odd, size)[: len(hashes)], dtype=np.uint64)]
+    out = total[first + length + (LEAST - ANCHOR)] - total[first]
+    out *= _powers(pow(odd, -1, 1 << 64), size)[first]
+    out ^= length.astype(np.uint64) * np.uint64(_ODD[0])
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out >>= _SHORT
+    return np.where(length > RUN_WINDOWS, _MIXED, np.maximum(out, np.uint64(1)))
+
+
+def _split(doc: np.ndarray, place: np.ndarray, size: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of RUN_WINDOWS windows at most."""
     if not len(size) or size.max() <= RUN_WINDOWS:
-        return doc, place, size, anchor
+        return doc, place, size, *others
     pieces = -(-size // RUN_WINDOWS)
     of = np.repeat(np.arange(len(size)), pieces)
     number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     length = np.minimum(size[of] - number * RUN_WINDOWS, RUN_WINDOWS)
-    return doc[of], place[of] + number * RUN_WINDOWS, length, anchor[of]
+    return doc[of], place[of] + number * RUN_WINDOWS, length, *(x[of] for x in others)
 
 
 def _cut_runs(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -113,9 +144,9 @@ def _cut_runs(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray) -> tuple[n
 
 
 def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """All runs (doc, first window, windows, anchor) of the texts, chunk by chunk.
+    """All runs (doc, first window, windows, anchor, digest) of the texts, chunk by chunk.
 
-    With ``only``, ascending anchors, just their runs; runs of the anchors in
+    With ``only``, ascending short anchors, just their runs; runs of those in
     ``common`` are cut by a second anchor, which takes part in the result's.
     """
     held, size, out = [], 0, []
@@ -124,7 +155,8 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
         data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
         docs, offsets, lengths = (np.array(c, np.int64) for c in zip(*((d, s, len(t)) for d, s, t in held)))
         begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
-        anchor = anchors(data)
+        hashes = _hashes(data, _ODD[0])
+        anchor = _windows(hashes)
         new = np.r_[True, anchor[1:] != anchor[:-1]]
         new[begin] = True
         new[(begin + windows)[:-1]] = True  # windows from here on reach into the next text
@@ -134,17 +166,18 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
         inside = first - begin[piece]
         keep = inside < windows[piece]
         if only is not None:
-            keep &= _among(anchor[first], only)
+            keep &= _among(anchor[first] >> _SHORT, only)
         first, length, piece, inside = first[keep], length[keep], piece[keep], inside[keep]
-        doc, place, own = docs[piece], inside + offsets[piece], anchor[first]
-        if only is not None and common is not None and len(common) and (hot := _among(own, common)).any():
+        doc, place, own, digest = docs[piece], inside + offsets[piece], anchor[first], _digests(hashes, first, length)
+        if only is not None and common is not None and len(common) and (hot := _among(own >> _SHORT, common)).any():
             n = length[hot]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(first[hot], n) + step
             finer = anchor[at] ^ anchors(data, True)[at]
-            out.append(_cut_runs(np.repeat(doc[hot], n), np.repeat(place[hot], n) + step, finer))
-            doc, place, length, own = doc[~hot], place[~hot], length[~hot], own[~hot]
-        out.append(_split(doc, place, length, own))
+            cut = _cut_runs(np.repeat(doc[hot], n), np.repeat(place[hot], n) + step, finer)
+            out.append((*cut, np.full(len(cut[0]), _MIXED)))
+            doc, place, length, own, digest = (x[~hot] for x in (doc, place, length, own, digest))
+        out.append(_split(doc, place, length, own, digest))
 
     for number, text in enumerate(texts):
         for start in range(0, max(0, len(text) - LEAST + 1), CHUNK):
@@ -157,7 +190,7 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
     if held:
         flush()
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -168,81 +201,110 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _pack(anchor: np.ndarray, batch: np.ndarray, docs: np.ndarray) -> bytes:
-    """Ascending anchors with batch and document count; small differences squeeze well."""
-    steps = np.diff(anchor, prepend=np.uint64(0))
-    planes = [steps.view(np.uint8).reshape(-1, 8).T, batch.astype("<u4").view(np.uint8).reshape(-1, 4).T, docs[None, :]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes))
+#: what is known of an anchor in a batch: short anchor, batch, digest, least document, documents; and the bytes sent of each
+_KNOWN = (("<u8", 6), ("<u4", 4), ("<u8", 6), ("<i8", 8), ("u1", 1))
 
 
-def _unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8).reshape(13, -1)
-    steps = np.ascontiguousarray(planes[:8].T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(planes[8:12].T).view("<u4").ravel(), planes[12]
+def _pack(known: tuple[np.ndarray, ...]) -> bytes:
+    """Facts of ascending anchors; small differences and empty bytes squeeze well."""
+    steps = np.diff(known[0], prepend=np.uint64(0))
+    planes = [
+        np.ascontiguousarray(x.astype(t).view(np.uint8).reshape(len(x), -1)[:, :n].T)
+        for x, (t, n) in zip((steps, *known[1:]), _KNOWN)
+    ]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
-def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _unpack(content: bytes) -> tuple[np.ndarray, ...]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8)
+    planes, at, out = planes.reshape(sum(n for _, n in _KNOWN), -1), 0, []
+    for t, n in _KNOWN:
+        whole = np.zeros((planes.shape[1], np.dtype(t).itemsize), np.uint8)
+        whole[:, :n] = planes[at : at + n].T
+        out.append(whole.view(t).ravel())
+        at += n
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
-def _distinct(doc: np.ndarray, batch: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, batch, documents up to 255), ascending by anchor, of (doc, anchor) pairs."""
-    order = np.argsort(anchor, kind="stable")
-    a, b, d = anchor[order], batch[order], doc[order]
+def _bucket(short: np.ndarray, buckets: int) -> np.ndarray:
+    return ((short >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _one_or_mixed(digest: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The digest of each group that has just one."""
+    least = np.minimum.reduceat(digest, edge)
+    return np.where(least == np.maximum.reduceat(digest, edge), least, _MIXED)
+
+
+def _distinct(
+    doc: np.ndarray, batch: np.ndarray, short: np.ndarray, digest: np.ndarray, ords: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """(short anchor, batch, digest, least document, documents up to 255), ascending by anchor, of runs."""
+    order = np.argsort(short, kind="stable")
+    a, b, d = short[order], batch[order], doc[order]
     # few anchors come twice; only those are put in the order of batch and document
     again = np.r_[False, a[1:] == a[:-1]]
     again[:-1] |= again[1:].copy()
     some = np.flatnonzero(again)
-    some_order = some[np.lexsort((d[some], b[some], a[some]))]
-    b[some], d[some] = b[some_order], d[some_order]
+    in_order = np.lexsort((d[some], b[some], a[some]))
+    order[some] = order[some][in_order]
+    b, d = batch[order], doc[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    docs = np.add.reduceat(np.r_[True, new[1:] | (d[1:] != d[:-1])].astype(np.int64), np.flatnonzero(new))
-    return a[new], b[new], np.minimum(docs, 255).astype(np.uint8)
+    edge = np.flatnonzero(new)
+    docs = np.add.reduceat(np.r_[True, new[1:] | (d[1:] != d[:-1])].astype(np.int64), edge)
+    least = np.minimum.reduceat(ords[order], edge)
+    return a[new], b[new], _one_or_mixed(digest[order], edge), least, np.minimum(docs, 255).astype(np.uint8)
 
 
 def _anchor_rows(buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts, batch = rows.column(0).to_pylist(), rows.column(1).to_numpy()
-            doc, _, _, anchor = runs(texts)
+            texts, batch, ords = rows.column(0).to_pylist(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            doc, _, _, anchor, digest = runs(texts)
             if not len(doc):
                 continue
-            a, b, n = _distinct(doc, batch[doc], anchor)
-            bucket = _bucket(a, buckets)
+            known = _distinct(doc, batch[doc], anchor >> _SHORT, digest, ords[doc])
+            bucket = _bucket(known[0], buckets)
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            packed = [_pack(tuple(x[i:j] for x in known)) for i, j in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[edges[:-1]]),
-                    pa.array([_pack(a[i:j], b[i:j], n[i:j]) for i, j in zip(edges, edges[1:])], pa.binary()),
-                ],
-                names=["bucket", "packed"],
+                [pa.array(bucket[edges[:-1]]), pa.array(packed, pa.binary())], names=["bucket", "packed"]
             )
 
     return emit
 
 
+_LISTS_DDL = "batch bigint, anchors binary, common binary, equal binary, least binary"
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    """Per batch the anchors of one bucket that stand in two documents or more; of those the common ones."""
+    """Per batch the anchors of one bucket that stand in two documents or more.
+
+    ``anchors`` have different runs, ``common`` are the frequent ones of them.
+    Those in ``equal`` have one run everywhere, with the ``least`` document.
+    """
     parts = [_unpack(x.as_py()) for x in table.column("packed")]
-    anchor, batch, docs = (np.concatenate(c) for c in zip(*parts))
+    anchor, batch, digest, least, docs = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(anchor, kind="stable")
-    anchor, batch, docs = anchor[order], batch[order], docs[order]
+    anchor, batch, digest, least, docs = (x[order] for x in (anchor, batch, digest, least, docs))
     edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     size = np.diff(np.r_[edge, len(anchor)])
-    total = np.repeat(np.add.reduceat(docs.astype(np.int64), edge), size) if len(anchor) else np.zeros(0, np.int64)
-    keep = total >= 2
-    anchor, batch, common = anchor[keep], batch[keep], total[keep] > COMMON
-    order = np.argsort(batch, kind="stable")
-    anchor, batch, common = anchor[order], batch[order], common[order]
+    total = np.repeat(np.add.reduceat(docs.astype(np.int64), edge), size)
+    equal = np.repeat(_one_or_mixed(digest, edge), size) != _MIXED
+    first = np.repeat(np.minimum.reduceat(least, edge), size)
+    # the only document of a batch that is the least one has nothing to learn
+    keep = (total >= 2) & ~(equal & (docs == 1) & (least == first))
+    order = np.flatnonzero(keep)[np.argsort(batch[keep], kind="stable")]
+    anchor, batch, common, equal, first = (x[order] for x in (anchor, batch, total > COMMON, equal, first))
     edges = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1], True]) if len(batch) else np.zeros(1, int)
-    pairs = list(zip(edges[:-1], edges[1:]))
-    return pa.table(
-        {
-            "batch": pa.array([int(batch[i]) for i, _ in pairs], pa.int64()),
-            "anchors": pa.array([np.unique(anchor[i:j]).tobytes() for i, j in pairs], pa.binary()),
-            "common": pa.array([np.unique(anchor[i:j][common[i:j]]).tobytes() for i, j in pairs], pa.binary()),
-        }
-    )
+    out: dict[str, list] = {c: [] for c in ("batch", "anchors", "common", "equal", "least")}
+    for i, j in zip(edges[:-1], edges[1:]):
+        a, c, e, f = anchor[i:j], common[i:j], equal[i:j], first[i:j]
+        once, at = np.unique(a[e], return_index=True)
+        out["batch"].append(int(batch[i]))
+        for name, x in zip(("anchors", "common", "equal", "least"), (np.unique(a[~e]), np.unique(a[~e & c]), once, f[e][at])):
+            out[name].append(x.tobytes())
+    return pa.table({c: pa.array(x, pa.int64() if c == "batch" else pa.binary()) for c, x in out.items()})
 
 
 _RUNS = pa.schema([
@@ -276,33 +338,43 @@ def _batch_runs(parts: int):
     def emit(docs: pa.Table, lists: pa.Table) -> pa.Table:
         if not lists.num_rows or not docs.num_rows:
             return _RUNS.empty_table()
-        only, common = (
-            np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in lists.column(c)]))
-            for c in ("anchors", "common")
-        )
+
+        def listed(column: str, kind=np.uint64) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in lists.column(column)])
+
+        # an anchor is in the list of one bucket only
+        differ, common, equal, least_ord = np.sort(listed("anchors")), np.sort(listed("common")), listed("equal"), listed("least", np.int64)
+        order = np.argsort(equal)
+        equal, least_ord = equal[order], least_ord[order]
         texts, ords = docs.column("bytes").to_pylist(), docs.column("ord").to_numpy()
         batch, names = int(docs.column("batch")[0].as_py()), _numbers(docs)
-        doc, first, windows, anchor = runs(texts, common, only)
-        content = [texts[d][s : s + n + LEAST - 1] for d, s, n in zip(doc.tolist(), first.tolist(), windows.tolist())]
+        doc, first, windows, anchor, digest = runs(texts, common, np.sort(np.r_[differ, equal]))
+        own, short = ords[doc], anchor >> _SHORT
+        # a run cut by a second anchor has no digest, and its anchor is none of those looked for
+        alike = (digest != _MIXED) & _among(short, equal)
+        settled = np.zeros(len(doc), bool)
+        settled[alike] = own[alike] > least_ord[np.searchsorted(equal, short[alike])]
+        other = np.flatnonzero(~alike)
+        content = [texts[d][s : s + n + LEAST - 1] for d, s, n in zip(*(x[other].tolist() for x in (doc, first, windows)))]
         least: dict[tuple[int, bytes], int] = {}
-        own = ords[doc]
-        for a, c, o in zip(anchor.tolist(), content, own.tolist()):
+        for a, c, o in zip(anchor[other].tolist(), content, own[other].tolist()):
             if least.get((a, c), _LAST) >= o:
                 least[a, c] = o
-        settled = np.array([least[a, c] < o for a, c, o in zip(anchor.tolist(), content, own.tolist())], bool)
-        open_ = np.flatnonzero(~settled)
+        settled[other] = [least[a, c] < o for a, c, o in zip(anchor[other].tolist(), content, own[other].tolist())]
+        open_ = other[~settled[other]]
+        travel = [content[i] for i in np.flatnonzero(~settled[other])]
         row, start, stop = _merge(doc[settled], first[settled], first[settled] + windows[settled] + LEAST - 1)
         n = len(row)
         return pa.table(
             [
-                pa.array(np.r_[_bucket(anchor[open_], parts), names[row] % parts]),
+                pa.array(np.r_[_bucket(short[open_], parts), names[row] % parts]),
                 pa.array(np.r_[(anchor[open_] & _LOW).view(np.int64), np.zeros(n, np.int64)]),
                 pa.array(np.r_[own[open_], ords[row]]),
                 pa.array(np.full(len(open_) + n, batch)),
                 pa.array(np.r_[names[doc[open_]], names[row]]),
                 pa.array(np.r_[first[open_], start]),
                 pa.array(np.r_[windows[open_], stop - start]),  # settled spans carry their bytes' length
-                pa.array([content[i] for i in open_] + [None] * n, pa.binary()),
+                pa.array(travel + [None] * n, pa.binary()),
             ],
             schema=_RUNS,
         )
@@ -474,11 +546,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         {"ord": F.coalesce("key", F.lit(_LAST)), "row": F.xxhash64("key", "bytes")}
     )
     total = docs.agg(F.coalesce(F.sum(F.octet_length(utf8(text))), F.lit(0))).head()[0]
-    batches = min(MAX_BATCHES, -(-total // BATCH_BYTES) + 1)
+    batches = -(-total // BATCH_BYTES) + 1
     parts = -(-total // PART_BYTES) + 1
     dealt = given.withColumn("batch", F.pmod("row", F.lit(batches)))
-    packed = dealt.select("bytes", "batch").mapInArrow(_anchor_rows(parts), "bucket bigint, packed binary")
-    lists = packed.groupBy("bucket").applyInArrow(_repeated, "batch bigint, anchors binary, common binary")
+    packed = dealt.select("bytes", "batch", "ord").mapInArrow(_anchor_rows(parts), "bucket bigint, packed binary")
+    lists = packed.groupBy("bucket").applyInArrow(_repeated, _LISTS_DDL)
     by_batch = dealt.groupBy("batch")
     found = by_batch.cogroup(lists.groupBy("batch")).applyInArrow(_batch_runs(parts), _RUNS_DDL)
     spans = found.groupBy("part").applyInArrow(_decide, _SPANS_DDL)

@@ -310,7 +310,7 @@ def test_op10_steps_without_spark(monkeypatch, limits):
         {"key": [k for k, _ in pairs], "bytes": [t for _, t in pairs], "ord": [k for k, _ in pairs],
          "row": [k * 31 + 5 for k, _ in pairs], "batch": [k % batches for k, _ in pairs]}
     )
-    packed = pa.Table.from_batches(list(repeats._anchor_rows(2)(frame.select(["bytes", "batch"]).to_batches())))
+    packed = pa.Table.from_batches(list(repeats._anchor_rows(2)(frame.select(["bytes", "batch", "ord"]).to_batches())))
     buckets = packed.column("bucket").to_numpy()
     lists = pa.concat_tables([repeats._repeated(packed.filter(pa.array(buckets == b))) for b in set(buckets.tolist())])
     own = [frame.filter(pa.array(frame.column("batch").to_numpy() == b)) for b in range(batches)]
