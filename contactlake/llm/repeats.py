@@ -37,6 +37,8 @@ from contactlake.llm.rindex import RunIndex
 
 LEAST = 50
 ANCHOR = 20
+#: second anchors are longer, so that strings which share a common phrase only seldom meet again
+SECOND = 40
 #: windows in one run at most, so that a run is short even in monotonous texts
 RUN_WINDOWS = 256
 #: bytes of text in a batch and in a part
@@ -60,12 +62,12 @@ _SHORT = np.uint64(16)
 _MIXED = np.uint64(0)
 
 
-def _hashes(data: np.ndarray, odd: int) -> np.ndarray:
-    """A hash of each string of ANCHOR bytes, by doubling a polynomial's length."""
+def _hashes(data: np.ndarray, odd: int, width: int) -> np.ndarray:
+    """A hash of each string of ``width`` bytes, by doubling a polynomial's length."""
     step, out, size = data.astype(np.uint64) + np.uint64(1), None, 0
     step *= np.uint64(0x9E3779B97F4A7C15)
     step ^= step >> np.uint64(29)
-    length, bits = 1, ANCHOR
+    length, bits = 1, width
     while True:
         if bits & 1:
             if out is None:
@@ -93,13 +95,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
-def _windows(hashes: np.ndarray) -> np.ndarray:
-    return _least(hashes, LEAST - ANCHOR + 1) * np.uint64(0x9E3779B97F4A7C15)
+def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of every window of LEAST bytes, spread evenly over 64 bits."""
+    return _least(hashes, LEAST - width + 1) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def anchors(data: np.ndarray, second: bool = False) -> np.ndarray:
-    """The anchor of every window of LEAST bytes, spread evenly over 64 bits."""
-    return _windows(_hashes(data, _ODD[second]))
+def second_anchors(data: np.ndarray) -> np.ndarray:
+    return _windows(_hashes(data, _ODD[1], SECOND), SECOND)
 
 
 @cache
@@ -155,8 +157,8 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
         data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
         docs, offsets, lengths = (np.array(c, np.int64) for c in zip(*((d, s, len(t)) for d, s, t in held)))
         begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
-        hashes = _hashes(data, _ODD[0])
-        anchor = _windows(hashes)
+        hashes = _hashes(data, _ODD[0], ANCHOR)
+        anchor = _windows(hashes, ANCHOR)
         new = np.r_[True, anchor[1:] != anchor[:-1]]
         new[begin] = True
         new[(begin + windows)[:-1]] = True  # windows from here on reach into the next text
@@ -173,7 +175,7 @@ def runs(texts: list[bytes], common: np.ndarray | None = None, only: np.ndarray
             n = length[hot]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(first[hot], n) + step
-            finer = anchor[at] ^ anchors(data, True)[at]
+            finer = anchor[at] ^ second_anchors(data)[at]
             cut = _cut_runs(np.repeat(doc[hot], n), np.repeat(place[hot], n) + step, finer)
             out.append((*cut, np.full(len(cut[0]), _MIXED)))
             doc, place, length, own, digest = (x[~hot] for x in (doc, place, length, own, digest))
@@ -403,7 +405,7 @@ def _seen_windows(content: list[bytes], group: np.ndarray, least: np.ndarray) ->
     begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
     own = np.repeat(np.arange(len(content)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    second = anchors(np.frombuffer(b"".join(content), np.uint8), True)[place + begin[own]]
+    second = second_anchors(np.frombuffer(b"".join(content), np.uint8))[place + begin[own]]
     own, place, size, second = _cut_runs(own, place, second)
     key = second ^ group[own].astype(np.uint64) * np.uint64(_ODD[0])
     order = np.lexsort((own, key))
