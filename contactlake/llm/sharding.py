@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from contactlake.llm.common import utf8
+from contactlake.llm.common import fresh, utf8
 from contactlake.session import Scratch
 
 SHARDS = 24
@@ -110,6 +110,11 @@ def assign_shards(
     their largest rows; ``slot`` counts a shard's rows from 0 without gaps. An
     empty table gives an empty result; with few rows some shards stay empty.
     """
+    return _place(docs, shards, key, text, F.monotonically_increasing_id()).drop("seq")
+
+
+def _place(docs: DataFrame, shards: int, key: str, text: str, number: Column) -> DataFrame:
+    """The shards of ``assign_shards`` with each row's own number as ``seq``."""
     scratch = Scratch(docs.sparkSession, "shards")
     keyed = docs.select(
         F.col(key).alias("key"),
@@ -117,7 +122,7 @@ def assign_shards(
         F.crc32(utf8(text)).alias("text_crc32"),
         F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"),
         F.xxhash64(text).alias("tie"),
-        F.monotonically_increasing_id().alias("seq"),  # stored below, so it is the same in every later job
+        number.alias("seq"),  # stored below, so it is the same in every later job
     )
     rows = scratch.put("rows", keyed)
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).head()
@@ -147,16 +152,22 @@ def assign_shards(
         .join(F.broadcast(pieces), ["shard", "range"])
         .select(
             F.col("key").alias(key), "size", "text_crc32", "shard",
-            (F.col("ahead") + F.col("rank") - 1).cast("bigint").alias("slot"),
+            (F.col("ahead") + F.col("rank") - 1).cast("bigint").alias("slot"), "seq",
         )
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows under ``shard=N`` folders, in slot order within each file.
+    """Write the rows under ``shard=N`` folders, each file a run of a shard's slots in order.
 
-    Keys must be unique and not null here, since a row finds its shard by key.
+    Rows find their shard by a number of their own that is stored with them, so
+    null and repeated keys and repeated rows keep their count. Columns named
+    ``shard`` and ``slot`` are replaced. An empty table writes no file of rows.
     """
-    placed = assign_shards(docs, shards, key, text).select(F.col(key).alias("_shard_key"), "shard", "slot")
-    joined = docs.drop("shard", "slot").join(placed, F.col(key) == F.col("_shard_key")).drop("_shard_key")
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    given = docs.drop("shard", "slot")
+    number = fresh(given, "_row")
+    numbered = given.withColumn(number, F.monotonically_increasing_id())
+    rows = Scratch(docs.sparkSession, "numbered").put("rows", numbered)
+    placed = _place(rows, shards, key, text, F.col(number)).select(F.col("seq").alias(number), "shard", "slot")
+    joined = rows.join(placed, number).drop(number)
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
