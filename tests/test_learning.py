@@ -1,7 +1,10 @@
 """Healing against a batch-by-batch run, and inference with memory, feedback and assignment."""
 
+import hashlib
 import itertools
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +197,18 @@ def test_memory_of_no_rows_and_short_descriptions(spark):
     some = known.select(F.col("id").alias("asked"), "vector")
     assert memory.similar(known.limit(0), some).isEmpty()
     assert memory.similar(known, some).groupBy("asked").count().filter("count = 3").count() == 3
+
+
+def test_a_description_is_hashed_once(spark):
+    texts = ["", "ab", "abc", "aaaaaa", "Customer#000000123 BUILDING", "née 🚀 x1"]
+
+    def counters(text: str) -> list[tuple[int, int]]:
+        text = re.sub("[0-9]", "0", text.lower())
+        grams = [text[i : i + memory.GRAM] for i in range(len(text) - memory.GRAM + 1)]
+        found = Counter(int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % memory.DIMENSIONS for g in grams)
+        return sorted(found.items())
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", memory.text_vector(F.col("t")).alias("v"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert plan.count("md5(") == 1
+    assert {r.t: [(e.dim, e.n) for e in r.v] for r in frame.collect()} == {t: counters(t) for t in texts}
