@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.oracle import compare, connect
+from workload import queries as workload
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -34,3 +35,11 @@ def test_entry(spark):
     rows = entry(spark).collect()
     assert [r.source for r in rows] == ["facebook", "google_form", "instagram", "landing_page"]
     assert all(r.clean > 0 and r.flagged > 0 for r in rows)
+
+
+def test_leads_are_cleaned_without_a_copy_of_the_feed(spark, tmp_path):
+    orders = spark.range(40).selectExpr("id as o_orderkey", "timestamp'2026-01-01 10:00:00' as o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = workload.leads(spark, str(tmp_path))
+    assert found.count() > 0
+    assert not any(key[1] == str(tmp_path) and key[2].startswith("raw") for key in workload._STORED)
