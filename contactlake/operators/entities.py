@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from contactlake import vocab
 from contactlake.functions.similarity import names_match, sorted_tokens
-from contactlake.operators.skew import HEAVY_FLOOR, attach_facts
+from contactlake.operators.skew import HEAVY_FLOOR, attach_facts, heavy_cut
 from contactlake.session import Scratch
 
 KEYS = ("phone_e164", "email")
@@ -35,8 +36,8 @@ def block_pairs(
 ) -> DataFrame:
     """Each lead of a block paired with the first one (by ``lead_id``).
 
-    All keys are blocked in one pass. The names travel with their tokens
-    sorted, so that this is done once per lead.
+    All keys are blocked in one pass, and a row is shuffled once. The names
+    travel with their tokens sorted, so that this is done once per lead.
     """
     entries = F.array(*[F.struct(F.lit(k).alias("block"), F.col(k).alias("value")) for k in keys])
     keyed = (
@@ -44,20 +45,23 @@ def block_pairs(
         .select("_e.block", "_e.value", "lead_id", "name")
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
     )
-    blocks = (
-        keyed.groupBy("block", "value")
-        .agg(F.min(F.struct("lead_id", "name")).alias("_first"), F.count(F.lit(1)).alias("_size"))
-        .filter(F.col("_size") > 1)
-        .select(
-            "block", "value", "_size",
-            F.col("_first.lead_id").alias("first_id"), F.col("_first.name").alias("first_name"),
-        )
-    )
-    return (
-        attach_facts(keyed, blocks, ["block", "value"], "_size", len(keys) * total_rows, heavy_floor)
-        .filter(F.col("lead_id") != F.col("first_id"))
-        .select("block", "first_id", "first_name", "lead_id", "name")
-    )
+    block = ["block", "value"]
+
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("lead_id") != F.col("first_id")).select("block", "first_id", "first_name", "lead_id", "name")
+
+    in_order = Window.partitionBy(*block).orderBy("lead_id", "name").rowsBetween(Window.unboundedPreceding, 0)
+    first = {"first_id": F.first("lead_id").over(in_order), "first_name": F.first("name").over(in_order)}
+    cut = heavy_cut(len(keys) * total_rows, heavy_floor)
+    if len(keys) * total_rows <= cut:
+        return paired(keyed.withColumns(first))
+    # rows of hot blocks do not enter the shuffle; only counts tell which those are
+    hot = F.broadcast(keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > cut).select(*block))
+    light = keyed.join(hot, block, "left_anti").withColumns(first)
+    heavy = keyed.join(hot, block)
+    least = heavy.groupBy(*block).agg(F.min(F.struct("lead_id", "name")).alias("_first"))
+    firsts = least.select(*block, F.col("_first.lead_id").alias("first_id"), F.col("_first.name").alias("first_name"))
+    return paired(light).unionByName(paired(heavy.join(F.broadcast(firsts), block)))
 
 
 def match_pairs(pairs: DataFrame, minimum: float = vocab.NAME_SIMILARITY_MIN) -> DataFrame:
@@ -65,12 +69,26 @@ def match_pairs(pairs: DataFrame, minimum: float = vocab.NAME_SIMILARITY_MIN) ->
     return pairs.filter(names_match(F.col("first_name"), F.col("name"), minimum))
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Whether every node has one parent and no parent is a child."""
-    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    parents = edges.select(F.col("b").alias("a")).distinct()
-    inner = parents.join(edges.select("a"), "a", "left_semi")
-    return several.unionByName(inner).isEmpty()
+def _settled(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
+    """Edges (a, b), ``b`` the lesser end, with ``done``: their component is a star around ``b``.
+
+    Every node of a star but its centre has one edge. So an edge votes against
+    its centre if its other end has more than one, and against that end as a
+    centre of its own.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    degrees = ends.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("_size"))
+    leaf = (F.col("_size") == 1).alias("leaf")
+    ended = attach_facts(edges, degrees, ["a"], "_size", 2 * total, heavy_floor).select("a", "b", leaf)
+    ballots = F.array(
+        F.struct(F.col("b").alias("centre"), F.col("leaf").alias("star")),
+        F.when(~F.col("leaf"), F.struct(F.col("a").alias("centre"), F.lit(False).alias("star"))),
+    )
+    votes = ended.select(F.explode(F.array_compact(ballots)).alias("_v")).select("_v.*")
+    centres = votes.groupBy(F.col("centre").alias("b")).agg(
+        F.bool_and("star").alias("done"), F.count(F.lit(1)).alias("_size")
+    )
+    return attach_facts(edges, centres, ["b"], "_size", 2 * total, heavy_floor).select("a", "b", "done")
 
 
 def _attach_minimum(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
@@ -103,25 +121,31 @@ def connected_components(
 
     Alternating large-star and small-star steps: every edge is moved to the
     least neighbour until all components are stars around their least node.
-    Each round is written to the shared scratch folder, which cuts the lineage
-    and survives lost executors; the loop ends when only stars are left, which
-    takes a number of rounds in the order of the logarithm of the edges.
+    Components that are stars are set aside, so a round works on the others
+    only. Each round is written to the shared scratch folder, which cuts the
+    lineage and survives lost executors; the rounds are in the order of the
+    logarithm of the edges.
     """
-    current = scratch.put("edges-0", edges.filter("a <> b").select("a", "b").distinct())
+    pair = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    current = scratch.put("edges-0", edges.filter("a <> b").select(*pair).distinct())
+    stars = []
     i, most = 0, None
     while total := current.count():
         i, most = i + 1, most or 10 + 4 * total.bit_length()
         if i > most:
             raise RuntimeError(f"components not stable after {most} rounds")
-        moved = _large_star(current, total, heavy_floor)
-        following = scratch.put(f"edges-{i}", _small_star(moved, total, heavy_floor))
+        judged = scratch.put(f"judged-{i}", _settled(current, total, heavy_floor))
         scratch.drop(f"edges-{i - 1}")
-        current = following
-        if _is_star_forest(current):
+        stars.append(judged.filter("done").select("a", "b"))
+        left = judged.filter("not done").select("a", "b")
+        if not (total := left.count()):
             break
+        moved = _large_star(left, total, heavy_floor)
+        current = scratch.put(f"edges-{i}", _small_star(moved, total, heavy_floor))
     # Every component is now a star: members point at the root.
-    members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    every = reduce(DataFrame.unionByName, stars or [current])
+    members = every.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = every.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)
 
 

@@ -146,3 +146,30 @@ def test_upsert(spark):
     got = sorted(tuple(r) for r in upsert(old, new).collect())
     assert got == [("a", 1, 1), ("b", 3, 3), ("c", 1, 2)]
     assert latest_by_key(new, "lead_id", "ingested_at").count() == 2
+
+
+def test_finished_stars_take_no_further_round(spark, monkeypatch):
+    stars = [(f"a{i:03}", f"b{i:03}-{j}") for i in range(100) for j in range(3)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(7)]
+    seen, large_star = [], entities._large_star
+
+    def counted(edges, *others):
+        seen.append(edges.count())
+        return large_star(edges, *others)
+
+    monkeypatch.setattr(entities, "_large_star", counted)
+    got = entities.connected_components(spark.createDataFrame(stars + chain, "a string, b string"), Scratch(spark, "test"))
+    assert {r.node: r.component for r in got.collect()} == union_find(stars + chain)
+    assert seen and max(seen) <= len(chain)
+
+
+def test_block_rows_are_shuffled_once(spark):
+    rows = [("b", "Ann Lee", "1", "x"), ("a", "Lee Ann", "1", None), ("c", "Bo", None, "x"), ("d", "Cy", "", "y"), (None, "Di", "2", "y")]
+    cands = spark.createDataFrame(rows, "lead_id string, name string, phone_e164 string, email string")
+    want = {("phone_e164", "a", "Ann Lee", "b", "Ann Lee"), ("email", "b", "Ann Lee", "c", "Bo")}
+    for floor in (1_000_000, 1):  # 1: every block of several leads is a hot one
+        pairs = entities.block_pairs(cands, len(rows), heavy_floor=floor)
+        assert {tuple(r) for r in pairs.collect()} == want
+    light = entities.block_pairs(cands, len(rows))
+    plan = light._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "Join" not in plan and "Aggregate" not in plan
