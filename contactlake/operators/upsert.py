@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def latest_by_key(df: DataFrame, key: str, version: str | Sequence[str]) -> DataFrame:
+def latest_by_key(df: DataFrame, key: str | Sequence[str], version: str | Sequence[str]) -> DataFrame:
     """The row with the greatest ``version`` of each key; ties go to the greatest row.
 
     An aggregate, not a window: a key with very many versions is reduced in
     every task before the shuffle.
     """
-    others = [c for c in df.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in others])
     versions = [version] if isinstance(version, str) else list(version)
-    comparable = [F.to_json(c) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in df.dtypes if c != key]
+    comparable = [F.to_json(c) if kind.startswith(("map", "variant")) else F.col(c) for c, kind in df.dtypes if c not in keys]
     rank = F.struct(*versions, F.struct(*comparable))
-    best = df.groupBy(key).agg(F.max_by(row, rank).alias("_row"))
-    return best.select(key, "_row.*").select(*df.columns)
+    best = df.groupBy(*keys).agg(F.max_by(row, rank).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
 
 
 def upsert(

@@ -20,6 +20,8 @@ from contactlake.session import Scratch
 from contactlake.sources.feeds import exists
 
 RUN = "run"
+#: what the rows of a leads table are shuffled by
+PLACE = ("bucket", "slice")
 
 
 class RunTable:
@@ -61,7 +63,8 @@ class LeadsTable:
     pieces that hold an id which it replaces; marking rewrites only pieces with
     a changed row. Buckets of more than ``MAX_PIECES`` pieces are joined on
     that occasion, and pieces that the last ``KEEP_VERSIONS`` versions do not
-    list are deleted. There is one writer at a time.
+    list are deleted. There is one writer at a time. Rows are shuffled once per
+    write; up to ``SLICES`` tasks share a bucket, so a large one is no burden.
 
     Frequent small loads (micro-batches) append to a ``RunTable`` instead and
     resolve the latest row per id when reading (``latest_by_key``).
@@ -69,6 +72,7 @@ class LeadsTable:
 
     ROWS_PER_BUCKET, MAX_BUCKETS = 2_000_000, 20_000
     MAX_PIECES, KEEP_VERSIONS = 8, 2
+    SLICES = 8
     MANIFEST = "bucket int, folder string, rows bigint, buckets int"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
@@ -137,9 +141,8 @@ class LeadsTable:
         """The pieces with a row of these ids; only the id column is read."""
         if not pieces:
             return []
-        folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/bucket=[0-9]+)/[^/]+$", 1)
         found = (
-            self._rows(pieces).select("lead_id", folder.alias("folder")).join(ids.select("lead_id"), "lead_id", "left_semi")
+            self._rows(pieces).select("lead_id", self._folder()).join(ids.select("lead_id"), "lead_id", "left_semi")
             .select("folder").distinct().collect()
         )
         hit = {r.folder for r in found}
@@ -147,14 +150,27 @@ class LeadsTable:
 
     # -- writing -------------------------------------------------------------
 
-    def _bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64("lead_id"), F.lit(buckets)).cast("int")
+    def _folder(self) -> Column:
+        """The folder of the piece a row was read from."""
+        return F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -3), "/", 2).alias("folder")
 
-    def _write(self, rows: DataFrame, name: str, buckets: int) -> list[Piece]:
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """Rows shuffled to where they are written: by ``PLACE``, a bucket and one of its slices."""
+        bucket = F.pmod(F.xxhash64("lead_id"), F.lit(buckets)).cast("int")
+        slice_ = F.pmod(F.hash("lead_id"), F.lit(self.SLICES)).cast("int")
+        return rows.withColumns({"bucket": bucket, "slice": slice_}).repartition(*PLACE)
+
+    def _write(self, dealt: DataFrame, name: str) -> list[Piece]:
         folder = f"{self.path}/data/{name}"
-        rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(folder)
+        rows = dealt.select(*model.LEADS.fieldNames(), "bucket")
+        # both sides of a join with dealt rows keep their places
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+        finally:
+            self.spark.conf.set(setting, before)
         if not exists(self.spark, f"{folder}/bucket=*"):
             return []
         written = self.spark.read.schema("bucket int").parquet(folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -163,39 +179,47 @@ class LeadsTable:
     def replace(self, leads: DataFrame) -> DataFrame:
         """Write a whole new version; the number of buckets follows its rows."""
         version = (self._versions() or [0])[-1] + 1
+        buckets = self._wanted or min(self.MAX_BUCKETS, 1 + leads.count() // self.ROWS_PER_BUCKET)
         rows = model.conform(leads, model.LEADS)
-        buckets = self._wanted or min(self.MAX_BUCKETS, 1 + rows.count() // self.ROWS_PER_BUCKET)
-        self._commit(version, self._write(rows, f"{version:09d}-all", buckets), buckets)
+        self._commit(version, self._write(self._dealt(rows, buckets), f"{version:09d}-all"), buckets)
         return self.read()
 
     def insert(self, leads: DataFrame) -> DataFrame:
         """Replace by id; of several new rows of one id the last in the feed counts."""
         ordered = ["ingested_at", "seq"] if "seq" in leads.columns else ["ingested_at"]
-        new = latest_by_key(leads, "lead_id", ordered)
         pieces, buckets = self.pieces(), self.buckets()
-        if not buckets:
-            return self.replace(new)
-        version = self._versions()[-1] + 1
-        added = self._write(model.conform(new, model.LEADS), f"{version:09d}-new", buckets)
+        first = not buckets
+        buckets = buckets or self._wanted or min(self.MAX_BUCKETS, 1 + leads.count() // self.ROWS_PER_BUCKET)
+        version = (self._versions() or [0])[-1] + 1
+        # the latest rows are found where they are written
+        new = latest_by_key(self._dealt(leads, buckets), ["lead_id", *PLACE], ordered)
+        rows = model.conform(new, T.StructType([*model.LEADS.fields, *[T.StructField(c, T.IntegerType()) for c in PLACE]]))
+        added = self._write(rows, f"{version:09d}-{'all' if first else 'new'}")
+        if first:
+            self._commit(version, added, buckets)
+            return self.read()
         touched = {p.bucket for p in added}
         ids = self._rows(added).select("lead_id")
         old = self._holding([p for p in pieces if p.bucket in touched], ids)
-        return self._rewritten(version, pieces, old, added, buckets, lambda df: df.join(ids, "lead_id", "left_anti"))
+        return self._rewritten(version, pieces, old, added, buckets, self._without(ids, buckets))
+
+    def _without(self, ids: DataFrame, buckets: int) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.join(self._dealt(ids, buckets), [*PLACE, "lead_id"], "left_anti")
 
     def mark(self, ids: DataFrame, status: str = "duplicate") -> DataFrame:
         """Give the leads of these ids another status; those that have it already are left alone."""
         pieces, buckets = self.pieces(), self.buckets()
         if not buckets:
             return self.read()
-        ids = ids.select("lead_id").distinct()
-        other = self._rows(pieces).filter(~F.col("status").eqNullSafe(status)).select("lead_id")
-        changed = Scratch(self.spark, "marks").put("ids", other.join(ids, "lead_id", "left_semi"))
-        old = self._holding(pieces, changed)
-        hit = changed.withColumn("_hit", F.lit(True))
+        other = self._rows(pieces).filter(~F.col("status").eqNullSafe(status)).select("lead_id", self._folder())
+        changed = Scratch(self.spark, "marks").put("ids", other.join(ids.select("lead_id"), "lead_id", "left_semi"))
+        folders = {r.folder for r in changed.select("folder").distinct().collect()}
+        old = [p for p in pieces if p.folder in folders]
+        hit = self._dealt(changed.select("lead_id"), buckets).withColumn("_hit", F.lit(True))
 
         def marked(df: DataFrame) -> DataFrame:
             new = F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))
-            return df.join(hit, "lead_id", "left").withColumn("status", new).drop("_hit")
+            return df.join(hit, [*PLACE, "lead_id"], "left").withColumn("status", new).drop("_hit")
 
         return self._rewritten(self._versions()[-1] + 1, pieces, old, [], buckets, marked)
 
@@ -209,7 +233,7 @@ class LeadsTable:
         crowd = Counter(p.bucket for p in [*pieces, *added])
         touched = {p.bucket for p in [*old, *added]}
         old = [p for p in pieces if p in old or (p.bucket in touched and crowd[p.bucket] > self.MAX_PIECES)]
-        changed = self._write(change(self._rows(old)), f"{version:09d}-old", buckets) if old else []
+        changed = self._write(change(self._dealt(self._rows(old), buckets)), f"{version:09d}-old") if old else []
         self._commit(version, [p for p in pieces if p not in old] + changed + added, buckets)
         return self.read()
 

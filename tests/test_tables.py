@@ -69,3 +69,21 @@ def test_empty_tables(spark, tmp_path):
     table.insert(leads(spark, [1], "a"))
     table.insert(leads(spark, [], "b"))
     assert contents(table) == {"id-1": ("a", "clean")}
+
+
+def test_rows_are_shuffled_once_a_write(spark, tmp_path, monkeypatch):
+    plans, write = [], LeadsTable._write
+
+    def watched(self, rows, *others):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, *others)
+
+    monkeypatch.setattr(LeadsTable, "_write", watched)
+    table = LeadsTable(spark, str(tmp_path / "leads"), buckets=2)
+    table.insert(leads(spark, range(100), "a"))
+    new = leads(spark, [7, 8], "b", 2)
+    table.insert(new.unionByName(leads(spark, [7], "c", 3)))
+    got = {r.lead_id: r.campaign_id for r in table.read().collect()}
+    assert len(got) == 100 and sorted(got.values())[-2:] == ["b", "c"]
+    for plan in (plans[0], plans[1]):
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(bucket" in plan
