@@ -245,13 +245,13 @@ def drift_report(
     if health is None:
         health = batch_health(df, mappings, route, sources)
     drifted = health.filter("drifted").select(*BATCH, "n", "failed", "dead_fields")
-    inside = df.join(drifted.select(*BATCH), list(BATCH), "left_semi")
+    # taken of all batches, a few values of each: rows do not move to meet the drifted ones
     unmapped = (
-        unmapped_fields(inside, mappings, route, order)
+        unmapped_fields(df, mappings, route, order)
         .groupBy(*BATCH)
         .agg(F.sort_array(F.collect_list("field")).alias("unmapped"))
     )
-    failing = inside.filter(F.col("rec").isNotNull()).select(
+    failing = df.filter(F.col("rec").isNotNull()).select(
         *BATCH, order, record_error(mappings, route, sources).alias("error")
     ).filter("error is not null")
     errors = (
@@ -260,7 +260,7 @@ def drift_report(
         .agg(F.sort_array(F.collect_list(F.struct(order, "error"))).alias("_errors"))
         .select(*BATCH, F.transform("_errors", lambda e: e["error"]).alias("errors"))
     )
-    first = inside.filter(F.col(order) == 0).select(
+    first = df.filter(F.col(order) == 0).select(
         *BATCH, F.sort_array(F.map_keys("rec")).alias("first_keys"), F.col(route).alias("_route")
     )
     texts = {

@@ -183,3 +183,12 @@ def test_memory_helps_inference(spark):
     memory = spark.createDataFrame([("kontakt", "email")], "field string, transform string")
     got = {r.field: r.transform for r in inference.infer_mapping(profile, memory, attempt=2).collect()}
     assert got["kontakt"] == "email"
+
+
+def test_the_report_moves_no_records(spark):
+    rows = [("facebook", i // 4, i % 4, i, {"nom" if i >= 4 else "full_name": "Ann", "email": "a@acme.com"}) for i in range(8)]
+    batches = spark.createDataFrame(rows, "source string, batch_id bigint, batch_pos bigint, seq bigint, rec map<string,string>")
+    report = drift.drift_report(batches, {"facebook": {"full_name": "split_full_name", "email": "email"}})
+    (row,) = report.collect()
+    assert (row.batch_id, row.unmapped, row.first_keys) == (1, ["nom"], ["email", "nom"])
+    assert "LeftSemi" not in report._jdf.queryExecution().optimizedPlan().toString()

@@ -249,7 +249,7 @@ def feed_lines(spark: SparkSession, sf_dir: str, drift: bool = False) -> DataFra
 
 
 def parse_feed(lines: DataFrame) -> DataFrame:
-    """``(source, seq, raw_line, raw_payload, rec)`` in one pass over the lines."""
+    """``(source, seq, raw_line, raw_payload, rec)`` in one pass over the lines, and what else they bring."""
     is_csv = F.col("source").isin(*CSV_HEADERS)
     json_only = lines.withColumn("_json", F.when(~is_csv, F.col("raw_line")))
     parsed = records.with_record(json_only, "_json")
@@ -264,6 +264,7 @@ def parse_feed(lines: DataFrame) -> DataFrame:
         "raw_line",
         F.when(F.col("source") == "landing_page", F.col("raw_line")).alias("raw_payload"),
         rec.alias("rec"),
+        *[c for c in lines.columns if c not in ("source", "seq", "raw_line")],
     )
 
 
