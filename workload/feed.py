@@ -43,6 +43,8 @@ CSV_HEADERS = {
     ],
 }
 INGEST_TS = "2026-08-01 00:00:00"
+#: rows of the feed that are worth a task of their own, and tasks per core beyond which they grow instead
+ROWS_PER_TASK, TASKS_PER_CORE = 10_000, 3
 
 
 def ingest_ts() -> Column:
@@ -57,10 +59,20 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a few narrow columns in the order of a key, in as many tasks as serve the cores.
+
+    A scan has no more tasks with rows than its file has row groups, and what
+    follows here costs far more than the scan.
+    """
+    tasks = min(-(-rows.count() // ROWS_PER_TASK), TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(max(1, tasks), key).sortWithinPartitions(key)
+
+
 def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw field values of every row, before rendering."""
     seq = F.col("seq")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), "o_orderdate")
+    orders = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), "o_orderdate"), "seq")
     # persons come alone, in twos and in threes: the last rows of every nine repeat an earlier one
     place = seq % 9
     base = orders.select(
