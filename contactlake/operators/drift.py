@@ -175,23 +175,28 @@ def signatures(
     ``fields`` holds (field, present, late); ``first_keys`` the keys of the
     first record; ``layout`` is a digest of the fields that no mapping would
     miss; ``late`` tells whether some field alone could fail the batch. Only
-    counters are shuffled, a row per task, batch and field.
+    counters are shuffled, a row per task, batch and field; the records are
+    read once.
     """
     none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
     readable = df.filter(F.col("rec").isNotNull())
     # one more cell per record counts the records
-    cells = readable.select(*BATCH, F.explode(F.array_append(F.map_entries("rec"), none)).alias("_cell"))
+    leads = (F.col(order) == 0).alias("_leads")
+    cells = readable.select(*BATCH, leads, F.explode(F.array_append(F.map_entries("rec"), none)).alias("_cell"))
     counted = cells.groupBy(*BATCH, F.col("_cell.key").alias("field")).agg(
         F.count(F.lit(1)).alias("present"),
         F.count(F.when(too_late(F.col("_cell.value")), True)).alias("late"),
+        F.coalesce(F.max("_leads"), F.lit(False)).alias("leads"),
     )
     cell = F.struct("field", "present", "late")
+    named = F.col("field").isNotNull()
     batches = counted.groupBy(*BATCH).agg(
-        F.max(F.when(F.col("field").isNull(), F.col("present"))).alias("n"),
-        F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), cell))).alias("fields"),
+        F.max(F.when(~named, F.col("present"))).alias("n"),
+        F.sort_array(F.collect_list(F.when(named, cell))).alias("fields"),
+        F.max("leads").alias("_first"),
+        F.sort_array(F.collect_list(F.when(named & F.col("leads"), F.col("field")))).alias("_keys"),
     )
-    first = readable.filter(F.col(order) == 0).select(*BATCH, F.sort_array(F.map_keys("rec")).alias("first_keys"))
-    batches = batches.join(first, list(BATCH), "left")
+    batches = batches.withColumn("first_keys", F.when(F.col("_first"), F.col("_keys")))
     n = F.col("n")
     alive = F.filter("fields", lambda c: (n - c["present"]) / n <= missing_over)
     return batches.select(

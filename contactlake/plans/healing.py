@@ -419,16 +419,18 @@ def heal(
     leads = stored.filter("valid").drop("valid", "violations")
     failed = stored.filter("NOT valid").drop("valid")
 
-    given_up = routed.filter(F.col("rec").isNotNull() & F.col("_route").isNull())
-    queued = given_up.select("source", F.col("_reason").alias("reason"), payload_of(F.col("rec")).alias("raw_payload"))
-    unreadable = df.filter(F.col("rec").isNull()).select(
-        "source", F.lit("unreadable record").alias("reason"), F.to_json(F.struct("raw_line")).alias("raw_payload")
+    # unreadable records and those of batches that were given up, in one scan
+    lost = F.col("rec").isNull()
+    queued = routed.filter(lost | F.col("_route").isNull()).select(
+        "source",
+        F.when(lost, F.lit("unreadable record")).otherwise(F.col("_reason")).alias("reason"),
+        F.when(lost, F.to_json(F.struct("raw_line"))).otherwise(payload_of(F.col("rec"))).alias("raw_payload"),
     )
     broken = failed.select(
         "source",
         F.concat(F.lit("row validation failed: "), F.array_join("violations", ", ")).alias("reason"),
         "raw_payload",
     )
-    review = model.review_rows(queued.unionByName(unreadable).unionByName(broken), ingest_ts)
+    review = model.review_rows(queued.unionByName(broken), ingest_ts)
     events = log.filter("kind = 'event'").select(*BATCH, "step", "event", "attempt", "detail", "mapping")
     return Healed(leads, review, events, segments, {r.source: as_mapping(r.mapping) for r in ends}, profiles, stored)

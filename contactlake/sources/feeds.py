@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from contactlake.functions import text
 from contactlake.operators import records
 from contactlake.operators.positions import run_positions, with_position
-from contactlake.session import Scratch
+from contactlake.session import Scratch, unsorted_write
 
 JSON_LINES, CSV = "jsonl", "csv"
 COLUMNS = ("source", "seq", "raw_line", "raw_payload", "rec", "file", "block")
@@ -149,10 +149,11 @@ def land(df: DataFrame, path: str) -> DataFrame:
     """Write the parsed feed once, partitioned by source, and read it back.
 
     Later jobs see the same ``seq`` whatever the cluster size, and filters on
-    the source prune folders. Rows are sorted where they were read.
+    the source prune folders. Rows keep the order in which they were read.
     """
-    df.sortWithinPartitions("source", "seq").write.mode("overwrite").partitionBy("source").parquet(path)
     spark = df.sparkSession
+    with unsorted_write(spark):
+        df.write.mode("overwrite").partitionBy("source").parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
