@@ -27,6 +27,8 @@ REMEMBERED = 250_000
 GATHERED = 1 << 18
 #: an id is an unsigned little-endian integer of so many bytes
 ID_BYTES = 4
+#: a run of these behind letters, with nothing after it, is a pre-token of its own
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 UNKNOWN_PIECE = ""
 
 
@@ -97,16 +99,12 @@ class _Memory(dict):
             self.older = dict(self)
             self.clear()
 
-    def unknown(self, wanted: Iterable[str]) -> list[str]:
-        """Those of the different strings that are new; the others are in the younger generation afterwards."""
-        older, new = self.older, []
-        for string in wanted:
-            if string not in self:
-                if (known := older.get(string)) is None:
-                    new.append(string)
-                else:
-                    self[string] = known
-        return new
+    def unknown(self, wanted: set[str]) -> list[str]:
+        """Those of the strings that are new; the others are in the younger generation afterwards."""
+        missing = wanted.difference(self)
+        again = missing.intersection(self.older)
+        self.update(zip(again, map(self.older.__getitem__, again)))
+        return list(missing - again)
 
 
 class Encoder:
@@ -124,8 +122,9 @@ class Encoder:
         """The pre-tokens of a part that a space or, as its first character, a line break sets off."""
         if span.isalpha():  # the letters of the pattern
             return [" " + span]
-        if span[-1:] in {",", "."} and span[:-1].isalpha():
-            return [" " + span[:-1], span[-1]]
+        head = span.rstrip(MARKS)
+        if len(head) < len(span) and head.isalpha():
+            return [" " + head, span[len(head) :]]
         return self.pattern.findall(span if span[:1] == "\n" else " " + span)
 
     def _merge(self, wanted: Iterable[str]) -> None:

@@ -46,6 +46,8 @@ BLOCK_BYTES = 1 << 20
 REMEMBERED = 250_000
 #: words of letters that are encoded in one call
 TOGETHER = 50
+#: a run of these behind letters is a pre-token of its own
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 _BLOCKS = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
@@ -78,6 +80,9 @@ class WordEncoder:
         described = json.loads(tokenizer)
         suffix = described["model"].get("end_of_word_suffix") or "\0"
         self.literals = [t["content"] for t in described.get("added_tokens") or []]
+        # letters with marks behind them are only cut where no literal can stand in them
+        cuttable = not any(x.rstrip(MARKS).isalpha() or not x.rstrip(MARKS) for x in self.literals)
+        self.marks = MARKS if cuttable else ""
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
@@ -94,10 +99,10 @@ class WordEncoder:
         """Words of letters only are one run of ids each, whose last one ends a word: many are encoded at once."""
         for i in range(0, len(words), TOGETHER):
             some = words[i : i + TOGETHER]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
-            if len(stops) == len(some) and stops[-1] == len(ids) * self.width:
-                content, cuts = self._bytes(ids), [0, *stops.tolist()]
+            if len(stops) == len(some) and stops[-1] == ids.nbytes:
+                content, cuts = ids.tobytes(), [0, *stops.tolist()]
                 yield from (content[a:b] for a, b in zip(cuts, cuts[1:]))
             else:
                 yield from self._encode(some)
@@ -107,28 +112,43 @@ class WordEncoder:
         low = word.lower()
         return word if any(x in low for x in self.literals) else low
 
-    def _learn(self, wanted: Iterable[str]) -> None:
-        new = [w for w in set(wanted) if w not in self.known]
-        letters = [w for w in new if w.isalpha() and w.lower().isalpha()]
+    def _recalled(self, wanted: set[str]) -> set[str]:
+        """Those of the words that are new; the others are in the younger generation afterwards."""
+        missing = wanted.difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        return missing - again
+
+    def _learn(self, wanted: set[str]) -> None:
+        new = self._recalled(wanted)
+        letters = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         self.known.update(zip(letters, self._encode_letters(letters)))
-        others = [w for w in new if w not in self.known]
+        others = list(new.difference(letters))
         self.known.update(zip(others, self._encode(others)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        known = self.known
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown = [w for w in set().union(*cut) if w not in known]
-        known.update((w, older[w]) for w in unknown if w in older)
-        new = [w for w in unknown if w not in older]
-        # a mark behind letters is a token of its own, and so is a capital's small letter
-        marked = {w: w[:-1] for w in new if w[-1:] in {",", "."} and w[:-1].isalpha() and w[:-1].lower().isalpha()}
-        plain = {w: marked.get(w, w) for w in new}
-        plain = {w: self._lowered(p) if p.isascii() else p for w, p in plain.items()}
-        self._learn({*plain.values(), *(w[-1] for w in marked)})
-        known.update((w, known[p] + known[w[-1]] if w in marked else known[p]) for w, p in plain.items())
+        new = self._recalled(set().union(*cut))
+        # marks behind letters are looked up by themselves, and a capital is its small letter
+        whole, plain, tails, marks = [], {}, {}, self.marks
+        for word in new:
+            part = word
+            if not word.isalpha():
+                head = word.rstrip(marks)
+                if len(head) < len(word) and head.isalpha() and (head.isascii() or head.lower().isalpha()):
+                    part, tails[word] = head, word[len(head) :]
+            if part.isascii():
+                part = part.lower() if marks and part.isalpha() else self._lowered(part)
+            if part == word:
+                whole.append(word)
+            else:
+                plain[word] = part
+        self._learn({*whole, *plain.values(), *tails.values()})
+        known.update((w, known[p] + known[tails[w]] if w in tails else known[p]) for w, p in plain.items())
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
