@@ -4,8 +4,9 @@ The vocabulary file gives byte strings and their ranks. Every byte is mapped to
 one printable character, so each byte string becomes a piece; the piece's score
 is its negative rank and its place is its id. With identity normalisation the
 sentencepiece library then merges exactly as a rank-ordered merge of bytes does.
-Texts are cut into pre-tokens by the public pattern and each pre-token is
-encoded by itself; decoding maps ids back to their bytes.
+Texts are cut into pre-tokens by the public pattern. Pre-tokens are encoded with
+a character between them that no piece holds, so that none merges with another;
+decoding maps ids back to their bytes.
 """
 
 from __future__ import annotations
@@ -13,18 +14,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import chain
+from string import ascii_letters
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: encoded strings that a worker remembers in one of two generations; more only cost time
+#: encoded strings that a worker keeps when it knows twice as many
 REMEMBERED = 250_000
-#: ids that are turned into bytes at once
+#: bytes of strings and ids beyond which a worker forgets them all
+REMEMBERED_BYTES = 256 << 20
+#: pre-tokens that are encoded in one call
+TOGETHER = 50
+#: runs of ids, or of bytes, that are put together at once
 GATHERED = 1 << 18
+#: ends a pre-token; UTF-8 has no such byte, and no piece has its character
+END, SHOWN_END = b"\xff", "\u2403"
+BYTES = pa.large_binary()
 #: an id is an unsigned little-endian integer of so many bytes
 ID_BYTES = 4
 #: a run of these behind letters, with nothing after it, is a pre-token of its own
@@ -83,40 +95,79 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return body + _field(2, trainer) + _field(3, identity)
 
 
-class _Memory(dict):
-    """What is known of strings, in two generations.
+def _strings(texts: Iterable[str]) -> pa.Array:
+    """Texts as an Arrow array; what has no UTF-8 stays as it is."""
+    return pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+
+
+def _gather(content: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted runs of an array, one behind the other; runs begin and are as long as told."""
+    parts = []
+    for at in range(0, len(wanted), GATHERED):
+        runs = wanted[at : at + GATHERED]
+        length = sizes[runs]
+        ends = np.cumsum(length)
+        # an item's place in its run, counted on from the run's start
+        places = np.repeat(starts[runs] - ends + length, length)
+        places += np.arange(len(places))
+        parts.append(content[places])
+    return np.concatenate(parts) if parts else content[:0]
 
-    When the younger one is full it becomes the older one; strings that come
-    again move back to the younger, the others go with their generation.
-    """
+
+class _Memory:
+    """Known strings, each with a run of ids; those that were wanted last are kept."""
 
     def __init__(self):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
+        self.strings = _strings([])
+        self.ids = np.zeros(0, "<u4")
+        self.starts = self.sizes = self.wanted = np.zeros(0, np.int64)
+        self.turn = 0
 
     def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-
-    def unknown(self, wanted: set[str]) -> list[str]:
-        """Those of the strings that are new; the others are in the younger generation afterwards."""
-        missing = wanted.difference(self)
-        again = missing.intersection(self.older)
-        self.update(zip(again, map(self.older.__getitem__, again)))
-        return list(missing - again)
+        """Of more than twice REMEMBERED strings, keep the REMEMBERED ones that were wanted last; of too many bytes, none."""
+        if self.strings.nbytes + self.ids.nbytes > REMEMBERED_BYTES:
+            self.__init__()
+        self.turn += 1
+        if len(self.strings) > 2 * REMEMBERED:
+            kept = np.sort(np.argpartition(self.wanted, -REMEMBERED)[-REMEMBERED:])
+            self.ids = _gather(self.ids, self.starts, self.sizes, kept)
+            self.strings, self.sizes, self.wanted = self.strings.take(pa.array(kept)), self.sizes[kept], self.wanted[kept]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def places(self, strings: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, ...]]) -> np.ndarray:
+        """The place of each string; ``learn`` gives ids for the new ones, and where theirs start and how many they are."""
+        found = pc.index_in(strings, value_set=self.strings)
+        unknown = found.is_null()
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        new = strings.filter(unknown).dictionary_encode()
+        if len(new):
+            places[unknown.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(self.strings)
+            ids, starts, sizes = learn(new.dictionary)
+            self.strings = pa.concat_arrays([self.strings, new.dictionary])
+            self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.wanted = np.concatenate([self.wanted, np.zeros(len(sizes), np.int64)])
+            self.ids = np.concatenate([self.ids, ids])
+        self.wanted[places] = self.turn
+        return places
 
 
 class Encoder:
-    """Texts to id bytes; remembers strings that come again."""
+    """Texts to id bytes; remembers strings that come again.
+
+    Texts are cut, looked up and put together as whole Arrow columns. A string
+    counts with a space before it; one that begins with a line break, and the
+    rest of one that begins with a space, count as they stand.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.adjacent = regex.compile(r"\s\s")
-        self.shown = str.maketrans({chr(b): c for b, c in byte_characters().items()})
-        self.tokens = _Memory()  # by pre-token
-        self.spans = _Memory()  # by what stands between two spaces
+        self.between = regex.compile(r"(?<=\S) (?=\S)")
+        shown = byte_characters() | {END[0]: SHOWN_END}
+        self.shown = np.array([ord(shown[b]) for b in range(256)], "<u4")
+        self.known = _Memory()
 
     def _pretokens(self, span: str) -> list[str]:
         """The pre-tokens of a part that a space or, as its first character, a line break sets off."""
@@ -127,37 +178,72 @@ class Encoder:
             return [" " + head, span[len(head) :]]
         return self.pattern.findall(span if span[:1] == "\n" else " " + span)
 
-    def _merge(self, wanted: Iterable[str]) -> None:
-        """Encode pre-tokens that are not known yet."""
-        new = self.tokens.unknown(set(wanted))
-        mapped = [
-            SPACE + t[1:] if t[:1] == " " and t.isascii() and t[1:].isalpha()
-            else t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-            for t in new
+    def _merge(self, ended: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens that each have END behind them, and how many ids the first 0, 1, 2 and so on have.
+
+        No piece holds END's character, so pre-tokens in one call do not merge with each other.
+        """
+        characters = self.shown[np.frombuffer(ended, np.uint8)]
+        cuts = np.flatnonzero(characters == ord(SHOWN_END))[TOGETHER - 1 :: TOGETHER] + 1
+        calls = [part.tobytes().decode("utf-32-le") for part in np.split(characters, cuts) if len(part)]
+        merged = self.pieces.encode(calls, num_threads=1) if calls else []
+        ids = np.fromiter(chain.from_iterable(merged), "<u4", sum(map(len, merged)))
+        end = ids == self.pieces.unk_id()
+        ends = np.flatnonzero(end)
+        return ids[~end], np.concatenate([[0], ends - np.arange(len(ends))])
+
+    def _learn(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of strings, and each one's first place in them and number of them."""
+        # words of ASCII letters, with or without a run of marks behind, are told all at once
+        heads, tails = pc.ascii_rtrim(strings, MARKS), pc.ascii_ltrim(strings, ascii_letters)
+        word = pc.ascii_is_alpha(heads)
+        heads, tails = heads.filter(word).cast(BYTES), tails.filter(word).cast(BYTES)
+        marked = pc.greater(pc.binary_length(tails), 0)
+        space, end, nothing = (pa.scalar(b, BYTES) for b in (b" ", END, b""))
+        words = pc.binary_join_element_wise(space, heads, end, tails, pc.if_else(marked, end, nothing), nothing)
+        others = [
+            self.pattern.findall(s[1:]) if s[:1] == " " else self._pretokens(s)
+            for s in (b.decode("utf-8", "surrogatepass") for b in strings.filter(pc.invert(word)).cast(BYTES).to_pylist())
         ]
-        merged = self.pieces.encode(mapped, num_threads=1) if new else []
-        self.tokens.update((t, struct.pack(f"<{len(ids)}I", *ids)) for t, ids in zip(new, merged))
+        tokens = [t.encode("utf-8", "surrogatepass") for t in chain.from_iterable(others)]
+        ids, before = self._merge(b"".join([*words.to_pylist(), *(t + END for t in tokens)]))
+        counts = np.concatenate([1 + marked.to_numpy(zero_copy_only=False), np.fromiter(map(len, others), np.int64, len(others))])
+        last = np.cumsum(counts)
+        starts, ends = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
+        is_word = word.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(is_word), np.flatnonzero(~is_word)])
+        starts[order], ends[order] = before[last - counts], before[last]
+        return ids, starts, ends - starts
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        self.tokens.age()
-        self.spans.age()
+        self.known.age()
         texts = [t or "" for t in texts]
         # Where no two white space characters meet, every pre-token with a space in it
         # starts with that space and a line break stands alone, so a text may be cut
-        # before each of them and equal parts have equal ids.
-        simple = [not self.adjacent.search(t) for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") if s else self.pattern.findall(t) for t, s in zip(texts, simple)]
-        firsts = [self.pattern.findall(parts.pop(0)) if s else parts for parts, s in zip(cut, simple)]
-        seen = set().union(*(parts for parts, s in zip(cut, simple) if s))
-        spans = {p: self._pretokens(p) for p in self.spans.unknown(seen)}
-        self._merge(t for tokens in (*spans.values(), *firsts) for t in tokens)
-        token, span = self.tokens.__getitem__, self.spans.__getitem__
-        self.spans.update((p, b"".join(map(token, tokens))) for p, tokens in spans.items())
-        return [
-            b"".join(map(token, first)) + (b"".join(map(span, parts)) if s else b"")
-            for first, parts, s in zip(firsts, cut, simple)
-        ]
+        # before each of them and equal parts have equal ids. Any other text may be
+        # cut before a space that no white space adjoins.
+        simple = np.array([not self.adjacent.search(t) for t in texts], bool)
+        cut = pc.split_pattern(pc.replace_substring(_strings(t for t, s in zip(texts, simple) if s), "\n", " \n"), " ")
+        other = [self.between.split(t) for t, s in zip(texts, simple) if not s]
+        parts = pa.concat_arrays([cut.flatten(), _strings(chain.from_iterable(other))])
+        counts = np.concatenate([pc.list_value_length(cut).to_numpy(), np.fromiter(map(len, other), np.int64, len(other))])
+        last = np.cumsum(counts)
+        first = np.zeros(len(parts), bool)
+        first[last - counts] = True
+        # the first part has no space before it
+        heads = pc.binary_join_element_wise(*_strings([" "]), parts.filter(pa.array(first)), *_strings([""]))
+        places = np.empty(len(parts), np.int64)
+        places[np.concatenate([np.flatnonzero(~first), np.flatnonzero(first)])] = self.known.places(
+            pa.concat_arrays([parts.filter(pa.array(~first)), heads]), self._learn
+        )
+        sizes = self.known.sizes[places]
+        ids = _gather(self.known.ids, self.known.starts, self.known.sizes, places).tobytes()
+        ends = ID_BYTES * np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], last])]
+        out = [b""] * len(texts)
+        for i, start, stop in zip([*np.flatnonzero(simple), *np.flatnonzero(~simple)], ends[:-1], ends[1:]):
+            out[i] = ids[start:stop]
+        return out
 
 
 class Decoder:
@@ -175,16 +261,8 @@ class Decoder:
             if text is None:
                 out.append(None)
                 continue
-            parts = []
-            for at in range(0, len(text), ID_BYTES * GATHERED):
-                ids = np.frombuffer(text[at : at + ID_BYTES * GATHERED], "<u4")
-                sizes = self.sizes[ids]
-                ends = np.cumsum(sizes)
-                # a byte's place in its token, counted on from the token's start
-                places = np.repeat(self.starts[ids] - ends + sizes, sizes)
-                places += np.arange(len(places))
-                parts.append(self.bytes[places].tobytes())
-            out.append(b"".join(parts))
+            ids = np.frombuffer(text, "<u4")
+            out.append(_gather(self.bytes, self.starts, self.sizes, ids).tobytes())
         return out
 
 
