@@ -124,7 +124,7 @@ class _Memory:
         self.turn = 0
 
     def age(self) -> None:
-        """Of more than twice REMEMBERED strings, keep the REMEMBERED ones that were wanted last; of too many bytes, none."""
+        """Forget all of too many bytes; of more than twice REMEMBERED strings keep the REMEMBERED that were wanted last."""
         if self.strings.nbytes + self.ids.nbytes > REMEMBERED_BYTES:
             self.__init__()
         self.turn += 1
@@ -165,7 +165,9 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.adjacent = regex.compile(r"\s\s")
         self.between = regex.compile(r"(?<=\S) (?=\S)")
-        shown = byte_characters() | {END[0]: SHOWN_END}
+        shown = byte_characters()
+        self.lacking = [b for b in range(END[0]) if self.pieces.piece_to_id(shown[b]) == self.pieces.unk_id()]
+        shown[END[0]] = SHOWN_END
         self.shown = np.array([ord(shown[b]) for b in range(256)], "<u4")
         self.known = _Memory()
 
@@ -183,7 +185,10 @@ class Encoder:
 
         No piece holds END's character, so pre-tokens in one call do not merge with each other.
         """
-        characters = self.shown[np.frombuffer(ended, np.uint8)]
+        content = np.frombuffer(ended, np.uint8)
+        if self.lacking and np.isin(content, self.lacking).any():
+            raise ValueError("a text has a byte that is no piece of the vocabulary")
+        characters = self.shown[content]
         cuts = np.flatnonzero(characters == ord(SHOWN_END))[TOGETHER - 1 :: TOGETHER] + 1
         calls = [part.tobytes().decode("utf-32-le") for part in np.split(characters, cuts) if len(part)]
         merged = self.pieces.encode(calls, num_threads=1) if calls else []
@@ -207,7 +212,8 @@ class Encoder:
         ]
         tokens = [t.encode("utf-8", "surrogatepass") for t in chain.from_iterable(others)]
         ids, before = self._merge(b"".join([*words.to_pylist(), *(t + END for t in tokens)]))
-        counts = np.concatenate([1 + marked.to_numpy(zero_copy_only=False), np.fromiter(map(len, others), np.int64, len(others))])
+        found = np.fromiter(map(len, others), np.int64, len(others))
+        counts = np.concatenate([1 + marked.to_numpy(zero_copy_only=False), found])
         last = np.cumsum(counts)
         starts, ends = np.empty(len(strings), np.int64), np.empty(len(strings), np.int64)
         is_word = word.to_numpy(zero_copy_only=False)

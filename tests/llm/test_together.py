@@ -67,3 +67,12 @@ def test_words_wanted_last_are_kept(monkeypatch, encoder, tokens):
         assert _equal(encoder, tokens, [f"often seen w{i}", f"seen often {i}x"])
         assert len(encoder.known.strings) < 20
         assert {"often", "seen"} <= set(encoder.known.strings.to_pylist())
+
+
+def test_a_vocabulary_without_a_byte_is_refused():
+    encoder = bpe.Encoder(bpe.serialise_model([b"a", b" ", b"aa"]), public_tokenizers.PATTERN)
+    assert encoder.encode(["aaa a"]) == [struct.pack("<4I", 2, 0, 1, 0)]
+    with pytest.raises(ValueError, match="no piece"):
+        encoder.encode(["ab"])
+    with pytest.raises(ValueError, match="no piece"):
+        encoder.encode(["a ba"])
