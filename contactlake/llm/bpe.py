@@ -299,7 +299,9 @@ class ByteBpe:
         def ids(texts: pd.Series) -> pd.Series:
             if name not in _loaded:
                 _loaded[name] = Encoder(model.value, pattern)
-            return pd.Series(_loaded[name].encode(texts))
+            found = pd.Series(_loaded[name].encode(texts))
+            pa.default_memory_pool().release_unused()  # other stages run in the same worker
+            return found
 
         return ids(text)
 
