@@ -393,19 +393,35 @@ def _ranked(group: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, step - np.repeat(step[new], np.diff(np.r_[np.flatnonzero(new), len(g)]))
 
 
+def _shared(hashes: np.ndarray, group: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether another string of the window's group has a window of that hash."""
+    hashes = hashes ^ group.astype(np.uint64) * np.uint64(_ODD[1])
+    order = np.argsort(hashes)
+    edge = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    several = np.minimum.reduceat(own[order], edge) != np.maximum.reduceat(own[order], edge)
+    out = np.empty(len(own), bool)
+    out[order] = np.repeat(several, np.diff(np.r_[edge, len(own)]))
+    return out
+
+
 def _seen_windows(content: list[bytes], group: np.ndarray, least: np.ndarray) -> dict[int, np.ndarray]:
     """For each string the windows that a string of a smaller document in its group has, too.
 
-    Equal windows have equal second anchors, too, so strings are cut into runs
-    of one second anchor. A run that no other string meets is done, equal runs
-    are settled by the least document, and only different runs with the same
-    two anchors need an index.
+    Equal windows have equal hashes, so those whose hash no other string of the
+    group has are done. What is left is cut into runs of one second anchor, which
+    equal windows share, too. Equal runs are settled by the least document, and only
+    different runs with the same two anchors need an index.
     """
     lengths = np.array([len(c) for c in content])
     begin, windows = np.cumsum(lengths) - lengths, lengths - LEAST + 1
     own = np.repeat(np.arange(len(content)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    second = second_anchors(np.frombuffer(b"".join(content), np.uint8))[place + begin[own]]
+    data = np.frombuffer(b"".join(content), np.uint8)
+    shared = _shared(_hashes(data, _ODD[0], LEAST)[place + begin[own]], group[own], own)
+    if not shared.any():
+        return {}
+    own, place = own[shared], place[shared]
+    second = second_anchors(data)[place + begin[own]]
     own, place, size, second = _cut_runs(own, place, second)
     key = second ^ group[own].astype(np.uint64) * np.uint64(_ODD[0])
     order = np.lexsort((own, key))
@@ -443,10 +459,25 @@ def _seen_before(content: list[bytes], group: np.ndarray, rank: np.ndarray) -> d
     Two ranks differ first in one bit, so they are told apart at exactly one
     level, where the one without the bit is indexed and the other streamed. A
     string whose windows have all been seen goes no further down: whatever has
-    one of them in its node has met it above, too.
+    one of them in its node has met it above, too. Small levels share an index,
+    as every pass costs a step for each symbol of the longest string.
     """
     seen: dict[int, np.ndarray] = {}
     open_ = np.ones(len(content), bool)
+    lengths = np.array([len(c) for c in content])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> None:
+        part, node, later = (np.concatenate(c) for c in zip(*held))
+        old, new = part[~later], part[later]
+        index = RunIndex([content[x] for x in old], node[~later])
+        found = index.statistics([content[x] for x in new], node[later]) >= LEAST
+        for x, hit in zip(new.tolist(), found):
+            hit = hit[: lengths[x] - LEAST + 1]
+            seen[x] = seen[x] | hit if x in seen else hit
+            open_[x] = not seen[x].all()
+        held.clear()
+
     for bit in reversed(range(int(rank.max()).bit_length())):
         node = rank >> bit + 1
         later = rank >> bit & 1 == 1
@@ -455,7 +486,7 @@ def _seen_before(content: list[bytes], group: np.ndarray, rank: np.ndarray) -> d
         both = (np.bincount(key[later & open_], minlength=nodes) > 0) & (np.bincount(key[~later & open_], minlength=nodes) > 0)
         some = np.flatnonzero(both[key] & open_)
         some = some[np.argsort(key[some], kind="stable")]
-        size = np.cumsum([len(content[i]) for i in some])
+        size = np.cumsum(lengths[some])
         leads = np.flatnonzero(np.r_[True, key[some][1:] != key[some][:-1]]) if len(some) else []
         # whole nodes together, about INDEX_BYTES at once
         cut = [0]
@@ -466,17 +497,18 @@ def _seen_before(content: list[bytes], group: np.ndarray, rank: np.ndarray) -> d
             part = some[i:j]
             if not len(part):
                 continue
+            if held and sum(lengths[x].sum() for x, _, _ in held) + lengths[part].sum() > INDEX_BYTES:
+                flush()
             number = np.unique(key[part], return_inverse=True)[1].ravel()
-            old, new = ~later[part], later[part]
-            index = RunIndex([content[x] for x in part[old]], number[old])
-            found = index.statistics([content[x] for x in part[new]], number[new]) >= LEAST
-            for x, hit in zip(part[new], found):
-                hit = hit[: len(content[x]) - LEAST + 1]
-                seen[x] = seen[x] | hit if x in seen else hit
-                open_[x] = not seen[x].all()
+            held.append((part, number + (held[-1][1][-1] + 1 if held else 0), later[part]))
+    if held:
+        flush()
     return seen
 
 
+_NOT = np.zeros(1, bool)
+
+
 def _decide(table: pa.Table) -> pa.Table:
     """The repeated spans among the runs of one part."""
     content = table.column("content").to_pylist()
@@ -503,10 +535,14 @@ def _decide(table: pa.Table) -> pa.Table:
     if seen:
         held = np.zeros(len(number), bool)
         held[list(seen)] = True
-        for i in np.flatnonzero(runs_ & held[of] & (ords == least[of])).tolist():
-            edge = np.flatnonzero(np.diff(np.r_[0, seen[int(of[i])].view(np.int8), 0]))
-            start = first[i] + edge[::2]
-            spans.append((np.full(len(start), row[i]), start, first[i] + edge[1::2] + LEAST - 1))
+        some = np.flatnonzero(runs_ & held[of] & (ords == least[of]))
+        # the hits of all runs on one line, a place without one between them
+        line = np.concatenate([x for i in of[some].tolist() for x in (_NOT, seen[i])] + [_NOT])
+        begin = np.cumsum(windows[some] + 1) - windows[some]
+        edge = np.flatnonzero(line[1:] != line[:-1]) + 1
+        run = np.searchsorted(begin, edge[::2], "right") - 1
+        shift = first[some][run] - begin[run]
+        spans.append((row[some][run], edge[::2] + shift, edge[1::2] + shift + LEAST - 1))
     row, start, stop = _merge(*(np.concatenate(c) for c in zip(*spans)))
     return pa.table([pa.array(row >> 32), pa.array(row & (1 << 32) - 1), pa.array(start), pa.array(stop)], schema=_SPANS)
 
