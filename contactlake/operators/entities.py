@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contactlake import vocab
 from contactlake.functions.similarity import names_match, sorted_tokens
-from contactlake.operators.skew import HEAVY_FLOOR, attach_facts, heavy_cut
+from contactlake.operators.skew import HEAVY_FLOOR, heavy_cut, hot_keys, known, over_key
 from contactlake.session import Scratch
 
 KEYS = ("phone_e164", "email")
@@ -53,10 +53,10 @@ def block_pairs(
     in_order = Window.partitionBy(*block).orderBy("lead_id", "name").rowsBetween(Window.unboundedPreceding, 0)
     first = {"first_id": F.first("lead_id").over(in_order), "first_name": F.first("name").over(in_order)}
     cut = heavy_cut(len(keys) * total_rows, heavy_floor)
-    if len(keys) * total_rows <= cut:
+    if len(keys) * total_rows <= cut or (hot := hot_keys(keyed, block, cut)) is None:
         return paired(keyed.withColumns(first))
-    # rows of hot blocks do not enter the shuffle; only counts tell which those are
-    hot = F.broadcast(keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > cut).select(*block))
+    # rows of hot blocks do not enter the shuffle
+    hot = F.broadcast(hot)
     light = keyed.join(hot, block, "left_anti").withColumns(first)
     heavy = keyed.join(hot, block)
     least = heavy.groupBy(*block).agg(F.min(F.struct("lead_id", "name")).alias("_first"))
@@ -69,49 +69,65 @@ def match_pairs(pairs: DataFrame, minimum: float = vocab.NAME_SIMILARITY_MIN) ->
     return pairs.filter(names_match(F.col("first_name"), F.col("name"), minimum))
 
 
-def _settled(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
-    """Edges (a, b), ``b`` the lesser end, with ``done``: their component is a star around ``b``.
+def _neighbours(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Distinct rows (u, v) with the ``least`` and the ``most`` of all v of their u."""
+    own = Window.partitionBy("u")
+    ends = {"least": F.min("v"), "most": F.max("v")}
+    again = F.equal_null(F.lag("v").over(own.orderBy("v")), F.col("v"))
 
-    Every node of a star but its centre has one edge. So an edge votes against
-    its centre if its other end has more than one, and against that end as a
-    centre of its own.
+    def light(rows: DataFrame) -> DataFrame:
+        return over_key(rows.withColumn("_again", again), "u", ends, None).filter("not _again").drop("_again")
+
+    if hot is None:
+        return light(rows)
+    hot = F.broadcast(hot.withColumnRenamed("node", "u"))
+    heavy = rows.join(hot, "u").distinct()
+    facts = F.broadcast(heavy.groupBy("u").agg(*[value.alias(name) for name, value in ends.items()]))
+    return light(rows.join(hot, "u", "left_anti")).unionByName(heavy.join(facts, "u"))
+
+
+def _settled(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Distinct edges (a, b), ``b`` the lesser end, with ``done``: their component is a star around ``b``.
+
+    Every node of a star but its centre has one edge, to the centre. So an edge
+    votes against its centre if its other end has another one or is the lesser
+    end of one, and against that end as a centre of its own.
     """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    degrees = ends.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("_size"))
-    leaf = (F.col("_size") == 1).alias("leaf")
-    ended = attach_facts(edges, degrees, ["a"], "_size", 2 * total, heavy_floor).select("a", "b", leaf)
+    lower = edges.select(F.col("b").alias("u")).distinct().withColumn("lower", F.lit(True))
+    grouped = _neighbours(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), hot)
+    met = known(grouped, lower, "u", hot and hot.withColumnRenamed("node", "u"))
+    leaf = F.col("lower").isNull() & (F.col("least") == F.col("most"))
+    ended = met.select(F.col("u").alias("a"), F.col("v").alias("b"), leaf.alias("leaf"))
     ballots = F.array(
-        F.struct(F.col("b").alias("centre"), F.col("leaf").alias("star")),
-        F.when(~F.col("leaf"), F.struct(F.col("a").alias("centre"), F.lit(False).alias("star"))),
+        F.struct(F.col("b").alias("b"), F.col("a").alias("a"), F.col("leaf").alias("star")),
+        F.when(~F.col("leaf"), F.struct(F.col("a").alias("b"), F.lit(None).alias("a"), F.lit(False).alias("star"))),
     )
     votes = ended.select(F.explode(F.array_compact(ballots)).alias("_v")).select("_v.*")
-    centres = votes.groupBy(F.col("centre").alias("b")).agg(
-        F.bool_and("star").alias("done"), F.count(F.lit(1)).alias("_size")
-    )
-    return attach_facts(edges, centres, ["b"], "_size", 2 * total, heavy_floor).select("a", "b", "done")
+    judged = over_key(votes, "b", {"done": F.bool_and("star")}, hot and hot.withColumnRenamed("node", "b"))
+    return judged.filter(F.col("a").isNotNull()).select("a", "b", "done")
 
 
-def _attach_minimum(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
-    """Edges (u, v) with the least neighbour ``m`` of u, u itself included."""
-    facts = edges.groupBy("u").agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("_size"))
-    least = facts.select("u", "_size", F.least("u", "_v").alias("m"))
-    return attach_facts(edges, least, ["u"], "_size", total, heavy_floor)
+def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))
+    )
+    both = edges.select(F.explode(ends).alias("_e")).select("_e.*")
+    linked = _neighbours(both, hot).filter(F.col("v") > F.col("u"))
+    return linked.select(F.col("v").alias("a"), F.least("u", "least").alias("b"))
 
 
-def _large_star(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    linked = _attach_minimum(both, 2 * total, heavy_floor).filter(F.col("v") > F.col("u"))
-    return linked.select(F.col("v").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Every edge (u, v) but the one to the least neighbour is moved to link v with it; an edge may come again."""
+    linked = _neighbours(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), hot)
+    moved = F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v"))
+    return linked.select(moved.alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    linked = _attach_minimum(down, total, heavy_floor)
-    moved = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    own = linked.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(own).distinct()
+def _hot_nodes(edges: DataFrame, total: int, heavy_floor: int) -> DataFrame | None:
+    """Nodes that are the end of very many edges. Moving edges by one round of stars gives no other node as many greater ends."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    cut = heavy_cut(2 * total, heavy_floor)
+    return None if 2 * total <= cut else hot_keys(ends, ["node"], cut)
 
 
 def connected_components(
@@ -119,7 +135,7 @@ def connected_components(
 ) -> DataFrame:
     """``(node, component)`` for every node of the edges ``(a, b)``.
 
-    Alternating large-star and small-star steps: every edge is moved to the
+    Small-star and large-star steps alternate: every edge is moved to the
     least neighbour until all components are stars around their least node.
     Components that are stars are set aside, so a round works on the others
     only. Each round is written to the shared scratch folder, which cuts the
@@ -127,21 +143,25 @@ def connected_components(
     logarithm of the edges.
     """
     pair = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    current = scratch.put("edges-0", edges.filter("a <> b").select(*pair).distinct())
+    given = scratch.put("edges-given", edges.filter("a <> b").select(*pair))
+    hot = _hot_nodes(given, given.count(), heavy_floor)
+    current = scratch.put("edges-0", _small_star(given, hot))
+    scratch.drop("edges-given")
     stars = []
     i, most = 0, None
     while total := current.count():
         i, most = i + 1, most or 10 + 4 * total.bit_length()
         if i > most:
             raise RuntimeError(f"components not stable after {most} rounds")
-        judged = scratch.put(f"judged-{i}", _settled(current, total, heavy_floor))
-        scratch.drop(f"edges-{i - 1}")
+        hot = _hot_nodes(current, total, heavy_floor)
+        judged = scratch.put(f"judged-{i}", _settled(current, hot))
         stars.append(judged.filter("done").select("a", "b"))
         left = judged.filter("not done").select("a", "b")
-        if not (total := left.count()):
+        if left.isEmpty():
+            scratch.drop(f"edges-{i - 1}")
             break
-        moved = _large_star(left, total, heavy_floor)
-        current = scratch.put(f"edges-{i}", _small_star(moved, total, heavy_floor))
+        current = scratch.put(f"edges-{i}", _small_star(_large_star(left, hot), hot))
+        scratch.drop(f"edges-{i - 1}")
     # Every component is now a star: members point at the root.
     every = reduce(DataFrame.unionByName, stars or [current])
     members = every.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -182,6 +202,21 @@ def mark_duplicates(leads: DataFrame, losers: DataFrame) -> DataFrame:
     )
 
 
+#: ids of this shape are half as long in binary form, and in the same order
+UUID = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+
+
+def packed(value: Column) -> Column:
+    """The 16 bytes of an id of uuid shape."""
+    return F.unhex(F.replace(value, F.lit("-"), F.lit("")))
+
+
+def unpacked(value: Column) -> Column:
+    digits = F.lower(F.hex(value))
+    parts = F.concat_ws("-", *[F.substring(digits, *cut) for cut in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.when(value.isNotNull(), parts)
+
+
 @dataclass(frozen=True)
 class Resolution:
     leads: DataFrame
@@ -225,10 +260,22 @@ def resolve_entities(
     read several times)."""
     scratch = scratch or Scratch(leads.sparkSession, "entities")
     cands = candidates(leads)
-    total = cands.count()
-    components = connected_components(matched_edges(cands, total, keys, min_similarity), scratch)
-    groups = scratch.put("groups", survivors(cands, components))
+    shaped = F.coalesce(F.bool_and(F.col("lead_id").rlike(UUID)), F.lit(False))
+    total, narrow = leads.agg(F.count_if(F.col("status") != "duplicate"), shaped).head()
+
+    def ids(df: DataFrame, form, *columns: str) -> DataFrame:
+        return df.withColumns({c: form(F.col(c)) for c in columns}) if narrow else df
+
+    own = ids(cands, packed, "lead_id")
+    components = connected_components(matched_edges(own, total, keys, min_similarity), scratch)
+    groups = scratch.put("groups", survivors(own, components))
     losers = components.join(
         groups.select(F.col("survivor_id").alias("node")), "node", "left_anti"
     ).select(F.col("node").alias("lead_id"))
-    return Resolution(mark_duplicates(leads, losers), components, groups, losers, cands)
+    return Resolution(
+        ids(mark_duplicates(ids(leads, packed, "lead_id"), losers), unpacked, "lead_id"),
+        ids(components, unpacked, "node", "component"),
+        ids(groups, unpacked, "component", "survivor_id"),
+        ids(losers, unpacked, "lead_id"),
+        cands,
+    )
