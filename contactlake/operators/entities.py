@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contactlake import vocab
 from contactlake.functions.similarity import names_match, sorted_tokens
-from contactlake.operators.skew import HEAVY_FLOOR, heavy_cut, hot_keys, known, over_key
+from contactlake.operators.skew import HEAVY_FLOOR, heavy_cut, hot_keys, known
 from contactlake.session import Scratch
 
 KEYS = ("phone_e164", "email")
@@ -76,7 +76,8 @@ def _neighbours(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     again = F.equal_null(F.lag("v").over(own.orderBy("v")), F.col("v"))
 
     def light(rows: DataFrame) -> DataFrame:
-        return over_key(rows.withColumn("_again", again), "u", ends, None).filter("not _again").drop("_again")
+        met = rows.withColumns({"_again": again, **{name: value.over(own) for name, value in ends.items()}})
+        return met.filter("not _again").drop("_again")
 
     if hot is None:
         return light(rows)
@@ -99,12 +100,12 @@ def _settled(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     leaf = F.col("lower").isNull() & (F.col("least") == F.col("most"))
     ended = met.select(F.col("u").alias("a"), F.col("v").alias("b"), leaf.alias("leaf"))
     ballots = F.array(
-        F.struct(F.col("b").alias("b"), F.col("a").alias("a"), F.col("leaf").alias("star")),
-        F.when(~F.col("leaf"), F.struct(F.col("a").alias("b"), F.lit(None).alias("a"), F.lit(False).alias("star"))),
+        F.struct(F.col("b").alias("centre"), F.col("leaf").alias("star")),
+        F.when(~F.col("leaf"), F.struct(F.col("a").alias("centre"), F.lit(False).alias("star"))),
     )
     votes = ended.select(F.explode(F.array_compact(ballots)).alias("_v")).select("_v.*")
-    judged = over_key(votes, "b", {"done": F.bool_and("star")}, hot and hot.withColumnRenamed("node", "b"))
-    return judged.filter(F.col("a").isNotNull()).select("a", "b", "done")
+    centres = votes.groupBy(F.col("centre").alias("b")).agg(F.bool_and("star").alias("done"))
+    return known(ended, centres, "b", hot and hot.withColumnRenamed("node", "b")).select("a", "b", "done")
 
 
 def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
