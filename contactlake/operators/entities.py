@@ -113,7 +113,8 @@ def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
         F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     both = edges.select(F.explode(ends).alias("_e")).select("_e.*")
-    linked = _neighbours(both, hot).filter(F.col("v") > F.col("u"))
+    facts = both.groupBy("u").agg(F.min("v").alias("least"))
+    linked = known(both, facts, "u", hot and hot.withColumnRenamed("node", "u")).filter(F.col("v") > F.col("u"))
     return linked.select(F.col("v").alias("a"), F.least("u", "least").alias("b"))
 
 
